@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .language_id import op8_language_id
+from .line_dedup import op5_line_dedup
+from .near_dup import op2_minhash_near_dup
 from .packing import op6_best_fit_packing
+from .phrase_dedup import op4_phrase_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_store import op1_token_store
 from .url_filter import OP3_SQL, op3_url_filter
+from .vector_links import op10_embedding_near_dup
 
 QUERIES = {
-    "op1_token_store": op1_token_store,
-    "op3_url_filter": op3_url_filter,
-    "op6_best_fit_packing": op6_best_fit_packing,
-    "op8_language_id": op8_language_id,
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_minhash_near_dup,
+        op3_url_filter,
+        op4_phrase_dedup,
+        op5_line_dedup,
+        op6_best_fit_packing,
+        op7_decontamination,
+        op8_language_id,
+        op9_suffix_dedup,
+        op10_embedding_near_dup,
+    )
 }
 
 ORACLES = {"op3_url_filter": OP3_SQL}
