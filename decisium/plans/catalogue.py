@@ -1,4 +1,6 @@
 """All queries of the decision and corpus engine, with SQL to hold them to."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpora, decisions, record_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
