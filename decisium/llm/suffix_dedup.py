@@ -93,7 +93,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, depth: int
                 continue
             at = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
             last = np.append(at[1:], len(start)) - 1
-            yield h[place[at]], place[at] + s, start[at], start[last]
+            # least hashes are small, so they are mixed anew to spread over buckets
+            yield mix(h[place[at]] ^ _R), place[at] + s, start[at], start[last]
 
 
 class Chunk:
