@@ -114,6 +114,6 @@ def negatives(rows: DataFrame, seed: str, key: str) -> DataFrame:
     counts = h.groupBy("_b").agg(F.count("*").alias("_n"))
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(*BEFORE)), F.lit(0)))  # 4096 rows
     placed = h.join(F.broadcast(bases.select("_b", "_base")), "_b").withColumn("_place", F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1)
-    total = counts.agg(F.sum("_n").alias("_total"))
-    drawn = rows.crossJoin(F.broadcast(total)).withColumn("_place", hash32(seed + "-draw", key) % F.col("_total")).drop("_total")
+    total = counts.agg(F.sum("_n")).scalar()
+    drawn = rows.withColumn("_place", hash32(seed + "-draw", key) % total)
     return drawn.join(placed.select("_place", F.col(key).alias("negative")), "_place").drop("_place")

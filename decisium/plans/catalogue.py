@@ -1,5 +1,6 @@
 """All queries of the decision and corpus engine, with SQL to hold them to."""
 
+from ..operators import converters  # noqa: F401
 from . import corpora, decisions, record_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 

@@ -113,10 +113,10 @@ SELECT p_partkey, list(x ORDER BY {hash32_sql("dis-mix", "p_partkey", "x")}, x)
 )
 def options_with_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The right brand among five others of the vocabulary, by hash. The
-    vocabulary is one row of the distinct brands and goes along by broadcast."""
+    vocabulary, the distinct brands, is a scalar subquery."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    vocabulary = F.array_sort(F.collect_set("p_brand")).alias("v")
-    return p.join(F.broadcast(p.agg(vocabulary))).select("p_partkey", R.distractors(F.col("v"), F.col("p_brand"), 6, "dis", F.col("p_partkey")).alias("options"))
+    vocabulary = table(spark, sf_dir, "part").agg(F.array_sort(F.collect_set("p_brand"))).scalar()
+    return p.withColumn("v", vocabulary).select("p_partkey", R.distractors(F.col("v"), F.col("p_brand"), 6, "dis", F.col("p_partkey")).alias("options"))
 
 
 @query(f"SELECT p_partkey, list_transform(list_sort(list_transform(['a', 'b', 'c', p_brand], lambda x: {{'h': {hash32_sql('shuf', 'p_partkey', 'x')}, 'x': x}})), lambda s: s.x) AS options FROM part")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rand import hash32
+from ..operators.mixture import first_per_group
+
 KNOWN = ["id", "source", "lang", "split", "state", "questions", "labels"]
 
 
@@ -15,16 +18,16 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.select(F.col("source").alias("_source"), F.col("split").alias("_split"), line.alias("value")).write.partitionBy("_source", "_split").text(path)
 
 
-def parse_records(lines: DataFrame) -> DataFrame:
+def parse_records(lines: DataFrame, *keep: str) -> DataFrame:
     """Lines (value) to records: blank lines go, a missing split is train, and
     keys that aren't a record's fold into meta over the line's own meta."""
     m = F.from_json("value", "map<string,string>")
-    rows = lines.where(F.trim("value") != "").select(m.alias("m")).where("m is not null")
+    rows = lines.where(F.trim("value") != "").select(m.alias("m"), *keep).where("m is not null")
     own = F.coalesce(F.from_json(F.try_element_at("m", F.lit("meta")), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
     extra = F.map_filter("m", lambda k, v: ~k.isin(*KNOWN, "meta"))
     clear = F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(extra), k))
     at = lambda k: F.try_element_at("m", F.lit(k)).alias(k)
-    return rows.select(at("id"), at("source"), at("lang"), F.coalesce(F.try_element_at("m", F.lit("split")), F.lit("train")).alias("split"), at("state"), at("questions"), at("labels"), F.map_concat(clear, extra).alias("meta"))
+    return rows.select(at("id"), at("source"), at("lang"), F.coalesce(F.try_element_at("m", F.lit("split")), F.lit("train")).alias("split"), at("state"), at("questions"), at("labels"), F.map_concat(clear, extra).alias("meta"), *keep)
 
 
 def read_records(spark: SparkSession, *paths: str) -> DataFrame:
@@ -32,9 +35,14 @@ def read_records(spark: SparkSession, *paths: str) -> DataFrame:
     return parse_records(lines)
 
 
-def read_globs(spark: SparkSession, globs: list[str], split: str | None = "train") -> DataFrame:
-    """Records of all files that the globs match, with the source taken from the
-    file's name up to its first dot."""
-    lines = spark.read.text(globs).withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/.]+)[^/]*$", 1))
-    rows = parse_records(lines.select("value")) if split is None else parse_records(lines.select("value")).where(F.col("split") == split)
-    return rows
+def read_globs(spark: SparkSession, globs: list[str], split: str | None = "train", sources: list[str] | None = None, limit: int = 0) -> DataFrame:
+    """Records of all files that the globs match. A record without a source has
+    the file's name up to its first dot; `sources` picks some, and `limit` keeps
+    so many of each, in hash order of their ids."""
+    named = spark.read.text(globs).withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/.]+)[^/]*$", 1))
+    rows = parse_records(named, "_file").withColumn("source", F.coalesce("source", "_file")).drop("_file")
+    if split is not None:
+        rows = rows.where(F.col("split") == split)
+    if sources is not None:
+        rows = rows.where(F.col("source").isin(sources))
+    return first_per_group(rows, "source", limit, hash32("eval", "id"), "id") if limit else rows

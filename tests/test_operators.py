@@ -187,6 +187,9 @@ def test_jsonl_overflow(spark, tmp_path):
     got = {r["id"]: r for r in jsonl.read_globs(spark, [f"{tmp_path}/*.jsonl"], None).collect()}
     assert got["1"]["split"] == "train" and got["1"]["meta"] == {"x": "5", "y": "z"} and json.loads(got["1"]["state"]) == {"a": 1}
     assert got["2"]["split"] == "eval" and len(got) == 2
+    (tmp_path / "other.eval.jsonl").write_text("\n".join('{"id": "o%d", "split": "eval"}' % i for i in range(5)))
+    got = jsonl.read_globs(spark, [f"{tmp_path}/*.jsonl"], "eval", ["other"], 3).collect()
+    assert len(got) == 3 and {r["source"] for r in got} == {"other"}
 
 
 def test_held_out_sources(spark):
