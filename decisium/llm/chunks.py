@@ -4,14 +4,16 @@ A chunk is one row of a written table: its number, how many documents it has
 and their doc_ids and texts, packed. Chunks send the hashes they hold to hash
 buckets, one packed row per chunk and bucket, and get answers back the same
 way, a bit for each hash in the order sent. The number of buckets grows with
-the text, so a bucket's group stays of bounded size; a hash that every document
-holds is sent once by each chunk."""
+the text, so a bucket's group stays of bounded size. A hash that every document
+holds is sent once by each chunk; above PART_CHUNKS chunks they are dealt into
+parts, which reduce a bucket first and then meet in it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, task_id, text_buffer
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, PART_CHUNKS = 1 << 20, 1 << 15
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
@@ -115,3 +117,76 @@ def answered(h: np.ndarray, bits: int, answers: dict[int, bytes]) -> np.ndarray:
         if b in answers:
             out[s] = unpack_bits(answers[b], s.stop - s.start)
     return out
+
+
+#: What chunks send. Owners are counted from base; null: base is each hash's owner.
+SENT = "bucket long, chunk long, base long, hashes binary, owners binary"
+ANSWERS = "chunk long, bucket long, bits binary"
+
+
+def settle(sent: DataFrame, n_chunks: int, earlier: bool) -> DataFrame:
+    """Per chunk and bucket a bit for each hash sent: does a lesser owner hold
+    it (earlier), or any other? Rows without a set bit are left out."""
+    if n_chunks <= PART_CHUNKS:
+        return stored(sent.groupBy("bucket").applyInPandas(_answer(earlier), ANSWERS), "answers")
+    parts = -(-n_chunks // PART_CHUNKS)
+    sent = stored(sent.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))), "sent")
+    least = "bucket long, part long, hashes binary, least binary, most binary"
+    reduced = sent.groupBy("bucket", "part").applyInPandas(_reduce, least)
+    known = stored(reduced.groupBy("bucket").applyInPandas(_meet, least), "met")
+    return stored(sent.groupBy("bucket", "part").cogroup(known.groupBy("bucket", "part")).applyInPandas(_apply(earlier), ANSWERS), "answers")
+
+
+def _sent(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes by row, then all hashes and owners."""
+    hashes = [unrising(x) for x in rows["hashes"]]
+    owners = [np.full(len(h), b) if x is None else unsqueeze(x, np.uint64).astype(np.int64) + b for h, x, b in zip(hashes, rows["owners"], rows["base"], strict=True)]
+    return hashes, np.concatenate(hashes), np.concatenate(owners)
+
+
+def _bounds(h: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the least and most of each, and where each h stands."""
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    back = np.empty(len(h), np.int64)
+    back[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    return h[order][starts], np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts), back
+
+
+def _bits(rows: pd.DataFrame, hashes: list[np.ndarray], bit: np.ndarray) -> pd.DataFrame:
+    by_row = np.split(bit, np.cumsum([len(x) for x in hashes])[:-1])
+    keep = [i for i, x in enumerate(by_row) if x.any()]
+    return pd.DataFrame({"chunk": rows["chunk"].to_numpy()[keep], "bucket": rows["bucket"].to_numpy()[keep], "bits": [pack_bits(by_row[i]) for i in keep]})
+
+
+def _answer(earlier: bool):  # noqa: ANN202
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        hashes, h, o = _sent(rows)
+        _, least, most, back = _bounds(h, o, o)
+        return _bits(rows, hashes, o > least[back] if earlier else least[back] < most[back])
+
+    return run
+
+
+def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
+    _, h, o = _sent(rows)
+    h, least, most, _ = _bounds(h, o, o)
+    return pd.DataFrame({"bucket": rows["bucket"][:1], "part": rows["part"][:1], "hashes": [rising(h)], "least": [squeeze(least)], "most": [squeeze(most)]})
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    hashes = [unrising(x) for x in rows["hashes"]]
+    least, most = (np.concatenate([unsqueeze(x, np.int64) for x in rows[c]]) for c in ("least", "most"))
+    _, lo, hi, back = _bounds(np.concatenate(hashes), least, most)
+    cuts = np.cumsum([len(x) for x in hashes])[:-1]
+    return rows.assign(least=[squeeze(x) for x in np.split(lo[back], cuts)], most=[squeeze(x) for x in np.split(hi[back], cuts)])
+
+
+def _apply(earlier: bool):  # noqa: ANN202
+    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        hashes, h, o = _sent(rows)
+        at = np.searchsorted(unrising(known["hashes"].iloc[0]), h)
+        least, most = (unsqueeze(known[c].iloc[0], np.int64)[at] for c in ("least", "most"))
+        return _bits(rows, hashes, o > least if earlier else least < most)
+
+    return run

@@ -24,13 +24,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import prepare, stored, text_buffer
+from .common import prepare, text_buffer
 from .words import BLANK, Words, find, grams
 
 BUCKET_WINDOWS, MOST_PHRASES = 2_000_000, 50_000
@@ -85,22 +84,6 @@ def _send(span: int, bits: int):  # noqa: ANN202
     return run
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk a bit for each hash it sent: is there a smaller doc_id?"""
-    hashes = [C.unrising(x) for x in rows["hashes"]]
-    owners = [C.unsqueeze(x, np.uint64).astype(np.int64) + b for x, b in zip(rows["owners"], rows["base"], strict=True)]
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    least = np.minimum.reduceat(o[order], starts)
-    later = np.empty(len(h), bool)
-    later[order] = o[order] > np.repeat(least, np.diff(np.append(starts, len(h))))
-    cuts = np.cumsum([len(x) for x in hashes])[:-1]
-    bits = np.split(later, cuts)
-    keep = [i for i, x in enumerate(bits) if x.any()]
-    return pd.DataFrame({"chunk": rows["chunk"].to_numpy()[keep], "bucket": rows["bucket"].to_numpy()[keep], "bits": [C.pack_bits(bits[i]) for i in keep]})
-
-
 def locate(w: Windows, elsewhere: np.ndarray) -> np.ndarray:
     """Which words of the chunk are covered, found by automata. elsewhere: for
     which of its hashes a smaller doc_id is in another chunk."""
@@ -178,10 +161,9 @@ def repeated_phrases(docs: DataFrame, span: int = 13, id_col: str = "doc_id", te
     and runs (covered words, from and to in turn) of each row of docs."""
     prepare(docs.sparkSession)
     chunks = C.make(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    total = chunks.agg(F.sum("bytes")).collect()[0][0] or 0
+    n, total = chunks.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).collect()[0]
     bits = C.bucket_bits(total // 6, BUCKET_WINDOWS)
-    sent = chunks.select("chunk", "payload").mapInArrow(_send(span, bits), "bucket long, chunk long, base long, hashes binary, owners binary")
-    answers = stored(sent.groupBy("bucket").applyInPandas(_answer, "chunk long, bucket long, bits binary"), "answers")
+    answers = C.settle(chunks.select("chunk", "payload").mapInArrow(_send(span, bits), C.SENT), n, earlier=True)
     return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(span, bits), OUT_DDL)
 
 

@@ -40,7 +40,7 @@ from .common import prepare, stored, text_buffer
 from .words import _BYTE, mix
 
 GRAM, SEGMENT = 24, 1 << 19
-BUCKET_ANCHORS, BUCKET_BYTES, SORT_SUFFIXES = 2_000_000, 48 << 20, 1_000_000
+BUCKET_ANCHORS, BUCKET_BYTES, SORT_SUFFIXES = 2_000_000, 24 << 20, 400_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -115,28 +115,21 @@ def _send(depth: int, bits: int):  # noqa: ANN202
                 c = Chunk(payload.as_py(), depth)
                 parts = list(C.by_bucket(c.distinct, bits))
                 if parts:
-                    yield pa.record_batch([pa.array([k for k, _ in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([C.rising(c.distinct[s]) for _, s in parts], pa.binary())], ["bucket", "chunk", "hashes"])
+                    yield pa.record_batch([pa.array([k for k, _ in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([C.rising(c.distinct[s]) for _, s in parts], pa.binary()), pa.nulls(len(parts), pa.binary())], ["bucket", "chunk", "base", "hashes", "owners"])
 
     return run
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk a bit for each hash it sent: does another chunk hold it?"""
-    hashes = [C.unrising(x) for x in rows["hashes"]]
-    every = np.sort(np.concatenate(hashes))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = [np.isin(h, twice, assume_unique=True) for h in hashes]
-    keep = [i for i, x in enumerate(bits) if x.any()]
-    return pd.DataFrame({"chunk": rows["chunk"].to_numpy()[keep], "bucket": rows["bucket"].to_numpy()[keep], "bits": [C.pack_bits(bits[i]) for i in keep]})
-
-
-CONTEXT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("meta", pa.binary()), ("bytes", pa.binary())])
+CONTEXT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("meta", pa.binary()), ("bytes", pa.binary()), ("copies", pa.binary())])
+CONTEXT_DDL = "bucket long, chunk long, meta binary, bytes binary, copies binary"
 
 
 def _contexts(depth: int, bits: int, wide: int):  # noqa: ANN202
     """The bytes around each occurrence of a recurring anchor, by bucket.
     meta holds, for each: hash, doc_id, document in the chunk, first window's
-    start in the document, windows, and the anchor's place in them."""
+    start in the document, bytes, and the anchor's place in them. Of occurrences
+    with the same bytes in a chunk only the first is sent; the others go, and
+    their spans (document in the chunk, from, to) come along as copies."""
 
     def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
@@ -146,18 +139,30 @@ def _contexts(depth: int, bits: int, wide: int):  # noqa: ANN202
             c = Chunk(payload, depth)
             recur = C.answered(c.distinct, bits, got) | (c.count > 1)
             pick = np.flatnonzero(recur[c.back])
-            pick = pick[np.argsort(c.hash[pick], kind="stable")]
+            pick = pick[np.argsort(c.first[pick], kind="stable")]
             doc = np.searchsorted(c.offsets, c.first[pick], "right") - 1
             ids = np.array([0 if x is None else x for x in c.ids], np.int64)
-            begin, size = c.first[pick], c.last[pick] - c.first[pick] + depth
+            h, begin, size = c.hash[pick], c.first[pick], c.last[pick] - c.first[pick] + depth
+            place, pos = c.place[pick] - begin, begin - c.offsets[doc]
+            copy = np.zeros(len(pick), bool)
+            raw, seen = c.data.tobytes(), {}
+            for k in np.flatnonzero(c.count[c.back[pick]] > 1).tolist():
+                i = int(begin[k])
+                lead = seen.setdefault((int(h[k]), int(place[k]), raw[i : i + int(size[k])]), k)
+                copy[k] = lead != k and (ids[doc[lead]], pos[lead]) < (ids[doc[k]], pos[k])
+            if copy.any():
+                spans = np.stack([doc[copy], pos[copy], pos[copy] + size[copy]])
+                for name, value in zip(CONTEXT.names, (number % (1 << wide), number, None, None, C.squeeze(spans.ravel())), strict=True):
+                    out[name].append(value)
             # within a bucket in order of place, so that neighbours' bytes repeat
-            b = (c.hash[pick] >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(len(pick), np.int64)
-            order = np.lexsort((begin, b))
+            b = (h >> np.uint64(64 - wide)).astype(np.int64) if wide else np.zeros(len(pick), np.int64)
+            own = np.flatnonzero(~copy)
+            order = own[np.lexsort((begin[own], b[own]))]
             for i, j in C.runs(b[order]):
                 o = order[i:j]
-                meta = np.stack([c.hash[pick][o].view(np.int64), ids[doc[o]], doc[o], begin[o] - c.offsets[doc[o]], size[o], c.place[pick][o] - begin[o]])
+                meta = np.stack([h[o].view(np.int64), ids[doc[o]], doc[o], pos[o], size[o], place[o]])
                 where = np.arange(int(size[o].sum())) + np.repeat(begin[o] - (np.cumsum(size[o]) - size[o]), size[o])
-                for name, value in zip(CONTEXT.names, (int(b[o[0]]), number, C.squeeze(meta.ravel()), z.compress(c.data[where].tobytes())), strict=True):
+                for name, value in zip(CONTEXT.names, (int(b[o[0]]), number, C.squeeze(meta.ravel()), z.compress(c.data[where].tobytes()), None), strict=True):
                     out[name].append(value)
         return pa.Table.from_pydict(out, CONTEXT)
 
@@ -224,6 +229,11 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, size: np.ndarray, place:
 def _sort(depth: int):  # noqa: ANN202
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         z = zstandard.ZstdDecompressor()
+        extra = rows[rows["meta"].isna()]
+        out: dict[str, list] = {"chunk": extra["chunk"].tolist(), "spans": extra["copies"].tolist()}
+        rows = rows[rows["meta"].notna()]
+        if not len(rows):
+            return pd.DataFrame(out)
         metas = [C.unsqueeze(m, np.int64).reshape(6, -1) for m in rows["meta"]]
         meta = np.concatenate(metas, axis=1)
         chunk = np.repeat(rows["chunk"].to_numpy(), [m.shape[1] for m in metas])
@@ -258,7 +268,6 @@ def _sort(depth: int):  # noqa: ANN202
         occ = np.concatenate([o[a], copies])
         lo = np.concatenate([pos[o[a]] + w[a], pos[copies]])
         hi = np.concatenate([pos[o[a]] + w[b] + depth, pos[copies] + size[copies]])
-        out: dict[str, list] = {"chunk": [], "spans": []}
         order = np.argsort(chunk[occ], kind="stable")
         for i, j in C.runs(chunk[occ][order]):
             k = order[i:j]
@@ -300,13 +309,12 @@ def repeated_bytes(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
         raise ValueError(f"depth must lie between {GRAM + 2} and 250")
     prepare(docs.sparkSession)
     chunks = C.make(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    total = chunks.agg(F.sum("bytes")).collect()[0][0] or 0
+    n, total = chunks.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).collect()[0]
     bits = C.bucket_bits(2 * total // (depth - GRAM + 2), BUCKET_ANCHORS)
     wide = C.bucket_bits(total, BUCKET_BYTES // 4)
     body = chunks.select("chunk", "payload")
-    sent = body.mapInArrow(_send(depth, bits), "bucket long, chunk long, hashes binary")
-    answers = stored(sent.groupBy("bucket").applyInPandas(_answer, "chunk long, bucket long, bits binary"), "answers")
-    context = body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(depth, bits, wide), "bucket long, chunk long, meta binary, bytes binary")
+    answers = C.settle(body.mapInArrow(_send(depth, bits), C.SENT), n, earlier=False)
+    context = body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(depth, bits, wide), CONTEXT_DDL)
     spans = stored(context.groupBy("bucket").applyInPandas(_sort(depth), "chunk long, spans binary"), "spans")
     return body.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_cut, OUT_DDL)
 
