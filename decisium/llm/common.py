@@ -4,9 +4,12 @@ cluster's shared folder and small helpers around Arrow batches."""
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,25 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts, unless the session says."""
+    """Keep Arrow batches small enough for texts, unless the session says, and
+    see that workers can import this package."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, BATCH_ROWS)
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send this package to Python workers that can't import it by PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any("decisium-" in f for f in sc._python_includes):
+        return
+    path = Path(tempfile.mkdtemp()) / f"decisium-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "decisium").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,12 +74,12 @@ def _clean() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back, which
     cuts lineage and survives the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

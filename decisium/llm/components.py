@@ -6,6 +6,7 @@ nodes, such as the hub of a star, are split by adaptive execution."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +27,25 @@ def components(links: DataFrame) -> DataFrame:
         if jumped.where("label <> old").isEmpty():
             return jumped.select("node", F.col("label").alias("component"))
         labels = jumped.select("node", "label")
+
+
+class Forest:
+    """Least-label components of links within a task's group."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        lab = self.label
+        while len(a):
+            ra, rb = lab[a], lab[b]
+            if (ra == rb).all():
+                return
+            low = np.minimum(ra, rb)
+            np.minimum.at(lab, ra, low)
+            np.minimum.at(lab, rb, low)
+            while True:
+                up = lab[lab]
+                if (up == lab).all():
+                    break
+                lab[:] = up

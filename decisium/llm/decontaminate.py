@@ -93,17 +93,17 @@ class Index:
 
 
 class _Filter:
-    """Sorted values behind a table of their upper bits."""
+    """Sorted values behind a table of their lower bits."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
         bits = min(22, max(10, int(np.ceil(np.log2(len(values) + 1))) + 5))
-        self.shift = np.uint64(64 - bits)
+        self.mask = np.uint64((1 << bits) - 1)
         self.table = np.zeros(1 << bits, bool)
-        self.table[(values >> self.shift).astype(np.int64)] = True
+        self.table[(values & self.mask).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
+        at = np.flatnonzero(self.table[(h & self.mask).astype(np.int64)])
         if not len(at) or not len(self.values):
             return at[:0]
         k = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
-from .components import components
+from .components import Forest, components
 
 SAMPLE, LIST_SIZE, MOST_LISTS, PROBES, SUBSPACES = 20_000, 256, 4096, 24, 8
 MEMBER_BLOCK, QUERY_BLOCK, CHUNK = 2048, 8192, 256
@@ -171,28 +171,6 @@ def _radius(one: DataFrame, codes, dim: int, n: int) -> np.ndarray:  # noqa: ANN
     return out
 
 
-class _Forest:
-    """Least-label components of links within a task's group."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        lab = self.label
-        while len(a):
-            ra, rb = lab[a], lab[b]
-            if (ra == rb).all():
-                return
-            low = np.minimum(ra, rb)
-            np.minimum.at(lab, ra, low)
-            np.minimum.at(lab, rb, low)
-            while True:
-                up = lab[lab]
-                if (up == lab).all():
-                    break
-                lab[:] = up
-
-
 def _search(codes, dim: int, least: float):  # noqa: ANN001, ANN202
     def run(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(queries):
@@ -206,7 +184,7 @@ def _search(codes, dim: int, least: float):  # noqa: ANN001, ANN202
         asked, home = members["probes"].tolist(), queries["home"].to_numpy()
         asked_set = [set(p.tolist()) for p in asked]
         ids, back = np.unique(np.concatenate([q_rep, m_rep]), return_inverse=True)
-        forest = _Forest(len(ids))
+        forest = Forest(len(ids))
         n_q, n_m = np.zeros(len(queries), np.int64), np.zeros(len(members), np.int64)
         for i in range(0, len(queries), CHUNK):
             q = qu[i : i + CHUNK]
