@@ -122,3 +122,106 @@ def contaminated(rows: list[tuple], items: list[tuple], span: int = 10) -> dict:
                     found |= got
         out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
+
+
+def deduped_lines(rows: list[tuple], min_words: int = 10) -> dict:
+    """Lines removed and text left of each document (null if no line is left)."""
+    from decisium.llm import line_dedup
+
+    doc = {r[0]: [x for x in (r[1] or "").split("\n") if x] for r in rows}
+    size = lambda x: len(WORD.findall(x))
+    first: dict = {}
+    for d in sorted(doc):
+        if doc[d]:
+            first.setdefault(tuple(doc[d]), d)
+    reps = sorted(first.values())
+    holders: dict = {}
+    for d in reps:
+        for x in set(doc[d]):
+            if size(x) >= line_dedup.MIN_LINE:
+                holders.setdefault(x, []).append(d)
+    out = {}
+    for d, x in doc.items():
+        rep = first.get(tuple(x))
+        if rep is not None and rep != d:
+            gone = set(range(len(x))) if sum(map(size, x)) >= min_words else set()
+            out[d] = gone
+            continue
+        partners = {holders[y][0] for y in set(x) if y in holders and 1 < len(holders[y]) <= max(2, int(line_dedup.RARE * len(reps)))} - {d}
+        gone = set()
+        for p in partners:
+            if p < d:
+                for _, j, n in line_dedup.patience(doc[p], x):
+                    if sum(map(size, x[j : j + n])) >= min_words:
+                        gone.update(range(j, j + n))
+        out[d] = gone
+    kept = {}
+    for d, text, *_ in rows:
+        k, left = -1, []
+        for line in (text or "").split("\n"):
+            k += line != ""
+            if line == "" or k not in out[d]:
+                left.append(line)
+        kept[d] = text if not out[d] else "\n".join(left) if len(out[d]) < len(doc[d]) else None
+    return {d: (len(out[d]), kept[d]) for d in out}
+
+
+def best_fit(counts: dict, size: int) -> list[int]:
+    """Fill of each bin by best-fit decreasing, one piece at a time."""
+    free: list[int] = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            open_ = [(f, i) for i, f in enumerate(free) if f >= length]
+            if open_:
+                free[min(open_)[1]] -= length
+            else:
+                free.append(size - length)
+    return sorted(size - f for f in free)
+
+
+def bucket_counts(text: str | None) -> dict:
+    """n-gram buckets of one text, by plain loops."""
+    import numpy as np
+
+    from decisium.llm import language_id
+
+    out: dict = {}
+    raw = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", "".join(c.lower() if c.isascii() else c for c in text or "").encode()).strip(b" ")
+    raw = raw + b" " if len(raw) > 1 else b" "
+    for k in language_id.ORDERS:
+        for i in range(len(raw) - k + 1):
+            g = raw[i : i + k]
+            if b" " in g[1:-1] or g == b" " or (k > 1 and g[:1] == b" " == g[-1:]):
+                continue
+            b = int(language_id.mix(np.array([int.from_bytes(g, "big") + (k << 40)], np.uint64))[0] >> np.uint64(49))
+            out[b] = out.get(b, 0) + 1
+    return out
+
+
+def languages(rows: list[tuple]) -> dict:
+    """(language, posterior) of each document by naive Bayes in plain loops."""
+    import math
+    import zlib
+
+    from decisium.llm import language_id
+
+    grams = {r[0]: bucket_counts(r[1]) for r in rows}
+    train = [r for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    langs = sorted({r[2] for r in train})
+    n = {x: defaultdict(int) for x in langs}
+    docs = defaultdict(int)
+    for r in train:
+        docs[r[2]] += 1
+        for b, k in grams[r[0]].items():
+            n[r[2]][b] += k
+    total = {x: sum(n[x].values()) + 0.5 * language_id.BUCKETS for x in langs}
+    out = {}
+    for d, text, *_ in rows:
+        if not text or not any(c.isalpha() for c in text) or not langs:
+            out[d] = ("und", 0.0)
+            continue
+        scale = min(1, language_id.SCORE_GRAMS / max(1, sum(grams[d].values())))
+        like = [scale * sum(k * math.log((n[x][b] + 0.5) / total[x]) for b, k in grams[d].items()) + math.log(docs[x] / len(train)) for x in langs]
+        top = max(like)
+        out[d] = (langs[like.index(top)], 1 / sum(math.exp(v - top) for v in like))
+    return out

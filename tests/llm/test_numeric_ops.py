@@ -82,18 +82,6 @@ def test_token_store_damage_and_empty(spark, tmp_path):
         token_store.documents(spark, str(tmp_path / "d")).collect()
 
 
-def best_fit(counts, size):
-    free: list[int] = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            open_ = [(f, i) for i, f in enumerate(free) if f >= length]
-            if open_:
-                free[min(open_)[1]] -= length
-            else:
-                free.append(size - length)
-    return sorted(size - f for f in free)
-
-
 def test_plan_equals_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(150):
@@ -113,7 +101,7 @@ def test_plan_equals_best_fit_decreasing():
             for offset, length in sorted(parts):
                 assert offset == at
                 at += length
-        assert sorted(sum(x for _, x in p) for p in bins.values()) == best_fit(counts, size)
+        assert sorted(sum(x for _, x in p) for p in bins.values()) == H.best_fit(counts, size)
 
 
 def test_packing(spark):
@@ -137,7 +125,7 @@ def test_packing(spark):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-    assert sorted(sum(x for _, x in p) for p in bins.values()) == best_fit(counts, 64)
+    assert sorted(sum(x for _, x in p) for p in bins.values()) == H.best_fit(counts, 64)
     assert packing.pack(spark.createDataFrame([], H.SCHEMA), TOKENIZER).collect() == []
 
 
@@ -163,27 +151,14 @@ def test_language_id(spark):
     assert language_id.predict(none, model).collect() == []
 
 
-def brute_bucket_counts(texts):
-    import re
-
-    out = np.zeros(language_id.BUCKETS, np.int64)
-    for t in texts:
-        raw = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", "".join(c.lower() if c.isascii() else c for c in t or "").encode()).strip(b" ")
-        raw = raw + b" " if len(raw) > 1 else b" "
-        for k in language_id.ORDERS:
-            for i in range(len(raw) - k + 1):
-                g = raw[i : i + k]
-                if b" " in g[1:-1] or g == b" " or (k > 1 and g[:1] == b" " == g[-1:]):
-                    continue
-                v = int.from_bytes(g, "big") + (k << 40)
-                out[int(language_id.mix(np.array([v], np.uint64))[0] >> np.uint64(49))] += 1
-    return out
-
-
 def test_ngrams_stay_within_texts():
     texts = ["ab c", None, "", "  Dé!x ", "z", "q1q"]
     grams, owners = language_id.buckets(pa.array(texts, pa.string()))
-    assert (sum(np.bincount(g, minlength=language_id.BUCKETS) for g in grams) == brute_bucket_counts(texts)).all()
+    want = np.zeros(language_id.BUCKETS, np.int64)
+    for x in texts:
+        for b, n in H.bucket_counts(x).items():
+            want[b] += n
+    assert (sum(np.bincount(g, minlength=language_id.BUCKETS) for g in grams) == want).all()
     for g, o in zip(grams, owners, strict=True):
         assert o[0] == 0 and o[-1] == len(g) and (np.diff(o) >= 0).all()
 

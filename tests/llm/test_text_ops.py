@@ -22,8 +22,11 @@ def extra(df):
     return df.selectExpr("*", "1 as chunk", "2 as rep", "3 as sig", "4 as h", "5 as marks0", "6 as part", "7 as node")
 
 
-@pytest.mark.parametrize(("seed", "shingle"), [(1, 2), (2, 2), (3, 5)])
-def test_near_duplicates(spark, seed, shingle):
+@pytest.mark.parametrize(("seed", "shingle", "blocks"), [(1, 2, (512, 2048)), (2, 2, (2, 3)), (3, 5, (512, 2048))])
+def test_near_duplicates(spark, seed, shingle, blocks, monkeypatch):
+    monkeypatch.setattr(near_dup, "A_BLOCK", blocks[0])
+    monkeypatch.setattr(near_dup, "B_BLOCK", blocks[1])
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 1_000_000 if blocks[0] > 2 else 0)
     rows = H.corpus(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(extra(table(spark, rows)), shingle).collect()}
     assert got == H.near(rows, shingle)
@@ -45,7 +48,15 @@ def test_near_duplicates_chain_and_hot_lists(spark):
 
 
 def test_least_shared():
-    assert 15 <= near_dup.least_shared(80) <= 25
+    assert 15 <= near_dup.least_shared(80, 48) <= 25 and 45 <= near_dup.least_shared(80, 96) <= 60
+
+
+def test_estimate():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        s, t = (np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in rng.integers(1, 300, 2))
+        union = np.union1d(s, t)[: near_dup.KEEP]
+        assert near_dup.estimate(s, t) == (len(np.intersect1d(np.intersect1d(union, s), t)), len(union))
 
 
 def test_near_duplicates_edges(spark):
@@ -55,9 +66,10 @@ def test_near_duplicates_edges(spark):
     assert near_dup.near_duplicates(table(spark, []), 2).collect() == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_phrases(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "part"), [(1, 1 << 15), (2, 3)])
+def test_phrases(spark, seed, part, monkeypatch):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(chunks, "PART_CHUNKS", part)
     monkeypatch.setattr(phrase_dedup, "BUCKET_WINDOWS", 1000)
     rows = H.corpus(seed)
     got = {r[0]: tuple(r)[1:4] for r in phrase_dedup.repeated_phrases(extra(table(spark, rows)).repartition(3)).collect()}
@@ -72,9 +84,10 @@ def test_phrases_edges(spark):
     assert phrase_dedup.repeated_phrases(table(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "part"), [(1, 1 << 15), (2, 3)])
+def test_substrings(spark, seed, part, monkeypatch):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(chunks, "PART_CHUNKS", part)
     monkeypatch.setattr(suffix_dedup, "BUCKET_ANCHORS", 300)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 40_000)
     rows = H.corpus(seed)
@@ -150,42 +163,11 @@ def test_patience():
         assert all(i >= p and j >= q for (i, j, _), (p, q) in zip(got[1:], ends, strict=False))
 
 
-def brute_lines(rows, min_words=10):
-    """The whole rule again, with plain loops."""
-    doc = {r[0]: [x for x in (r[1] or "").split("\n") if x] for r in rows}
-    size = lambda x: len(H.WORD.findall(x))
-    first: dict = {}
-    for d in sorted(doc):
-        if doc[d]:
-            first.setdefault(tuple(doc[d]), d)
-    reps = sorted(first.values())
-    holders: dict = {}
-    for d in reps:
-        for x in set(doc[d]):
-            if size(x) >= line_dedup.MIN_LINE:
-                holders.setdefault(x, []).append(d)
-    out = {}
-    for d, x in doc.items():
-        rep = first.get(tuple(x))
-        if rep is not None and rep != d:
-            out[d] = len(x) if sum(map(size, x)) >= min_words else 0
-            continue
-        partners = {holders[y][0] for y in set(x) if y in holders and 1 < len(holders[y]) <= max(2, int(line_dedup.RARE * len(reps)))} - {d}
-        gone = set()
-        for p in partners:
-            if p < d:
-                for _, j, n in line_dedup.patience(doc[p], x):
-                    if sum(map(size, x[j : j + n])) >= min_words:
-                        gone.update(range(j, j + n))
-        out[d] = len(gone)
-    return out
-
-
 @pytest.mark.parametrize("seed", [6, 7])
 def test_lines(spark, seed):
     rows = H.corpus(seed)
     got = line_dedup.line_dedup(extra(table(spark, rows)))
-    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == brute_lines(rows)
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {d: n for d, (n, _) in H.deduped_lines(rows).items()}
     old = {r[0]: r[1] for r in rows}
     for r in got.collect():
         if not r["n_removed"]:
