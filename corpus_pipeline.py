@@ -6,7 +6,7 @@ All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decisium.llm import decontaminate, language_id, line_dedup, near_dup, packing
@@ -15,34 +15,44 @@ from decisium.llm.common import stored
 LEAST_SCORE = 0.5
 
 
-def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the rest of the row as one column, so that no column of
+    docs can clash with one that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+
+
+def _columns(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs from a table with packed rows, some of them new."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | new
+    return df.select(*[(own[c] if c in own else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts whose language is unsure."""
-    scored = language_id.predict(docs, language_id.fit(docs))
+    scored = language_id.predict(_whole(docs), language_id.fit(docs.select("doc_id", "text", "lang")))
     return _columns(scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated blocks of lines; documents with no line left go."""
-    out = line_dedup.line_dedup(docs).where("not (n_removed > 0 and text is null)")
+    out = line_dedup.line_dedup(_whole(docs)).where("not (n_removed > 0 and text is null)")
+    new = {}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return _columns(out, docs)
+        old = F.col("row").getField("n_chars")
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    return _columns(out, docs, **new)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group."""
     gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return _columns(docs.join(stored(gone, "near-copies"), "doc_id", "left_anti"), docs)
+    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a benchmark passage."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(_whole(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _columns(found.where(F.size("marks") == 0), docs)
 
 
