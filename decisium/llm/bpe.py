@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 from .common import text_buffer
-from .words import _BYTE, _power, mix
+from .words import _BYTE, mix
 
 #: Slots of a worker's cache, and most ids of a cached piece.
-SLOTS, WIDTH = 1 << 21, 8
+SLOTS, WIDTH = 1 << 22, 8
+#: Bytes over which a table of powers runs.
+SPAN = 1 << 18
 LETTER, DIGIT, MARK, QUOTE, SPACE, WHITE, ODD = range(7)
 _CLASS = np.full(256, ODD, np.uint8)
 _CLASS[:128] = MARK
@@ -42,7 +44,7 @@ class Encoder:
         self.tags = np.zeros(SLOTS, np.uint64)
         self.ids = np.zeros((SLOTS, WIDTH), np.uint16 if self.size <= 65536 else np.uint32)
         self.lens = np.zeros(SLOTS, np.uint8)
-        self.busy = np.zeros(SLOTS, bool)
+        self.stamp, self.tick = np.zeros(SLOTS, np.uint8), 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,61 +102,91 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         size = ends - starts
         small = size < 64
-        place = np.arange(len(data)) - np.repeat(starts, size)
-        place[np.repeat(~small, size)] = 0
-        h = mix(np.add.reduceat(_BYTE[data] * _power(64)[place], starts))
+        h = mix(piece_hashes(data, starts, ends))
         h[h == 0] = 1
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (h & np.uint64(len(self.tags) - 1)).astype(np.int64)
         hit = (self.tags[slot] == h) & small & ~odd
         rest: dict[int, list[int]] = {}
-        if not hit.all():
-            miss = np.flatnonzero(~hit)
-            keep = miss[small[miss] & ~odd[miss]]
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            usual = small[miss] & ~odd[miss]
+            keep, alone = miss[usual], miss[~usual]
             _, first, back = np.unique(h[keep], return_index=True, return_inverse=True)
-            new, alone = keep[first], miss[~(small[miss] & ~odd[miss])]
+            new = keep[first]
             raw = data.tobytes()
-            got = self.whole([raw[starts[i] : ends[i]].decode() for i in [*new, *alone]])
-            self.busy[slot[hit]] = True  # what this batch has found stays
-            short = [k for k in range(len(new)) if len(got[k]) <= WIDTH and not self.busy[slot[new[k]]]]
-            self.busy[slot[hit]] = False
-            for k in short:
-                s = slot[new[k]]
-                self.ids[s, : len(got[k])] = got[k]
-                self.lens[s] = len(got[k])
-                self.tags[s] = h[new[k]]
+            got = self.whole([raw[starts[i] : ends[i]].decode() for i in [*new.tolist(), *alone.tolist()]])
+            self.tick = self.tick % 255 + 1
+            if self.tick == 1:
+                self.stamp[:] = 0
+            self.stamp[slot[hit]] = self.tick  # what this batch has found stays
+            where = slot[new]
+            free = (self.stamp[where] != self.tick).tolist()
+            for k, (s, tag) in enumerate(zip(where.tolist(), h[new].tolist(), strict=True)):
+                ids = got[k]
+                if free[k] and len(ids) <= WIDTH:
+                    self.ids[s, : len(ids)] = ids
+                    self.lens[s] = len(ids)
+                    self.tags[s] = tag
             hit[keep] = self.tags[slot[keep]] == h[keep]
             late = np.flatnonzero(~hit[keep])
             rest = {int(keep[i]): got[back[i]] for i in late} | {int(i): got[len(new) + k] for k, i in enumerate(alone)}
-        lens = np.where(hit, self.lens[slot], 0).astype(np.int64)
+        lens = self.lens[slot].astype(np.int64)
         for i, ids in rest.items():
             lens[i] = len(ids)
         upto = np.concatenate([[0], np.cumsum(lens)])
-        doc = np.searchsorted(starts, offsets)
-        out_off = upto[doc] + np.arange(len(offsets)) * extra
-        total = int(upto[-1])
-        flat = np.empty(total, np.uint32)
-        full = slot[hit]
-        mask = np.arange(WIDTH) < self.lens[full][:, None]
-        got_ids = self.ids[full][mask]
-        if rest:
-            own = np.ones(total, bool)
-            for i, ids in rest.items():
-                flat[upto[i] : upto[i + 1]] = ids
-                own[upto[i] : upto[i + 1]] = False
-            flat[own] = got_ids
-        else:
-            flat[:] = got_ids
-        if not extra:
-            return flat, out_off
-        out = np.full(total + len(offsets) - 1, end, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[out_off[1:] - 1] = False
-        out[keep] = flat
+        first = np.searchsorted(starts, offsets)
+        out_off = upto[first] + np.arange(len(offsets)) * extra
+        out = np.full(int(out_off[-1]), end or 0, np.uint32)
+        at = upto[:-1] + (np.repeat(np.arange(len(offsets) - 1), np.diff(first)) if extra else 0)
+        pick, at_hit, left = slot[hit], at[hit], lens[hit]
+        for k in range(WIDTH):
+            out[at_hit] = self.ids[pick, k]
+            more = left > k + 1
+            if not more.any():
+                break
+            pick, at_hit, left = pick[more], at_hit[more] + 1, left[more]
+        for i, ids in rest.items():
+            out[at[i] : at[i] + len(ids)] = ids
         return out, out_off
 
 
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of byte ranges, from sums of bytes times rising powers:
+    a range's sum is divided by the power at its start, which is odd and so has
+    an inverse. Sums start anew every SPAN bytes, to bound the tables."""
+    up, down = _ranks()
+    total = np.zeros(len(data) + 1, np.uint64)
+    for a in range(0, len(data), SPAN):
+        b = min(len(data), a + SPAN)
+        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=total[a + 1 : b + 1])
+        total[a + 1 : b + 1] += total[a]
+    # within one span a plain difference; over a border the powers start anew,
+    # which is as good a hash but depends on the place, so it is made alone
+    out = (total[ends] - total[starts]) * down[starts % SPAN]
+    for i in np.flatnonzero(starts // SPAN != (ends - 1) // SPAN).tolist():
+        n = min(int(ends[i] - starts[i]), SPAN)
+        out[i] = (_BYTE[data[starts[i] : starts[i] + n]] * up[:n]).sum(dtype=np.uint64)
+    return out
+
+
+_tables: list[np.ndarray] = []
+
+
+def _ranks() -> tuple[np.ndarray, np.ndarray]:
+    if not _tables:
+        r = 0x9E3779B97F4A7C15
+        for x in (r, pow(r, -1, 1 << 64)):
+            _tables.append(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SPAN - 1, x, np.uint64), dtype=np.uint64)]))
+    return _tables[0], _tables[1]
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ready:
         _ready[path] = Encoder(path)
     return _ready[path]
+
+
+def forget() -> None:
+    """Frees a reused worker's encoders; for stages after tokenising."""
+    _ready.clear()

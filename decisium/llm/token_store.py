@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .bpe import encoder
+from .bpe import encoder, forget
 from .common import new_path, prepare, slices, stored, task_id
 
-SCALE, LOW = 22, np.uint64(1 << 31)
-LANES, BLOCK, STEPS = 512, 1 << 18, 256
+SCALE, LOW = 20, np.uint64(1 << 31)
+LANES, BLOCK, STEPS = 4096, 1 << 20, 128
 MAGIC = b"rNS1"
 _S, _32, _MASK = np.uint64(SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1)
-TEXT_BYTES = 500_000
+TEXT_BYTES = 200_000
 
 BLOCKS = (
     "part int, first long, n_tokens long, payload binary, payload_crc32 long, ids_crc32 long,"
@@ -169,8 +169,8 @@ def _shift(crc: int, n: int) -> int:
 
 
 def tokens(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and zstd-packed ids of every document, and from each
-    task one row (n_tokens -1) of packed counts by token."""
+    """doc_id, n_tokens and ids (as bytes) of every document, and from each task
+    one row (n_tokens -1) of packed counts by token."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +181,10 @@ def tokens(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_co
             for part in slices(batch, "text", TEXT_BYTES):
                 ids, o = e.batch(part.column("text"), end)
                 counts += np.bincount(ids, minlength=len(counts))
-                packed = ids.astype(kind)
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(np.diff(o)), pa.array([z.compress(packed[o[i] : o[i + 1]].tobytes()) for i in range(len(o) - 1)], pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+                raw = ids.astype(kind)
+                at = (o * raw.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]) if int(o[-1]) * raw.itemsize < 1 << 31 else pa.array([raw[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(o)), packed], ["doc_id", "n_tokens", "ids"])
         yield pa.record_batch([pa.array([None], pa.int64()), pa.array([-1]), pa.array([z.compress(counts.tobytes())], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -256,7 +255,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str
     freq = spark.sparkContext.broadcast(table.freq)  # as long as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, pack = zstandard.ZstdDecompressor(), _Pack(task_id(), Table(freq.value))
+        forget()
+        pack = _Pack(task_id(), Table(freq.value))
         kind = np.uint16 if len(freq.value) <= 65536 else np.uint32
         schema = _schema()
 
@@ -265,7 +265,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str
 
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(z.decompress(raw.as_py()), kind).astype(np.uint32)
+                ids = np.frombuffer(raw.as_py(), kind).astype(np.uint32)
                 yield from map(out, pack.add(doc_id, ids))
         yield from map(out, pack.flush())
 
@@ -302,6 +302,7 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, piece int, pieces int, length long, crc long" + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table = Table(freq.value)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -332,8 +333,8 @@ def _joined(pieces: list) -> int:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document in the files.
-    Only documents cut over several blocks are grouped."""
-    pieces = read(spark, path)
+    Blocks are decoded once; only documents cut over several blocks are grouped."""
+    pieces = stored(read(spark, path), "pieces")
     one = pieces.where("pieces = 1").select("doc_id", "start", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     more = (
         pieces.where("pieces > 1")
