@@ -7,6 +7,7 @@ the caller's order, which is the order of slots; ties go to the first option."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: an expression that a lambda
+    captures would be evaluated for each element of its array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def slot_valid(count: Column, slot: Column) -> Column:
     """Slots of options and abstain; a padding question keeps slot 0."""
     return (slot < count) | (slot == ABSTAIN) | ((count == 0) & (slot == 0))
@@ -38,10 +45,10 @@ def with_probabilities(df: DataFrame, logits: str = "logits", abstain: str = "ab
         df.withColumn("_z", F.transform(logits, lambda x: x / t))
         .withColumn("_za", F.col(abstain) / t)
         .withColumn("_m", F.greatest(F.array_max("_z"), "_za"))
-        .withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_m"))))
+        .withColumn("_e", let(F.col("_m"), lambda m: F.transform("_z", lambda x: F.exp(x - m))))
         .withColumn("_ea", F.exp(F.col("_za") - F.col("_m")))
         .withColumn("_s", total(F.col("_e")) + F.col("_ea"))
-        .withColumn("p", F.transform("_e", lambda x: x / F.col("_s")))
+        .withColumn("p", let(F.col("_s"), lambda s: F.transform("_e", lambda x: x / s)))
         .withColumn("p_abstain", F.col("_ea") / F.col("_s"))
         .withColumn("pk", normal(F.col("p")))
         .drop("_z", "_za", "_m", "_e", "_ea", "_s")
@@ -49,8 +56,7 @@ def with_probabilities(df: DataFrame, logits: str = "logits", abstain: str = "ab
 
 
 def normal(p: Column) -> Column:
-    s = F.greatest(total(p), F.lit(TINY))
-    return F.transform(p, lambda x: x / s)
+    return let(p, lambda q: let(F.greatest(total(q), F.lit(TINY)), lambda s: F.transform(q, lambda x: x / s)))
 
 
 def confidence(pk: Column) -> Column:
@@ -90,8 +96,7 @@ def cyclic_shifts(k: Column, n: Column) -> Column:
 
 
 def shifted(options: Column, shift: Column) -> Column:
-    k = F.size(options)
-    return F.transform(options, lambda _, j: F.element_at(options, F.pmod(j + shift, k) + 1))
+    return let(options, lambda xs: F.transform(xs, lambda _, j: F.element_at(xs, F.pmod(j + shift, F.size(xs)) + 1)))
 
 
 def cross_entropy(p: Column, p_abstain: Column, label: Column, smoothing: float = 0.0) -> Column:

@@ -277,7 +277,8 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = item.where(F.size("w") > 5).select("item_id", F.array_join(F.slice("w", 2, 4), " ").alias("key"))
     d = docs(spark, sf_dir).select("doc_id", "text")
     w = F.split("text", r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, 4), " "))
+    shifted = [F.slice(w, i, F.greatest(F.lit(0), F.size(w) - 3)).alias(f"w{i}") for i in (1, 2, 3, 4)]
+    runs = F.transform(F.arrays_zip(*shifted), lambda x: F.concat_ws(" ", x["w1"], x["w2"], x["w3"], x["w4"]))
     hit = d.where(F.size(w) > 3).select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed, "key").select("doc_id", "item_id").distinct()
     found = hit.join(item.select("item_id", "passage"), "item_id").join(d, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
     short = item.where(F.size("w") <= 5)
