@@ -10,6 +10,15 @@ hashes: common heads and tails, then lines that are unique on both sides, in
 their longest increasing order, then the gaps between them. Aligned blocks with
 at least `min_words` words in all go from the later document, empty lines stay.
 
+With `whole`, a document is aligned with every earlier one that shares a run of
+consecutive lines with it, as far as that can still take lines from it. Any
+block that goes is covered by runs which reach min_words and have no line to
+spare, at their end or at their begin; their hashes are the join keys (of those
+with a line of MIN_LINE words, in at most RARE of the classes). First holders
+come first, as above; then, for documents with lines of shared runs that still
+stand, the next holders of these runs, in blocks that grow fourfold. A run
+without such lines needs no further holder, as none could take more.
+
 Judged on the input: what is deleted from one document still counts as the
 first occurrence for others. Null texts stay null; a null doc_id is neither
 deduplicated nor first; repeated rows with one doc_id are one document."""
@@ -22,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import prepare, slices, stored, text_buffer
-from .words import BLANK, find
+from .words import BLANK, find, mix
 
 RARE, MIN_LINE, TEXT_BYTES = 0.5, 4, 500_000
+_R = 0x9E3779B97F4A7C15
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 
@@ -126,21 +136,95 @@ def _align(min_words: int):  # noqa: ANN202
     return run
 
 
-def removals(docs: DataFrame, min_words: int) -> DataFrame:
+def runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document, begin and end of the runs of consecutive lines that reach
+    min_words, but not without their last line or not without their first."""
+    n, c = len(h), np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    i, doc = np.arange(n), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    end = np.maximum(np.searchsorted(c, c[:-1] + min_words), i + 1)
+    begin = np.minimum(np.searchsorted(c, c[1:] - min_words, "right") - 1, i)
+    ahead, back = end <= first[1:][doc], begin >= first[:-1][doc]
+    both = np.unique(np.concatenate([i[ahead] * (n + 1) + end[ahead], begin[back] * (n + 1) + i[back] + 1]))
+    s, e = both // (n + 1), both % (n + 1)
+    long = np.concatenate([[0], np.cumsum(w >= MIN_LINE)])
+    s, e = s[ok := long[e] > long[s]], e[ok]
+    up, down = (np.cumprod(np.where(np.arange(n + 1) > 0, np.uint64(r), np.uint64(1)), dtype=np.uint64) for r in (_R, pow(_R, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.astype(np.uint64) * up[:-1], dtype=np.uint64)])
+    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).astype(np.int64), doc[s], s, e
+
+
+def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines and their words of all rows, and where each row's begin."""
+    h, w = b.column("h"), b.column("w")
+    return h.flatten().to_numpy(), w.flatten().to_numpy(), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
+
+
+def _keys(min_words: int, left: bool = False):  # noqa: ANN202
+    """The keys of each row's runs, once each; left: of runs with a line that isn't in gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, w, first = _lists(b)
+            key, doc, s, e = runs(h, w, first, min_words)
+            if left:
+                stands = np.ones(len(h), bool)
+                for at, gone in zip(first.tolist(), b.column("gone").to_pylist(), strict=False):
+                    stands[at + np.array(gone or [], np.int64)] = False
+                c = np.concatenate([[0], np.cumsum(stands)])
+                key, doc = key[ok := c[e] > c[s]], doc[ok]
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+            yield pa.record_batch([pa.array(key[once]), b.column("rep").take(pa.array(doc[once]))], ["line", "rep"])
+
+    return run
+
+
+def _further(held: DataFrame, heads: DataFrame, side: DataFrame, pairs: DataFrame, gone: DataFrame, align, min_words: int) -> DataFrame:  # noqa: ANN001
+    """gone after alignment with all holders. held: line, rep; pairs: those aligned."""
+    place = F.row_number().over(Window.partitionBy("line").orderBy("rep"))
+    shared = stored(held.join(heads.where("df > 2").select("line"), "line").withColumn("place", place), "line-holders")
+    standing, lo, hi = shared.where("place > 2"), 1, 2
+    while True:
+        texts = side.join(standing.select("rep").distinct(), "rep", "left_semi").join(gone, "rep", "left")
+        standing = stored(standing.where(F.col("place") > lo + 1).join(texts.mapInArrow(_keys(min_words, left=True), "line long, rep long"), ["line", "rep"]), "line-standing")
+        if standing.isEmpty():
+            return gone
+        next_ = shared.where((F.col("place") > lo) & (F.col("place") <= hi)).select("line", F.col("rep").alias("owner"), F.col("place").alias("at"))
+        more = stored(standing.join(next_, "line").where("at < place").select("owner", "rep").distinct().join(pairs, ["owner", "rep"], "left_anti"), "line-pairs")
+        gone = stored(_merged(gone.unionByName(align(more))), "line-gone")
+        pairs, lo, hi = pairs.unionByName(more), hi, 4 * hi
+
+
+def _merged(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def removals(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     """doc_id, sig and gone (places among the lines that aren't empty; null:
     all of them) of each document that loses lines. docs: doc_id, text."""
     every = stored(lines(docs.where("doc_id is not null and text is not null")).where(F.size("h") > 0), "lines")
     total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
     classes = stored(every.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("w").alias("w")), "line-classes")
     n = classes.count()
-    pos = classes.select("rep", F.posexplode("h").alias("k", "line"), "w").where(F.element_at("w", F.col("k") + 1) >= MIN_LINE).select("line", "rep").distinct()
-    held = stored(pos, "held")
-    heads = stored(held.groupBy("line").agg(F.min("rep").alias("owner"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= max(2, int(RARE * n)))).select("line", "owner"), "line-heads")
-    pairs = stored(held.join(heads, "line").where("owner < rep").select("owner", "rep").distinct(), "line-pairs")
     side = classes.select("rep", "h", "w")
-    full = pairs.join(side.select(F.col("rep").alias("owner"), F.col("h").alias("h_a")), "owner").join(side.select("rep", F.col("h").alias("h_b"), F.col("w").alias("w_b")), "rep")
-    gone = full.select("rep", "h_a", "h_b", "w_b").mapInArrow(_align(min_words), "rep long, gone array<int>").where(F.size("gone") > 0)
-    gone = stored(gone.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "line-gone")
+    if whole:
+        held = stored(side.mapInArrow(_keys(min_words), "line long, rep long"), "held")
+    else:
+        pos = classes.select("rep", F.posexplode("h").alias("k", "line"), "w").where(F.element_at("w", F.col("k") + 1) >= MIN_LINE).select("line", "rep").distinct()
+        held = stored(pos, "held")
+    heads = stored(held.groupBy("line").agg(F.min("rep").alias("owner"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= max(2, int(RARE * n)))), "line-heads")
+    pairs = stored(held.join(heads, "line").where("owner < rep").select("owner", "rep").distinct(), "line-pairs")
+
+    def align(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(side.select(F.col("rep").alias("owner"), F.col("h").alias("h_a")), "owner").join(side.select("rep", F.col("h").alias("h_b"), F.col("w").alias("w_b")), "rep")
+        return full.select("rep", "h_a", "h_b", "w_b").mapInArrow(_align(min_words), "rep long, gone array<int>").where(F.size("gone") > 0)
+
+    gone = stored(_merged(align(pairs)), "line-gone")
+    if whole:
+        gone = _further(held, heads, side, pairs, gone, align, min_words)
     by_class = stored(classes.select("sig", "rep", (total >= min_words).alias("long")).join(gone, "rep", "left"), "line-classes")
     mine = every.select("doc_id", "sig").join(by_class, "sig").where(F.expr("(doc_id <> rep and long) or (doc_id = rep and gone is not null)"))
     # rows that repeat a doc_id are one document
@@ -148,12 +232,13 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
     return one.select("doc_id", "x.sig", F.when(F.col("x.copy"), F.lit(None)).otherwise(F.col("x.gone")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """All columns of docs, the text without the lines that go (null where no
-    line is left), n_lines and n_removed (lines that aren't empty)."""
+    line is left), n_lines and n_removed (lines that aren't empty). whole: align
+    with all earlier holders of shared runs, not with first holders of lines."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = stored(removals(rows, min_words).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "gone", F.lit(True).alias("__cut")).withColumnRenamed("gone", "__gone"), "removals")
+    cut = stored(removals(rows, min_words, whole).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "gone", F.lit(True).alias("__cut")).withColumnRenamed("gone", "__gone"), "removals")
     mine = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*[F.col(f"`{c}`") for c in mine])
     joined = base.join(cut, base[id_col].cast("long") == F.col("__id"), "left")
@@ -183,4 +268,4 @@ def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", tex
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return line_dedup(docs, whole=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
