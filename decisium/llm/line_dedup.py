@@ -14,7 +14,9 @@ With `whole`, a document is aligned with every earlier one that shares a run of
 consecutive lines with it, as far as that can still take lines from it. Any
 block that goes is covered by runs which reach min_words and have no line to
 spare, at their end or at their begin; their hashes are the join keys (of those
-with a line of MIN_LINE words, in at most RARE of the classes). First holders
+in at most RARE of the classes). Texts without blanks count by characters: two
+of Chinese or Japanese or four of Thai, Lao, Tibetan, Burmese or Khmer are a
+word. First holders
 come first, as above; then, for documents with lines of shared runs that still
 stand, the next holders of these runs, in blocks that grow fourfold. A run
 without such lines needs no further holder, as none could take more.
@@ -44,22 +46,36 @@ _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 
 
-def line_rows(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
+def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words in each run of bytes without blanks: more than one in scripts that have none."""
+    if not (data >= 0xE0).any():
+        return np.ones(len(starts), np.int64)
+    after = np.append(data[1:], np.uint8(0))
+    is_in = lambda x, lo, hi: (x >= lo) & (x <= hi)
+    half = is_in(data, 0xE3, 0xE9) & ~((data == 0xE3) & (after == 0x80)) | (data == 0xEF) & is_in(after, 0xA4, 0xAB) | (data == 0xF0) & is_in(after, 0xA0, 0xB3)
+    quarter = (data == 0xE0) & (after >= 0xB8) | (data == 0xE1) & (is_in(after, 0x80, 0x82) | is_in(after, 0x9E, 0x9F))
+    c = np.concatenate([[0], np.cumsum(2 * half + quarter, dtype=np.int64)])
+    return np.maximum(1, (c[ends] - c[starts]) // 4)
+
+
+def line_rows(column: pa.Array, whole: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
     """Hashes and word counts of the lines of each text that aren't empty, and
-    a digest of the line hashes."""
+    a digest of the line hashes. whole: words of scripts without blanks count."""
     data, offsets = text_buffer(column)
     lines, words = find(data, offsets, _LINE), find(data, offsets, BLANK)
-    count = np.diff(np.searchsorted(words.starts, np.append(lines.starts, len(data)))) if len(lines.starts) else np.zeros(0, np.int64)
+    units = _units(data, words.starts, words.ends) if whole else np.ones(len(words.starts), np.int64)
+    before = np.concatenate([[0], np.cumsum(units)])
+    count = np.diff(before[np.searchsorted(words.starts, np.append(lines.starts, len(data)))]) if len(lines.starts) else np.zeros(0, np.int64)
     cuts = lines.first[1:-1]
     hashes = np.split(lines.hashes.astype(np.int64), cuts)
     return hashes, np.split(count.astype(np.int32), cuts), [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashes]
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):
-                h, w, sig = line_rows(b.column("text"))
+                h, w, sig = line_rows(b.column("text"), whole)
                 yield pa.record_batch([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.int32()))], ["doc_id", "sig", "h", "w"])
 
     return docs.mapInArrow(run, "doc_id long, sig binary, h array<long>, w array<int>")
@@ -146,8 +162,6 @@ def runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, min_words: int) -> tup
     ahead, back = end <= first[1:][doc], begin >= first[:-1][doc]
     both = np.unique(np.concatenate([i[ahead] * (n + 1) + end[ahead], begin[back] * (n + 1) + i[back] + 1]))
     s, e = both // (n + 1), both % (n + 1)
-    long = np.concatenate([[0], np.cumsum(w >= MIN_LINE)])
-    s, e = s[ok := long[e] > long[s]], e[ok]
     up, down = (np.cumprod(np.where(np.arange(n + 1) > 0, np.uint64(r), np.uint64(1)), dtype=np.uint64) for r in (_R, pow(_R, -1, 1 << 64)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.astype(np.uint64) * up[:-1], dtype=np.uint64)])
     return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).astype(np.int64), doc[s], s, e
@@ -205,7 +219,7 @@ def _merged(gone: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     """doc_id, sig and gone (places among the lines that aren't empty; null:
     all of them) of each document that loses lines. docs: doc_id, text."""
-    every = stored(lines(docs.where("doc_id is not null and text is not null")).where(F.size("h") > 0), "lines")
+    every = stored(lines(docs.where("doc_id is not null and text is not null"), whole).where(F.size("h") > 0), "lines")
     total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
     classes = stored(every.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("w").alias("w")), "line-classes")
     n = classes.count()

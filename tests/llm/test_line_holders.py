@@ -90,5 +90,19 @@ def test_runs_cover_blocks():
         assert all(both[1][a:b].sum() >= 10 for a, b in zip(s, e, strict=True))
         assert set(key[doc == 1].tolist()) <= set(key[doc == 0].tolist())
         covered = {k for a, b, d in zip(s, e, doc, strict=True) if d == 1 for k in range(a, b)}
-        if w[i:j].sum() >= 10 and (w[i:j] >= line_dedup.MIN_LINE).all():
+        if w[i:j].sum() >= 10:
             assert covered == set(range(n, n + j - i))
+
+
+def test_blocks_of_short_lines(spark):
+    menu = "\n".join(line(f"dish{i}x", 3) for i in range(10))
+    rows = rows_of([line("a") + "\n" + menu, line("b") + "\n" + menu, *others(6)])
+    want = all_pairs(rows)
+    assert want[1] == 10
+    assert removed(spark, rows) == want
+
+
+def test_texts_without_blanks(spark):
+    same = {"zh": "我们在城市的公园里看见了许多不同颜色的花和树", "th": "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำในประโยคยาวๆ", "few": "花和树"}
+    rows = rows_of([x for k, t in same.items() for x in (line(f"{k}a") + "\n" + t, line(f"{k}b") + "\n" + t)] + others(8))
+    assert {d: n for d, n in removed(spark, rows).items() if n} == {1: 1, 3: 1}
