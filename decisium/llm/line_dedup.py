@@ -13,8 +13,8 @@ at least `min_words` words in all go from the later document, empty lines stay.
 With `whole`, a document is aligned with every earlier one that shares a run of
 consecutive lines with it, as far as that can still take lines from it. Any
 block that goes is covered by runs which reach min_words and have no line to
-spare, at their end or at their begin; their hashes are the join keys (of those
-in at most RARE of the classes). Texts without blanks count by characters: two
+spare, at their end or at their begin; their hashes are the join keys, however
+many classes hold them. Texts without blanks count by characters: two
 of Chinese or Japanese or four of Thai, Lao, Tibetan, Burmese or Khmer are a
 word. First holders
 come first, as above; then, for documents with lines of shared runs that still
@@ -223,13 +223,14 @@ def removals(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
     classes = stored(every.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("w").alias("w")), "line-classes")
     n = classes.count()
+    most = n if whole else max(2, int(RARE * n))
     side = classes.select("rep", "h", "w")
     if whole:
         held = stored(side.mapInArrow(_keys(min_words), "line long, rep long"), "held")
     else:
         pos = classes.select("rep", F.posexplode("h").alias("k", "line"), "w").where(F.element_at("w", F.col("k") + 1) >= MIN_LINE).select("line", "rep").distinct()
         held = stored(pos, "held")
-    heads = stored(held.groupBy("line").agg(F.min("rep").alias("owner"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= max(2, int(RARE * n)))), "line-heads")
+    heads = stored(held.groupBy("line").agg(F.min("rep").alias("owner"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= most)), "line-heads")
     pairs = stored(held.join(heads, "line").where("owner < rep").select("owner", "rep").distinct(), "line-pairs")
 
     def align(pairs: DataFrame) -> DataFrame:

@@ -106,3 +106,11 @@ def test_texts_without_blanks(spark):
     same = {"zh": "我们在城市的公园里看见了许多不同颜色的花和树", "th": "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำในประโยคยาวๆ", "few": "花和树"}
     rows = rows_of([x for k, t in same.items() for x in (line(f"{k}a") + "\n" + t, line(f"{k}b") + "\n" + t)] + others(8))
     assert {d: n for d, n in removed(spark, rows).items() if n} == {1: 1, 3: 1}
+
+
+def test_block_in_most_documents(spark):
+    rows = rows_of([f"{line(f'own{i}x')}\n{line('footer')}" for i in range(6)])
+    want = all_pairs(rows)
+    assert want == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    assert removed(spark, rows) == want
+    assert removed(spark, rows[:3]) == all_pairs(rows[:3])
