@@ -13,7 +13,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; long texts make rows large.
 BATCH_ROWS = "1024"
@@ -83,6 +84,30 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and the other columns as one, so that no name of docs can
+    clash with those used inside an operator."""
+    rest = [quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+
+
+def unwrapped(df: DataFrame, docs: DataFrame, text_col: str, added: list[str]) -> DataFrame:
+    """The columns of docs from a table with row and text, and the added ones.
+    A column of docs with the name of an added one is named <name>_input."""
+    own = []
+    for i, c in enumerate(docs.columns):
+        name = c
+        while name in added or (name != c and name in docs.columns):
+            name += "_input"
+        own.append((F.col("text") if c == text_col else F.col("row").getField(f"c{i}")).alias(name))
+    return df.select(*own, *added)
+
+
 def task_id() -> int:
     """Number of the partition that this Python worker works on."""
     from pyspark import TaskContext

@@ -1,29 +1,34 @@
 """Line dedup by pairwise alignment.
 
+A line goes if it lies in a run of consecutive lines with `min_words` words in
+all that an earlier document (one of a smaller doc_id) also holds. Empty lines
+are left out of runs and stay.
+
 Documents that hold the same lines in the same order are one class, whose least
-doc_id stands for it; in its copies every line is a common block. Of the others,
-a document is aligned with each document that is the first (least doc_id) to
-hold one of its rare lines. A line is rare if it has MIN_LINE words and stands
-in at most RARE of the classes. So each line of a document makes at most one
-pair, however many documents share it. Aligning is patience diff over line
-hashes: common heads and tails, then lines that are unique on both sides, in
-their longest increasing order, then the gaps between them. Aligned blocks with
-at least `min_words` words in all go from the later document, empty lines stay.
-
-With `whole`, a document is aligned with every earlier one that shares a run of
-consecutive lines with it, as far as that can still take lines from it. Any
-block that goes is covered by runs which reach min_words and have no line to
-spare, at their end or at their begin; their hashes are the join keys, however
-many classes hold them. Texts without blanks count by characters: two
-of Chinese or Japanese or four of Thai, Lao, Tibetan, Burmese or Khmer are a
-word. First holders
-come first, as above; then, for documents with lines of shared runs that still
-stand, the next holders of these runs, in blocks that grow fourfold. A run
-without such lines needs no further holder, as none could take more.
+doc_id stands for it; in its copies every line is a common block. Other pairs
+come from shared runs: those which reach min_words and have no line to spare, at
+their end or at their begin. They cover every block that can go, as a block of
+common lines is a run of many holders too. A document is aligned with the first
+holder (least doc_id) of each of its runs, so its pairs are at most its runs,
+however many documents share them, and no holder is passed over: what a later
+holder could take, the first one takes as well.
+
+Aligning is patience diff over line hashes: common heads and tails, then lines
+that are unique on both sides, in their longest increasing order, then the gaps
+between them. What one alignment can't hold, as blocks crossed others or their
+lines repeat, is aligned by itself: a run of the later document that still
+stands is laid on its place in the earlier one and grown both ways. Blocks with
+min_words words go from the later document.
+
+Words are parted by blanks; in scripts without blanks two characters of Chinese
+or Japanese or four of Thai, Lao, Tibetan, Burmese or Khmer are a word.
 
 Judged on the input: what is deleted from one document still counts as the
-first occurrence for others. Null texts stay null; a null doc_id is neither
-deduplicated nor first; repeated rows with one doc_id are one document."""
+first occurrence for others. Null texts stay null, empty ones empty; a null
+doc_id is neither deduplicated nor first; rows that repeat a doc_id are one
+document if their texts are equal, and else none is earlier than the other.
+Long texts are worked on line by line; an empty table gives no rows. An input
+column with the name of an added one comes back as <name>_input."""
 
 from __future__ import annotations
 
@@ -33,14 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import prepare, slices, stored, text_buffer
+from .common import prepare, slices, stored, text_buffer, unwrapped, wrapped
 from .words import BLANK, find, mix
 
-RARE, MIN_LINE, TEXT_BYTES = 0.5, 4, 500_000
+TEXT_BYTES = 500_000
 _R = 0x9E3779B97F4A7C15
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
@@ -58,24 +62,23 @@ def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.maximum(1, (c[ends] - c[starts]) // 4)
 
 
-def line_rows(column: pa.Array, whole: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
+def line_rows(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
     """Hashes and word counts of the lines of each text that aren't empty, and
-    a digest of the line hashes. whole: words of scripts without blanks count."""
+    a digest of the line hashes."""
     data, offsets = text_buffer(column)
     lines, words = find(data, offsets, _LINE), find(data, offsets, BLANK)
-    units = _units(data, words.starts, words.ends) if whole else np.ones(len(words.starts), np.int64)
-    before = np.concatenate([[0], np.cumsum(units)])
+    before = np.concatenate([[0], np.cumsum(_units(data, words.starts, words.ends))])
     count = np.diff(before[np.searchsorted(words.starts, np.append(lines.starts, len(data)))]) if len(lines.starts) else np.zeros(0, np.int64)
     cuts = lines.first[1:-1]
     hashes = np.split(lines.hashes.astype(np.int64), cuts)
     return hashes, np.split(count.astype(np.int32), cuts), [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashes]
 
 
-def lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+def lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):
-                h, w, sig = line_rows(b.column("text"), whole)
+                h, w, sig = line_rows(b.column("text"))
                 yield pa.record_batch([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.int32()))], ["doc_id", "sig", "h", "w"])
 
     return docs.mapInArrow(run, "doc_id long, sig binary, h array<long>, w array<int>")
@@ -137,17 +140,53 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_lines(first: list[int], later: list[int], words: list[int], min_words: int) -> list[int]:
-    """Places in `later` of the lines that go."""
-    return [j + k for _, j, n in patience(first, later) if sum(words[j : j + n]) >= min_words for k in range(n)]
+def common_lines(first: list[int], later: list[int], words: list[int], spans: list[tuple[int, int]], min_words: int) -> list[int]:
+    """Places in `later` of the lines that go. spans: its runs, by rising begin."""
+    gone = np.zeros(len(later), bool)
+    for _, j, n in patience(first, later):
+        if sum(words[j : j + n]) >= min_words:
+            gone[j : j + n] = True
+    at: dict[int, list[int]] = {}
+    known: dict[tuple[int, ...], int] = {}  # place of a run in `first`, -1 for none
+    for s, e in spans:
+        if gone[s:e].all():
+            continue
+        if not at:
+            for k, x in enumerate(first):
+                at.setdefault(x, []).append(k)
+        run = tuple(later[s:e])
+        if run not in known:
+            known[run] = next((i for i in at.get(run[0], []) if tuple(first[i : i + e - s]) == run), -1)
+        if known[run] >= 0:
+            lo, hi = _grown(first, later, known[run], s, e - s)
+            gone[lo:hi] = True
+    return np.flatnonzero(gone).tolist()
+
+
+def _grown(a: list[int], b: list[int], i: int, j: int, n: int) -> tuple[int, int]:
+    """Begin and end in b of the block a[i : i + n] = b[j : j + n] grown both ways."""
+    k = 0
+    while i - k > 0 and j - k > 0 and a[i - k - 1] == b[j - k - 1]:
+        k += 1
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        n += 1
+    return j - k, j + n
 
 
 def _align(min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             first, later, words = (b.column(c).to_pylist() for c in ("h_a", "h_b", "w_b"))
-            gone = [common_lines(x, y, w, min_words) for x, y, w in zip(first, later, words, strict=True)]
-            yield pa.record_batch([b.column("rep"), pa.array(gone, pa.list_(pa.int32()))], ["rep", "gone"])
+            h, w, at = _lists(b, "h_b", "w_b")
+            _, doc, s, e = runs(h, w, at, min_words)
+            order = np.lexsort((s, doc))
+            doc, s, e = doc[order], s[order] - at[doc[order]], e[order] - at[doc[order]]
+            edge = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
+            spans = list(zip(s.tolist(), e.tolist(), strict=True))
+            gone = [common_lines(x, y, z, spans[edge[i] : edge[i + 1]], min_words) for i, (x, y, z) in enumerate(zip(first, later, words, strict=True))]
+            yield pa.record_batch([b.column("rep"), b.column("tag"), pa.array(gone, pa.list_(pa.int32()))], ["rep", "tag", "gone"])
 
     return run
 
@@ -167,120 +206,80 @@ def runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, min_words: int) -> tup
     return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).astype(np.int64), doc[s], s, e
 
 
-def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lists(b: pa.RecordBatch, lines: str, words: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines and their words of all rows, and where each row's begin."""
-    h, w = b.column("h"), b.column("w")
+    h, w = b.column(lines), b.column(words)
     return h.flatten().to_numpy(), w.flatten().to_numpy(), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
 
 
-def _keys(min_words: int, left: bool = False):  # noqa: ANN202
-    """The keys of each row's runs, once each; left: of runs with a line that isn't in gone."""
+def _keys(min_words: int):  # noqa: ANN202
+    """The keys of each row's runs, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            h, w, first = _lists(b)
-            key, doc, s, e = runs(h, w, first, min_words)
-            if left:
-                stands = np.ones(len(h), bool)
-                for at, gone in zip(first.tolist(), b.column("gone").to_pylist(), strict=False):
-                    stands[at + np.array(gone or [], np.int64)] = False
-                c = np.concatenate([[0], np.cumsum(stands)])
-                key, doc = key[ok := c[e] > c[s]], doc[ok]
+            key, doc, _, _ = runs(*_lists(b, "h", "w"), min_words)
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
             once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
-            yield pa.record_batch([pa.array(key[once]), b.column("rep").take(pa.array(doc[once]))], ["line", "rep"])
+            mine = pa.array(doc[once])
+            yield pa.record_batch([pa.array(key[once]), b.column("rep").take(mine), b.column("tag").take(mine)], ["run", "rep", "tag"])
 
     return run
 
 
-def _further(held: DataFrame, heads: DataFrame, side: DataFrame, pairs: DataFrame, gone: DataFrame, align, min_words: int) -> DataFrame:  # noqa: ANN001
-    """gone after alignment with all holders. held: line, rep; pairs: those aligned."""
-    place = F.row_number().over(Window.partitionBy("line").orderBy("rep"))
-    shared = stored(held.join(heads.where("df > 2").select("line"), "line").withColumn("place", place), "line-holders")
-    standing, lo, hi = shared.where("place > 2"), 1, 2
-    while True:
-        texts = side.join(standing.select("rep").distinct(), "rep", "left_semi").join(gone, "rep", "left")
-        standing = stored(standing.where(F.col("place") > lo + 1).join(texts.mapInArrow(_keys(min_words, left=True), "line long, rep long"), ["line", "rep"]), "line-standing")
-        if standing.isEmpty():
-            return gone
-        next_ = shared.where((F.col("place") > lo) & (F.col("place") <= hi)).select("line", F.col("rep").alias("owner"), F.col("place").alias("at"))
-        more = stored(standing.join(next_, "line").where("at < place").select("owner", "rep").distinct().join(pairs, ["owner", "rep"], "left_anti"), "line-pairs")
-        gone = stored(_merged(gone.unionByName(align(more))), "line-gone")
-        pairs, lo, hi = pairs.unionByName(more), hi, 4 * hi
-
-
-def _merged(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def removals(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
+def removals(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, sig and gone (places among the lines that aren't empty; null:
     all of them) of each document that loses lines. docs: doc_id, text."""
-    every = stored(lines(docs.where("doc_id is not null and text is not null"), whole).where(F.size("h") > 0), "lines")
-    total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
-    classes = stored(every.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("w").alias("w")), "line-classes")
-    n = classes.count()
-    most = n if whole else max(2, int(RARE * n))
-    side = classes.select("rep", "h", "w")
-    if whole:
-        held = stored(side.mapInArrow(_keys(min_words), "line long, rep long"), "held")
-    else:
-        pos = classes.select("rep", F.posexplode("h").alias("k", "line"), "w").where(F.element_at("w", F.col("k") + 1) >= MIN_LINE).select("line", "rep").distinct()
-        held = stored(pos, "held")
-    heads = stored(held.groupBy("line").agg(F.min("rep").alias("owner"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= most)), "line-heads")
-    pairs = stored(held.join(heads, "line").where("owner < rep").select("owner", "rep").distinct(), "line-pairs")
-
-    def align(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(side.select(F.col("rep").alias("owner"), F.col("h").alias("h_a")), "owner").join(side.select("rep", F.col("h").alias("h_b"), F.col("w").alias("w_b")), "rep")
-        return full.select("rep", "h_a", "h_b", "w_b").mapInArrow(_align(min_words), "rep long, gone array<int>").where(F.size("gone") > 0)
-
-    gone = stored(_merged(align(pairs)), "line-gone")
-    if whole:
-        gone = _further(held, heads, side, pairs, gone, align, min_words)
-    by_class = stored(classes.select("sig", "rep", (total >= min_words).alias("long")).join(gone, "rep", "left"), "line-classes")
+    every = stored(lines(docs.where("doc_id is not null and text is not null")).where(F.size("h") > 0), "lines")
+    total = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x)
+    # rows of one doc_id may hold different texts: tag tells their classes apart
+    tag = F.hash("sig").alias("tag")
+    classes = stored(every.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("w").alias("w")).select("*", tag), "line-classes")
+    side = classes.select("rep", "tag", "h", "w")
+    held = stored(side.mapInArrow(_keys(min_words), "run long, rep long, tag int"), "runs")
+    heads = stored(held.groupBy("run").agg(F.min(F.struct("rep", "tag")).alias("owner"), F.count("*").alias("df")).where("df > 1").drop("df"), "run-heads")
+    pairs = stored(held.join(heads, "run").where("owner.rep < rep").select("owner", "rep", "tag").distinct(), "line-pairs")
+    full = pairs.join(side.select(F.struct("rep", "tag").alias("owner"), F.col("h").alias("h_a")), "owner").join(side.select("rep", "tag", F.col("h").alias("h_b"), F.col("w").alias("w_b")), ["rep", "tag"])
+    aligned = full.select("rep", "tag", "h_a", "h_b", "w_b").mapInArrow(_align(min_words), "rep long, tag int, gone array<int>").where(F.size("gone") > 0)
+    gone = aligned.groupBy("rep", "tag").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    by_class = stored(classes.select("sig", "rep", "tag", (total >= min_words).alias("long")).join(gone, ["rep", "tag"], "left"), "line-classes")
     mine = every.select("doc_id", "sig").join(by_class, "sig").where(F.expr("(doc_id <> rep and long) or (doc_id = rep and gone is not null)"))
-    # rows that repeat a doc_id are one document
-    one = mine.groupBy("doc_id").agg(F.min(F.struct((F.col("doc_id") != F.col("rep")).alias("copy"), "sig", "gone")).alias("x"))
-    return one.select("doc_id", "x.sig", F.when(F.col("x.copy"), F.lit(None)).otherwise(F.col("x.gone")).alias("gone"))
+    return mine.select("doc_id", "sig", F.when(F.col("doc_id") == F.col("rep"), F.col("gone")).alias("gone")).dropDuplicates(["doc_id", "sig"])
 
 
-def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, the text without the lines that go (null where no
-    line is left), n_lines and n_removed (lines that aren't empty). whole: align
-    with all earlier holders of shared runs, not with first holders of lines."""
+    line is left), n_lines and n_removed (lines that aren't empty)."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = stored(removals(rows, min_words, whole).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "gone", F.lit(True).alias("__cut")).withColumnRenamed("gone", "__gone"), "removals")
-    mine = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*[F.col(f"`{c}`") for c in mine])
-    joined = base.join(cut, base[id_col].cast("long") == F.col("__id"), "left")
+    base = wrapped(docs, id_col, text_col)
+    cut = stored(removals(base.select("doc_id", "text"), min_words).groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("sig", "gone")).alias("cut")), "removals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text_col, TEXT_BYTES):
-                h, _, sigs = line_rows(b.column(text_col))
-                texts, cuts, want, gone = (b.column(c).to_pylist() for c in (text_col, "__cut", "__sig", "__gone"))
+            for b in slices(batch, "text", TEXT_BYTES):
+                h, _, sigs = line_rows(b.column("text"))
+                texts, cuts = b.column("text").to_pylist(), b.column("cut").to_pylist()
                 n, removed = [len(x) for x in h], [0] * len(h)
                 for i, text in enumerate(texts):
-                    if not cuts[i] or want[i] != sigs[i]:
-                        continue
-                    drop = set(range(n[i]) if gone[i] is None else gone[i])
-                    removed[i], k, keep = len(drop), -1, []
-                    for line in text.split("\n"):
-                        k += line != ""
-                        if line == "" or k not in drop:
-                            keep.append(line)
-                    texts[i] = "\n".join(keep) if len(drop) < n[i] else None
-                cols = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in mine]
-                yield pa.record_batch([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*mine, "n_lines", "n_removed"])
-
-    schema = StructType([*base.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return joined.select(*[F.col(f"`{c}`") for c in mine], "__cut", "__sig", "__gone").mapInArrow(run, schema)
+                    for c in cuts[i] or []:
+                        if c["sig"] != sigs[i]:
+                            continue  # of another row with this doc_id
+                        drop = set(range(n[i]) if c["gone"] is None else c["gone"])
+                        removed[i], k, keep = len(drop), -1, []
+                        for line in text.split("\n"):
+                            k += line != ""
+                            if line == "" or k not in drop:
+                                keep.append(line)
+                        texts[i] = "\n".join(keep) if len(drop) < n[i] else None
+                yield pa.record_batch([b.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_lines", "n_removed"])
+
+    joined = base.join(cut, base.doc_id == cut.cut_id, "left").select("text", "cut", "row")
+    row = base.schema["row"].dataType.simpleString()
+    return unwrapped(joined.mapInArrow(run, f"row {row}, text string, n_lines long, n_removed long"), docs, text_col, ["n_lines", "n_removed"])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs, whole=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -6,6 +6,7 @@ from .decontaminate import op7_decontamination
 from .language_id import op8_language_id
 from .line_dedup import op5_line_dedup
 from .near_dup import op2_minhash_near_dup
+from .oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP7_SQL, OP9_SQL, OP10_SQL
 from .packing import op6_best_fit_packing
 from .phrase_dedup import op4_phrase_dedup
 from .suffix_dedup import op9_suffix_dedup
@@ -29,4 +30,12 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op3_url_filter": OP3_SQL}
+ORACLES = {
+    "op2_minhash_near_dup": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
+    "op4_phrase_dedup": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op7_decontamination": OP7_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op10_embedding_near_dup": OP10_SQL,
+}

@@ -124,37 +124,31 @@ def contaminated(rows: list[tuple], items: list[tuple], span: int = 10) -> dict:
     return out
 
 
-def deduped_lines(rows: list[tuple], min_words: int = 10) -> dict:
-    """Lines removed and text left of each document (null if no line is left)."""
-    from decisium.llm import line_dedup
+def line_words(line: str) -> int:
+    """Words of a line; in scripts without blanks some characters make one."""
+
+    def quarters(c: str) -> int:
+        o = ord(c)
+        if 0x3040 <= o < 0xA000 or 0xF900 <= o < 0xFB00 or 0x20000 <= o < 0x34000:
+            return 2
+        return int(0xE00 <= o < 0x10C0 or 0x1780 <= o < 0x1800)
+
+    return sum(max(1, sum(map(quarters, w)) // 4) for w in WORD.findall(line))
+
 
+def deduped_lines(rows: list[tuple], min_words: int = 10) -> dict:
+    """Lines removed and text left of each document (null if no line is left):
+    a line goes if it is in a run of lines, of min_words words, that a document
+    with a smaller doc_id holds too. All runs of all documents are compared."""
     doc = {r[0]: [x for x in (r[1] or "").split("\n") if x] for r in rows}
-    size = lambda x: len(WORD.findall(x))
-    first: dict = {}
+    seen: dict = {}
+    runs = {}
     for d in sorted(doc):
-        if doc[d]:
-            first.setdefault(tuple(doc[d]), d)
-    reps = sorted(first.values())
-    holders: dict = {}
-    for d in reps:
-        for x in set(doc[d]):
-            if size(x) >= line_dedup.MIN_LINE:
-                holders.setdefault(x, []).append(d)
-    out = {}
-    for d, x in doc.items():
-        rep = first.get(tuple(x))
-        if rep is not None and rep != d:
-            gone = set(range(len(x))) if sum(map(size, x)) >= min_words else set()
-            out[d] = gone
-            continue
-        partners = {holders[y][0] for y in set(x) if y in holders and 1 < len(holders[y]) <= max(2, int(line_dedup.RARE * len(reps)))} - {d}
-        gone = set()
-        for p in partners:
-            if p < d:
-                for _, j, n in line_dedup.patience(doc[p], x):
-                    if sum(map(size, x[j : j + n])) >= min_words:
-                        gone.update(range(j, j + n))
-        out[d] = gone
+        x, size = doc[d], [line_words(y) for y in doc[d]]
+        runs[d] = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(size[i:j]) >= min_words]
+        for i, j in runs[d]:
+            seen.setdefault(tuple(x[i:j]), d)
+    out = {d: {k for i, j in runs[d] if seen[tuple(doc[d][i:j])] < d for k in range(i, j)} for d in doc}
     kept = {}
     for d, text, *_ in rows:
         k, left = -1, []

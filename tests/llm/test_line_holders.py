@@ -1,4 +1,4 @@
-"""Line dedup against all earlier holders, held to alignment of all pairs."""
+"""Line dedup against all earlier documents, held to a comparison of all runs."""
 
 from __future__ import annotations
 
@@ -12,30 +12,12 @@ from decisium.llm import line_dedup  # noqa: E402
 from . import helpers as H  # noqa: E402
 
 
-def all_pairs(rows: list[tuple], min_words: int = 10) -> dict:
-    """Lines removed where each document is aligned with every earlier one."""
-    size = lambda x: len(H.WORD.findall(x))
-    doc = {r[0]: [x for x in (r[1] or "").split("\n") if x] for r in rows}
-    first: dict = {}
-    for d in sorted(doc):
-        first.setdefault(tuple(doc[d]), d)
-    out = {}
-    for d, x in doc.items():
-        if first[tuple(x)] != d:
-            out[d] = len(x) if sum(map(size, x)) >= min_words else 0
-            continue
-        gone = set()
-        for p in first.values():
-            if p < d:
-                for _, j, n in line_dedup.patience(doc[p], x):
-                    if sum(map(size, x[j : j + n])) >= min_words:
-                        gone.update(range(j, j + n))
-        out[d] = len(gone)
-    return out
+def all_pairs(rows: list[tuple]) -> dict:
+    return {d: n for d, (n, _) in H.deduped_lines(rows).items()}
 
 
 def removed(spark, rows):
-    df = line_dedup.line_dedup(spark.createDataFrame(rows, H.SCHEMA), whole=True)
+    df = line_dedup.line_dedup(spark.createDataFrame(rows, H.SCHEMA))
     return {r["doc_id"]: r["n_removed"] for r in df.collect()}
 
 
@@ -114,3 +96,42 @@ def test_block_in_most_documents(spark):
     assert want == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
     assert removed(spark, rows) == want
     assert removed(spark, rows[:3]) == all_pairs(rows[:3])
+
+
+def test_first_holders_of_single_lines(spark):
+    """The lines of a shared block were each held alone by unrelated documents before."""
+    a, b = line("a", 6), line("b", 6)
+    rows = rows_of([a, b, f"{a}\n{b}", f"{a}\n{b}\n{line('more')}"])
+    assert removed(spark, rows) == all_pairs(rows) == {0: 0, 1: 0, 2: 0, 3: 2}
+
+
+def test_repeated_and_crossing_blocks(spark):
+    """Lines that repeat on both sides, blocks in another order, overlapping runs."""
+    x, y, z, p = line("x", 6), line("y", 6), line("z", 6), line("p")
+    rows = rows_of(["\n".join(t) for t in ([x, y, x, x, p, p], [x, x, z], [z, p, x, p, x, x], [y, x, x, x, y, x, x, x], [z, x, x, y, z], [x, y, z, y, z])])
+    assert removed(spark, rows) == all_pairs(rows)
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = rows_of(["\n".join(rng.choice([x, y, z, p, "", line("q", 3)]) for _ in range(rng.randrange(9))) for _ in range(60)])
+        assert removed(spark, rows) == all_pairs(rows)
+
+
+def test_rows_that_repeat_an_id(spark):
+    p, q, r = line("p"), line("q"), line("r")
+    rows = [(1, p, "en", "s", 0), (1, p, "en", "s", 0), (1, f"{q}\n{p}", "en", "s", 0), (2, q, "en", "s", 0), (None, p, "en", "s", 0), (2, f"{p}\n{r}", "en", "s", 0), (3, f"{r}\n{q}", "en", "s", 0)]
+    got = sorted((tuple(x) for x in line_dedup.line_dedup(spark.createDataFrame(rows, H.SCHEMA)).select("doc_id", "n_lines", "n_removed", "text").collect()), key=repr)
+    assert got == sorted([(1, 1, 0, p), (1, 1, 0, p), (1, 2, 0, f"{q}\n{p}"), (2, 1, 1, None), (2, 2, 1, r), (3, 2, 2, None), (None, 1, 0, p)], key=repr)
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 lines, one of a single line of 2 MB, and later parts of both."""
+    many = [line(f"n{i}x", 3) for i in range(200_000)]
+    wide = " ".join(f"w{i}" for i in range(250_000))
+    rows = rows_of(["\n".join(many), wide, "\n".join(many[5000:6000]) + "\nown", f"{wide}\nown"])
+    assert removed(spark, rows) == {0: 0, 1: 0, 2: 1000, 3: 1}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, line("p"), 7, 8, 9)], "doc_id long, text string, n_lines int, cut int, `a.b` int")
+    (got,) = line_dedup.line_dedup(df).collect()
+    assert got.asDict() == {"doc_id": 1, "text": line("p"), "n_lines_input": 7, "cut": 8, "a.b": 9, "n_lines": 1, "n_removed": 0}
