@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch sent to Python; long texts make rows large.
 BATCH_ROWS = "1024"
@@ -96,6 +97,11 @@ def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("row"))
 
 
+def with_row(base: DataFrame, ddl: str) -> StructType:
+    """row of a wrapped table, then the columns of ddl."""
+    return StructType([base.schema["row"], *StructType.fromDDL(ddl).fields])
+
+
 def unwrapped(df: DataFrame, docs: DataFrame, text_col: str, added: list[str]) -> DataFrame:
     """The columns of docs from a table with row and text, and the added ones.
     A column of docs with the name of an added one is named <name>_input."""

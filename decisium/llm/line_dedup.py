@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stored, text_buffer, unwrapped, wrapped
+from .common import prepare, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import BLANK, find, mix
 
 TEXT_BYTES = 500_000
@@ -276,8 +276,7 @@ def line_dedup(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", tex
                 yield pa.record_batch([b.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
     joined = base.join(cut, base.doc_id == cut.cut_id, "left").select("text", "cut", "row")
-    row = base.schema["row"].dataType.simpleString()
-    return unwrapped(joined.mapInArrow(run, f"row {row}, text string, n_lines long, n_removed long"), docs, text_col, ["n_lines", "n_removed"])
+    return unwrapped(joined.mapInArrow(run, with_row(base, "text string, n_lines long, n_removed long")), docs, text_col, ["n_lines", "n_removed"])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

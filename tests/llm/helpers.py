@@ -175,19 +175,22 @@ def best_fit(counts: dict, size: int) -> list[int]:
 
 def bucket_counts(text: str | None) -> dict:
     """n-gram buckets of one text, by plain loops."""
+    import unicodedata
+
     import numpy as np
 
     from decisium.llm import language_id
 
     out: dict = {}
-    raw = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", "".join(c.lower() if c.isascii() else c for c in text or "").encode()).strip(b" ")
-    raw = raw + b" " if len(raw) > 1 else b" "
-    for k in language_id.ORDERS:
-        for i in range(len(raw) - k + 1):
-            g = raw[i : i + k]
-            if b" " in g[1:-1] or g == b" " or (k > 1 and g[:1] == b" " == g[-1:]):
+    letters = [c.lower()[0] if c.isalpha() or unicodedata.category(c).startswith("M") else " " for c in text or ""]
+    chars = " ".join(["", *"".join(letters).split(), ""]) if "".join(letters).strip() else " "
+    for k in (1, 2, 3):
+        for i in range(len(chars) - k + 1):
+            g = chars[i : i + k]
+            if " " in g[1:-1] or g == " " or (k > 1 and g[0] == " " == g[-1]):
                 continue
-            b = int(language_id.mix(np.array([int.from_bytes(g, "big") + (k << 40)], np.uint64))[0] >> np.uint64(49))
+            code = sum(ord(c) << (21 * (k - 1 - j)) for j, c in enumerate(g))
+            b = int(language_id.mix(np.array([code], np.uint64))[0] >> np.uint64(49))
             out[b] = out.get(b, 0) + 1
     return out
 
@@ -214,8 +217,11 @@ def languages(rows: list[tuple]) -> dict:
         if not text or not any(c.isalpha() for c in text) or not langs:
             out[d] = ("und", 0.0)
             continue
+        like = [sum(k * math.log((n[x][b] + 0.5) / total[x]) for b, k in grams[d].items()) for x in langs]
+        prior = [math.log(docs[x] / len(train)) for x in langs]
+        whole = [a + b for a, b in zip(like, prior, strict=True)]
+        best = whole.index(max(whole))
         scale = min(1, language_id.SCORE_GRAMS / max(1, sum(grams[d].values())))
-        like = [scale * sum(k * math.log((n[x][b] + 0.5) / total[x]) for b, k in grams[d].items()) + math.log(docs[x] / len(train)) for x in langs]
-        top = max(like)
-        out[d] = (langs[like.index(top)], 1 / sum(math.exp(v - top) for v in like))
+        low = [scale * a + b for a, b in zip(like, prior, strict=True)]
+        out[d] = (langs[best], 1 / sum(math.exp(v - low[best]) for v in low))
     return out

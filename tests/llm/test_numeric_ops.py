@@ -145,7 +145,8 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     # labels of held-out rows don't matter
     other = docs.selectExpr("doc_id", "text", "if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 'zz', lang) lang")
-    assert language_id.fit(other).langs == model.langs and np.allclose(language_id.fit(other).logp, model.logp)
+    again = language_id.fit(other)
+    assert again.langs == model.langs and all(np.allclose(a.logp, b.logp) for a, b in zip(again.blocks(), model.blocks(), strict=True))
     none = spark.createDataFrame([], H.SCHEMA)
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(none)).collect()} == {"und"}
     assert language_id.predict(none, model).collect() == []
@@ -153,7 +154,9 @@ def test_language_id(spark):
 
 def test_ngrams_stay_within_texts():
     texts = ["ab c", None, "", "  Dé!x ", "z", "q1q"]
-    grams, owners = language_id.buckets(pa.array(texts, pa.string()))
+    texts += ["ไทยไม่มีช่องว่าง ÀÉ", "我们 we", "İß 𝔄𐐀x😀"]
+    grams, owners, letters = language_id.buckets(pa.array(texts, pa.string()))
+    assert letters.tolist() == [any(c.isalpha() for c in x or "") for x in texts]
     want = np.zeros(language_id.BUCKETS, np.int64)
     for x in texts:
         for b, n in H.bucket_counts(x).items():
@@ -163,6 +166,38 @@ def test_ngrams_stay_within_texts():
         assert o[0] == 0 and o[-1] == len(g) and (np.diff(o) >= 0).all()
 
 
+def test_languages_equal_loops_over_blocks(spark, monkeypatch):
+    """300 labels, more than a block holds, beside plain loops; repeated rows, null ids and labels, long and odd texts."""
+    rng = random.Random(3)
+    alphabet = [chr(c) for c in (*range(97, 123), *range(0x3B1, 0x3C9), *range(0xE01, 0xE2E), *range(0x4E00, 0x4E40))]
+    words = {f"l{i:03}": ["".join(rng.choices(alphabet, k=5)) for _ in range(4)] for i in range(300)}
+    rows = [(5 * i + j, " ".join(rng.choices(w, k=rng.randint(1, 30))), x, "s", 0) for i, (x, w) in enumerate(words.items()) for j in range(3)]
+    rows += [(9000, "x" * 300_000, None, "s", 0), (9001, None, "zz", "s", 0), (9002, "1 2 !", "l001", "s", 0), rows[0]]
+    docs = spark.createDataFrame(rows, H.SCHEMA)
+    model = language_id.fit(docs)
+    assert len(model.langs) > 280 and len(list(model.blocks())) == 5
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
+    want = H.languages(rows)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
+def test_language_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "ab", 0.5, 7, "q")], "doc_id long, text string, score double, total int, `x.y` string")
+    (r,) = language_id.predict(df, language_id.Model([], [], None)).collect()
+    assert r.asDict() == {"doc_id": 1, "text": "ab", "score_input": 0.5, "total": 7, "x.y": "q", "lang_pred": "und", "score": 0.0}
+
+
+def test_held_out_accuracy(spark):
+    """On documents in four languages, of rows that weren't learned from."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not __import__("os").path.exists(path):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path)
+    rows = language_id.predict(docs, language_id.fit(docs)).where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 and lang is not null").collect()
+    assert len(rows) > 30 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
 URLS = [None, "", "nohost/path", "http://A.example.ORG/es/x", "https://example.org/en/1", "https://example.org/en/12?x#y", "https://example.org", "https://example.org?q", "ftp://notexample.org/es/", "http://x.com/fr/", "http://com/de/", "http://a.b.com/de/1", "http://x.net/", "http://example.org/es", "a://b://c.org/x", "http://u@host:80/p"]
 
 
