@@ -3,9 +3,11 @@
 Byte-level pre-tokenisation cuts a text into runs of letters, of digits, of
 other marks and of white space, and looks at nothing to the left of a cut. So
 texts are cut here, in numpy, at places where it surely cuts as well; pieces
-are encoded by the library when first met and kept in a direct-mapped cache of
-fixed size. A text with characters whose class isn't plain from its bytes, or
-with the string of a special token, goes to the library whole."""
+are encoded by the library when first met and kept with their bytes in a
+direct-mapped cache of fixed size: a piece is found only if all its bytes are
+equal. Pieces of more than WIDE bytes
+or WIDTH ids aren't kept. A text with characters whose class isn't plain from
+its bytes, or with the string of a special token, goes to the library whole."""
 
 from __future__ import annotations
 
@@ -15,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 
 from .common import text_buffer
-from .words import _BYTE, mix
+from .words import mix
 
-#: Slots of a worker's cache, and most ids of a cached piece.
-SLOTS, WIDTH = 1 << 22, 8
-#: Bytes over which a table of powers runs.
-SPAN = 1 << 18
+#: Slots of a worker's cache, and most ids and bytes of a piece in it.
+SLOTS, WIDTH, WIDE = 1 << 22, 8, 22
+_AT, _COUNT = np.uint64(48), np.uint64(255 << 48)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LETTER, DIGIT, MARK, QUOTE, SPACE, WHITE, ODD = range(7)
 _CLASS = np.full(256, ODD, np.uint8)
 _CLASS[:128] = MARK
@@ -30,6 +33,9 @@ _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = LETTER
 _CLASS[0x27], _CLASS[0x20], _CLASS[9:14] = QUOTE, SPACE, WHITE
 # U+00C0 to U+027F are letters but for two signs, which are looked for apart.
 _CLASS[0xC3:0xCA] = _CLASS[0x80:0xC0] = LETTER
+# Bytes as byte-level vocabularies write them: plain ones as they are, others from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: b for b in _SHOWN} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ready: dict[str, "Encoder"] = {}
 
 
@@ -41,14 +47,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tags = np.zeros(SLOTS, np.uint64)
-        self.ids = np.zeros((SLOTS, WIDTH), np.uint16 if self.size <= 65536 else np.uint32)
-        self.lens = np.zeros(SLOTS, np.uint8)
-        self.stamp, self.tick = np.zeros(SLOTS, np.uint8), 0
+        self.kind = np.uint16 if self.size <= 65536 else np.uint32
+        # a slot's words: the piece's key, with the number of its ids, and the ids
+        self.slots = np.zeros((SLOTS, 3 + WIDTH * np.dtype(self.kind).itemsize // 8), np.uint64)
+        model, cuts = self.tokenizer.model, str(self.tokenizer.pre_tokenizer)
+        byte_level = cuts.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in cuts and self.tokenizer.normalizer is None
+        self.model = model if byte_level and type(model).__name__ == "BPE" else None
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of runs of letters that may begin with a space. No cut falls in
+        them, so they go to the library's model itself, as its byte letters."""
+        if self.model is None:
+            return self.whole([p.decode() for p in pieces])
+        return [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(_LETTERS))] for p in pieces]
+
+    def fresh(self, raw: bytes, starts: list[int], ends: list[int], odd: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct ones of some pieces, how many each has, and which
+        of them each piece is."""
+        plain: dict[bytes, int] = {}
+        other: dict[bytes, int] = {}
+        back = np.empty(len(starts), np.int64)
+        for k, (a, b, o) in enumerate(zip(starts, ends, odd, strict=True)):
+            p = raw[a:b]
+            if not o and _CLASS[p[p[0] == 0x20 and b - a > 1]] == LETTER:
+                back[k] = plain.setdefault(p, len(plain))
+            else:
+                back[k] = -1 - other.setdefault(p, len(other))
+        ids = [*self.words(list(plain)), *self.whole([p.decode() for p in other])]
+        back[back < 0] = len(plain) - 1 - back[back < 0]
+        return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64), back
+
     def odd(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Which texts must be encoded whole."""
         bad = kind == ODD
@@ -101,85 +132,71 @@ class Encoder:
         starts, odd = self.cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         size = ends - starts
-        small = size < 64
-        h = mix(piece_hashes(data, starts, ends))
-        h[h == 0] = 1
-        slot = (h & np.uint64(len(self.tags) - 1)).astype(np.int64)
-        hit = (self.tags[slot] == h) & small & ~odd
-        rest: dict[int, list[int]] = {}
+        small = (size <= WIDE) & ~odd
+        key = piece_keys(data, starts, np.minimum(size, WIDE))
+        slot = (mix((key[2] * _MIX[1] + key[1]) * _MIX[0] + key[0]) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        got = np.take(self.slots, slot, axis=0)
+        hit = small & (got[:, 0] == key[0]) & (got[:, 1] == key[1]) & ((got[:, 2] & ~_COUNT) == key[2])
+        got = got[hit]
+        lens, known = np.zeros(len(starts), np.int64), np.ascontiguousarray(got[:, 3:]).view(self.kind)
+        lens[hit] = (got[:, 2] & _COUNT) >> _AT
         miss = np.flatnonzero(~hit)
-        if len(miss):
-            usual = small[miss] & ~odd[miss]
-            keep, alone = miss[usual], miss[~usual]
-            _, first, back = np.unique(h[keep], return_index=True, return_inverse=True)
-            new = keep[first]
-            raw = data.tobytes()
-            got = self.whole([raw[starts[i] : ends[i]].decode() for i in [*new.tolist(), *alone.tolist()]])
-            self.tick = self.tick % 255 + 1
-            if self.tick == 1:
-                self.stamp[:] = 0
-            self.stamp[slot[hit]] = self.tick  # what this batch has found stays
-            where = slot[new]
-            free = (self.stamp[where] != self.tick).tolist()
-            for k, (s, tag) in enumerate(zip(where.tolist(), h[new].tolist(), strict=True)):
-                ids = got[k]
-                if free[k] and len(ids) <= WIDTH:
-                    self.ids[s, : len(ids)] = ids
-                    self.lens[s] = len(ids)
-                    self.tags[s] = tag
-            hit[keep] = self.tags[slot[keep]] == h[keep]
-            late = np.flatnonzero(~hit[keep])
-            rest = {int(keep[i]): got[back[i]] for i in late} | {int(i): got[len(new) + k] for k, i in enumerate(alone)}
-        lens = self.lens[slot].astype(np.int64)
-        for i, ids in rest.items():
-            lens[i] = len(ids)
+        flat, count, back = self.fresh(data.tobytes(), starts[miss].tolist(), ends[miss].tolist(), odd[miss].tolist()) if len(miss) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), miss)
+        lens[miss] = count[back]
         upto = np.concatenate([[0], np.cumsum(lens)])
         first = np.searchsorted(starts, offsets)
         out_off = upto[first] + np.arange(len(offsets)) * extra
         out = np.full(int(out_off[-1]), end or 0, np.uint32)
         at = upto[:-1] + (np.repeat(np.arange(len(offsets) - 1), np.diff(first)) if extra else 0)
-        pick, at_hit, left = slot[hit], at[hit], lens[hit]
+        row, at_hit, left = np.arange(len(known)), at[hit], lens[hit]
         for k in range(WIDTH):
-            out[at_hit] = self.ids[pick, k]
-            more = left > k + 1
-            if not more.any():
+            more = left > k
+            if not more.all():
+                row, at_hit, left = row[more], at_hit[more], left[more]
+            if not len(row):
                 break
-            pick, at_hit, left = pick[more], at_hit[more] + 1, left[more]
-        for i, ids in rest.items():
-            out[at[i] : at[i] + len(ids)] = ids
+            out[at_hit + k] = known[row, k]
+        if len(miss):
+            begin = np.cumsum(count) - count
+            step = _steps(lens[miss])
+            out[np.repeat(at[miss], lens[miss]) + step] = flat[np.repeat(begin[back], lens[miss]) + step]
+            self._keep(key[:, miss], slot[miss], small[miss], back, flat, begin, count)
         return out, out_off
 
-
-def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of byte ranges, from sums of bytes times rising powers:
-    a range's sum is divided by the power at its start, which is odd and so has
-    an inverse. Sums start anew every SPAN bytes, to bound the tables."""
-    up, down = _ranks()
-    total = np.zeros(len(data) + 1, np.uint64)
-    for a in range(0, len(data), SPAN):
-        b = min(len(data), a + SPAN)
-        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=total[a + 1 : b + 1])
-        total[a + 1 : b + 1] += total[a]
-    # within one span a plain difference; over a border the powers start anew,
-    # which is as good a hash but depends on the place, so it is made alone
-    out = (total[ends] - total[starts]) * down[starts % SPAN]
-    for i in np.flatnonzero(starts // SPAN != (ends - 1) // SPAN).tolist():
-        n = min(int(ends[i] - starts[i]), SPAN)
-        out[i] = (_BYTE[data[starts[i] : starts[i] + n]] * up[:n]).sum(dtype=np.uint64)
+    def _keep(self, key: np.ndarray, slot: np.ndarray, small: np.ndarray, back: np.ndarray, flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        """New pieces go into the cache, in place of what their slots held."""
+        new = np.flatnonzero(small & (count[back] <= WIDTH))
+        where, one = np.unique(slot[new], return_index=True)
+        one = new[one]
+        piece = back[one]
+        n = count[piece]
+        ids, step = np.zeros((len(one), WIDTH), self.kind), _steps(n)
+        ids[np.repeat(np.arange(len(one)), n), step] = flat[np.repeat(begin[piece], n) + step]
+        self.slots[where, :3] = key[:, one].T
+        self.slots[where, 2] |= n.astype(np.uint64) << _AT
+        self.slots[where, 3:] = ids.view(np.uint64)
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of the lengths."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def piece_keys(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of pieces of at most WIDE bytes in three words, the length in
+    the last one's top byte, so that different pieces have different keys; the
+    byte below is left free."""
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    word = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    out = np.zeros((3, len(starts)), np.uint64)
+    out[0] = word[starts] & _LOW[np.minimum(size, 8)]
+    for k in (1, 2):
+        long = np.flatnonzero(size > 8 * k)
+        out[k, long] = word[starts[long] + 8 * k] & _LOW[np.minimum(size[long] - 8 * k, 8)]
+    out[2] |= size.astype(np.uint64) << np.uint64(56)
     return out
 
 
-_tables: list[np.ndarray] = []
-
-
-def _ranks() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        r = 0x9E3779B97F4A7C15
-        for x in (r, pow(r, -1, 1 << 64)):
-            _tables.append(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SPAN - 1, x, np.uint64), dtype=np.uint64)]))
-    return _tables[0], _tables[1]
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ready:

@@ -9,11 +9,12 @@ A block is coded on its own. Its tokens are dealt over `lanes` interleaved
 states; every state is at least 2**31 and below 2**63 and gives 32-bit words.
 The payload has a header, the checkpoints (the states and the place among the
 words before every STEPS-th step) and the words, so a reader can begin at any
-checkpoint, and other readers at others. Both the payload and the decoded ids
-have a crc32.
+checkpoint, and other readers at others: read_range deals the stretches between
+checkpoints to tasks. Both the payload and the decoded ids have a crc32.
 
 Nulls and repeats: a null text counts as empty, a null doc_id sorts first,
-repeated doc_ids keep a row each. An empty table gives no blocks."""
+repeated doc_ids keep a row each. A long text is cut over several blocks. Other
+columns of the input aren't read. An empty table gives no blocks."""
 
 from __future__ import annotations
 
@@ -137,6 +138,26 @@ def decode_block(payload: bytes, table: Table, lo: int = 0, hi: int | None = Non
     return out[lo - begin : hi - begin]
 
 
+def stretch(payload: bytes) -> int:
+    """Tokens between two checkpoints of a block."""
+    _, _, lanes, every, _, _ = struct.unpack_from("<4sIIIII", payload)
+    return lanes * every
+
+
+def part_of(payload: bytes, lo: int, hi: int) -> bytes:
+    """What decode_block needs of a block for tokens lo to hi: its checkpoints
+    stay, and of the words those between the two around lo and hi."""
+    magic, n, lanes, every, marks, total = struct.unpack_from("<4sIIIII", payload)
+    size, body = 4 + 8 * lanes, 24 + marks * (4 + 8 * lanes)
+    a, z = lo // (lanes * every), -(-hi // (lanes * every))
+    begin = struct.unpack_from("<I", payload, 24 + a * size)[0]
+    end = struct.unpack_from("<I", payload, 24 + z * size)[0] if z < marks else total
+    head = bytearray(24 + (a + 1) * size)
+    struct.pack_into("<4sIIIII", head, 0, magic, n, lanes, every, a + 1, end - begin)
+    head[24 + a * size :] = struct.pack("<I", 0) + payload[24 + a * size + 4 : 24 + (a + 1) * size]
+    return bytes(head) + payload[body + 4 * begin : body + 4 * end]
+
+
 def crc32_join(crcs: list[int], sizes: list[int]) -> int:
     """crc32 of pieces joined, from the crc32 and byte length of each."""
     out = 0
@@ -220,8 +241,8 @@ def count_tokens(packed: DataFrame, fan: int = 64) -> np.ndarray:
 class _Pack:
     """Cuts a task's documents into blocks and codes them."""
 
-    def __init__(self, part: int, table: Table):
-        self.part, self.table = part, table
+    def __init__(self, part: int, table: Table, block: int):
+        self.part, self.table, self.block = part, table, block
         self.at = self.first = self.have = 0
         self.ids: list[np.ndarray] = []
         self.docs: list[dict] = []
@@ -234,10 +255,10 @@ class _Pack:
         self.first, self.have, self.ids, self.docs = self.at, 0, [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[dict]:
-        start, pieces = self.at, max(1, -(-len(ids) // BLOCK))
+        start, pieces = self.at, max(1, -(-len(ids) // self.block))
         for k in range(pieces):
-            piece = ids[k * BLOCK : (k + 1) * BLOCK]
-            if self.have + len(piece) > BLOCK:
+            piece = ids[k * self.block : (k + 1) * self.block]
+            if self.have + len(piece) > self.block:
                 yield from self.flush()
             self.docs.append({"doc_id": doc_id, "start": start, "piece": k, "pieces": pieces, "length": len(piece)})
             self.ids.append(piece)
@@ -245,8 +266,9 @@ class _Pack:
             self.have += len(piece)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode all documents, in ascending order of their ids, into folder `path`."""
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
+    """Encode all documents, in ascending order of their ids, into folder `path`,
+    in blocks of at most `block` tokens."""
     spark = docs.sparkSession
     packed = stored(tokens(docs, tokenizer, end, id_col, text_col), "tokens")
     table = Table.of(count_tokens(packed))
@@ -256,7 +278,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        pack = _Pack(task_id(), Table(freq.value))
+        pack = _Pack(task_id(), Table(freq.value), block)
         kind = np.uint16 if len(freq.value) <= 65536 else np.uint32
         schema = _schema()
 
@@ -325,6 +347,37 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
+def read_range(spark: SparkSession, path: str, lo: int, hi: int) -> DataFrame:
+    """Tokens lo to hi of the whole store: start and ids of each stretch of a
+    block between two checkpoints, decoded apart. Blocks outside aren't read."""
+    prepare(spark)
+    freq = spark.sparkContext.broadcast(read_table(spark, path).freq)
+    bases = part_bases(spark, path)
+    base = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]) if bases else F.create_map(F.lit(0), F.lit(0))  # an entry per file
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").withColumn("first", F.col("first") + base[F.col("part")])
+    near = blocks.where((F.col("first") < hi) & (F.col("first") + F.col("n_tokens") > lo)).select("first", "n_tokens", "payload", "payload_crc32")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n, payload, check in zip(*(b.column(c).to_pylist() for c in ("first", "n_tokens", "payload", "payload_crc32")), strict=True):
+                if zlib.crc32(payload) != check:
+                    raise ValueError("damaged payload")
+                size = stretch(payload)
+                edges = [max(lo - first, 0), *(x for x in range(size, n, size) if lo < first + x < hi), min(hi - first, n)]
+                for a, z in zip(edges, edges[1:], strict=False):
+                    yield pa.record_batch([pa.array([first + a], pa.int64()), pa.array([a], pa.int64()), pa.array([z], pa.int64()), pa.array([part_of(payload, a, z)], pa.binary())], ["start", "lo", "hi", "payload"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(freq.value)
+        for b in batches:
+            for start, a, z, payload in zip(*(b.column(c).to_pylist() for c in ("start", "lo", "hi", "payload")), strict=True):
+                ids = decode_block(payload, table, a, z)
+                yield pa.record_batch([pa.array([start], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], ["start", "ids"])
+
+    # stretches, not blocks, are dealt to the tasks that decode
+    return near.mapInArrow(cut, "start long, lo long, hi long, payload binary").repartition("start").mapInArrow(decode, "start long, ids array<int>")
+
+
 @F.udf(LongType())
 def _joined(pieces: list) -> int:
     pieces = sorted(pieces)

@@ -53,20 +53,46 @@ def test_crc32_join():
 
 
 @pytest.mark.parametrize("block", [1 << 18, 500])
-def test_token_store(spark, tmp_path, block, monkeypatch):
-    monkeypatch.setattr(token_store, "BLOCK", block)
-    rows = H.corpus(2)
+def test_token_store(spark, tmp_path, block):
+    rows = H.corpus(2) + [(None, "no id", "en", "s", 0), (7, "twice", "en", "s", 0), (7, "twice", "en", "s", 0)]
     docs = spark.createDataFrame(rows, H.SCHEMA).selectExpr("*", "1 as part", "2 as start", "3 as ids").repartition(3)
-    token_store.write(docs, str(tmp_path / "t"), TOKENIZER)
-    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.documents(spark, str(tmp_path / "t")).collect()}
-    at, want = 0, {}
-    for (d, *_), ids in zip(sorted(rows), plain_ids([r[1] for r in sorted(rows)]), strict=True):
-        ids = [*ids, 2]
-        want[d] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
-    assert got == want
-    firsts = [r["first"] for r in spark.read.parquet(str(tmp_path / "t" / "blocks")).where("part = 0").collect()]
-    assert firsts == sorted(firsts)
+    path = str(tmp_path / "t")
+    token_store.write(docs, path, TOKENIZER, block=block)
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.documents(spark, path).collect()), key=lambda r: r[1])
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ids = [[*x, 2] for x in plain_ids([r[1] for r in order])]
+    starts = np.cumsum([0, *map(len, ids)])
+    assert got == [(r[0], int(a), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x, a in zip(order, ids, starts, strict=False)]
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    firsts = [r["first"] for r in blocks if r["part"] == 0]
+    assert firsts == sorted(firsts) and all(r["n_tokens"] <= block for r in blocks)
+    if block == 500:
+        assert len(blocks) > 10 and sum(r["pieces"] > 1 for r in token_store.read(spark, path).collect()) > 5
+    flat = [x for i in ids for x in i]
+    for lo, hi in ((0, len(flat)), (137, 1404), (len(flat) - 1, len(flat) + 9), (5, 5)):
+        parts = sorted(token_store.read_range(spark, path, lo, hi).collect())
+        assert [x for p in parts for x in p["ids"]] == flat[lo:hi]
+        assert [p["start"] for p in parts] == [lo + sum(len(q["ids"]) for q in parts[:k]) for k in range(len(parts))]
+
+
+def test_stretches_decode_alone():
+    ids = (np.random.default_rng(2).zipf(1.3, 5000) % 900).astype(np.uint32)
+    table = token_store.Table.of(np.bincount(ids, minlength=900))
+    raw = token_store.encode_block(ids, table, lanes=16, every=8)
+    assert token_store.stretch(raw) == 128
+    for lo, hi in ((0, 128), (128, 300), (200, 5000), (4990, 5000), (7, 9)):
+        cut = token_store.part_of(raw, lo, hi)
+        assert (token_store.decode_block(cut, table, lo, hi) == ids[lo:hi]).all()
+    assert len(token_store.part_of(raw, 0, 128)) < len(raw) / 3
+
+
+def test_pieces_of_long_texts():
+    """A word of 300,000 letters, a text of 400,000 words, and pieces as long as slots hold."""
+    rng = random.Random(6)
+    texts = ["q" * 300_000, " ".join(rng.choice(["a", "bé", "12", "c!"]) * rng.randint(1, 3) for _ in range(400_000)), *["z" * n + " " + "y" * n for n in range(18, 28)]]
+    e = bpe.encoder(TOKENIZER)
+    ids, o = e.batch(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(o[:-1], o[1:], strict=True)] == plain_ids(texts)
 
 
 def test_token_store_damage_and_empty(spark, tmp_path):
