@@ -19,14 +19,21 @@ have a partner, of full sets, which gives back a spanning forest of the links.
 So each pair of a list has been compared or is in one component: no link is
 lost, and n near copies cost about n rows.
 
-A pair is compared in four steps: set sizes, what short forms of the sketches
-share, the estimate from the sketch of the union, and the exact Jaccard
-similarity of the full sets, which are made from the texts again.
+A pair is compared in three steps: set sizes, the estimate from the sketch of
+the union, and, only then, the exact Jaccard similarity of the full sets, which
+are made from the texts again. The estimate is taken from short forms of the
+sketches, the SHORT least values' lower 31 bits in rising order of the values:
+a value with places i and j (from 1) in the two, after k - 1 shared ones, has
+place i + j - k in the union, so equality alone tells how many of the SHORT
+least values of the union are shared. Values of one sketch that fall together
+in 31 bits count as shared, so that none is missed.
 
 Nulls and edges: a null or wordless text has an empty set, linked with nothing;
 fewer words than a shingle has make one shingle; a null doc_id is linked with
-nothing and kept. Rows that repeat a doc_id count as one document. An empty
-table gives no rows."""
+nothing and kept. Rows that repeat a doc_id each link by their own text; those
+whose texts have that doc_id as their least one are one class. Ties don't matter, as links are a set. Long
+texts count whole; other columns of the input aren't read, so their names can't
+clash. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -37,7 +44,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, slices, stored, text_buffer
@@ -108,13 +115,21 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     packed = lambda df: df.mapInArrow(run, "rep long, z binary")
     found = packed(rows.join(F.broadcast(ids), "rep", "left_semi")) if few else packed(rows).join(ids, "rep", "left_semi")
-    return stored(found.groupBy("rep").agg(F.min("z").alias("z")), "texts")
+    return stored(found.select("rep", "z").distinct(), "texts")  # several for an id with several texts
 
 
 def short_sketches(reps: DataFrame) -> DataFrame:
-    """rep, n, load: 15 bits of the SHORT least values, two of which may fall
-    together; they only tell which pairs are worth their texts."""
-    return reps.select("rep", "n", F.transform(F.slice("sketch", 1, SHORT), lambda x: x.bitwiseAND(F.lit(0x7FFF).cast("long")).cast("short")).alias("load"))
+    """rep, n, load: 31 bits of the SHORT least values, in their order."""
+    return reps.select("rep", "n", F.transform(F.slice("sketch", 1, SHORT), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("load"))
+
+
+def union_shared(s: str, t: str) -> tuple[Column, Column]:
+    """Of two short sketches: the number of values shared, and of those among
+    the SHORT least of the union; both with values that can't be told apart."""
+    shared = F.array_intersect(s, t)
+    hidden = F.size(s) - F.size(F.array_distinct(s)) + F.size(t) - F.size(F.array_distinct(t))
+    places = F.array_sort(F.transform(shared, lambda x: F.array_position(s, x) + F.array_position(t, x)))
+    return F.size(shared) + hidden, F.size(F.filter(places, lambda p, k: p - (k + 1) <= SHORT + hidden)) + hidden
 
 
 def star_links(star: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -126,9 +141,11 @@ def star_links(star: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
     short = short_sketches(reps)
     side = lambda x: short.select(F.col("rep").alias(x), F.col("load").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared, n = F.size(F.array_intersect("s_a", "s_b")), F.col("n_a") + F.col("n_b")
-    worth = F.when(F.greatest("n_a", "n_b") > SHORT, shared >= least_shared(percent, SHORT) - 2).otherwise(100 * (shared + 2) >= percent * (n - shared - 2))
-    worth = stored(both.where(worth).select("a", "b"), "worth")
+    shared, in_union = union_shared("s_a", "s_b")
+    n = F.col("n_a") + F.col("n_b")
+    # sets that fit their sketches whole are known exactly
+    worth = F.when(F.greatest("n_a", "n_b") > SHORT, in_union >= least_shared(percent, SHORT)).otherwise(100 * shared >= percent * (n - shared))
+    worth = stored(both.where(worth).select("a", "b").distinct(), "worth")
     t = packed_texts(docs, worth.select(F.col("a").alias("rep")).union(worth.select("b")))
     full = worth.join(t.select(F.col("rep").alias("a"), F.col("z").alias("z_a")), "a").join(t.select(F.col("rep").alias("b"), F.col("z").alias("z_b")), "b")
     return stored(full.select("a", "b", "z_a", "z_b").mapInArrow(_verify(shingle, percent), "a long, b long"), "links")
@@ -143,25 +160,25 @@ def estimate(s: np.ndarray, t: np.ndarray) -> tuple[int, int]:
     return int(np.count_nonzero(c[1:][~first[1:]] <= union[-1])), len(union)
 
 
+def _unpacked(raw: bytes, sets: dict[bytes, np.ndarray], shingle: int, most: int = 0) -> np.ndarray:
+    """The set of a packed text; of the last `most` texts it is made once."""
+    if raw not in sets:
+        if most and len(sets) >= most:
+            sets.pop(next(iter(sets)))
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+        (sets[raw],) = shingle_sets(find(data, np.array([0, len(data)]), BLANK, lower=True), shingle)
+    return sets[raw]
+
+
 def _verify(shingle: int, percent: int):  # noqa: ANN202
     need = least_shared(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, known = zstandard.ZstdDecompressor(), {}
-
-        def one(rep: int, raw: bytes) -> np.ndarray:
-            if rep not in known:
-                if len(known) >= 64:
-                    known.pop(next(iter(known)))
-                data = np.frombuffer(z.decompress(raw), np.uint8)
-                (known[rep],) = shingle_sets(find(data, np.array([0, len(data)]), BLANK, lower=True), shingle)
-            return known[rep]
-
+        sets: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ok = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                s, t = one(x, batch.column("z_a")[i].as_py()), one(y, batch.column("z_b")[i].as_py())
+            for x, y in zip(batch.column("z_a"), batch.column("z_b"), strict=True):
+                s, t = _unpacked(x.as_py(), sets, shingle, 64), _unpacked(y.as_py(), sets, shingle, 64)
                 shared, size = estimate(s, t)
                 if size == KEEP and shared < need:
                     ok.append(False)
@@ -238,18 +255,21 @@ def _by_major(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.
 
 
 def _sketch_blocks(percent: int):  # noqa: ANN202
-    """Members (major, rep, c) with a partner that sizes and short sketches of
-    short values allow; values that fall together may hide two shared ones."""
-    need = least_shared(percent, SHORT) - 2
+    """Members (major, rep, c) with a partner that sizes and short sketches
+    allow. What these share in all is never less than what they share of the
+    union; it comes as a matrix product. Values of a sketch that fall together
+    count as shared."""
+    need = least_shared(percent, SHORT)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a_c, a_n, b_c, b_n = (t.column(c).to_numpy() for t, c in ((left, "c"), (left, "n"), (right, "r_c"), (right, "r_n")))
         a_s, b_s = ([np.unique(np.array(x, np.int64)) for x in t.column(c).to_pylist()] for t, c in ((left, "load"), (right, "r_load")))
+        a_h, b_h = (np.array(t.column(c).combine_chunks().value_lengths().to_numpy() if t.num_rows else [], np.int64) - [len(x) for x in v] for t, c, v in ((left, "load", a_s), (right, "r_load", b_s)))
         keep_a, keep_b = np.zeros(left.num_rows, bool), np.zeros(right.num_rows, bool)
         for i, j in _by_major(left, right):
             ok = (a_c[i][:, None] != b_c[j][None]) & possible(a_n[i], b_n[j], percent)
             if ok.any():
-                ok &= likely(a_n[i], b_n[j], shared_counts([a_s[k] for k in i.tolist()], [b_s[k] for k in j.tolist()]), percent, need, SHORT, 2)
+                ok &= likely(a_n[i], b_n[j], shared_counts([a_s[k] for k in i.tolist()], [b_s[k] for k in j.tolist()]), percent, need, SHORT, a_h[i][:, None] + b_h[j][None])
                 keep_a[i[ok.any(1)]] = True
                 keep_b[j[ok.any(0)]] = True
         a, b = left.filter(pa.array(keep_a)), right.filter(pa.array(keep_b))
@@ -263,15 +283,12 @@ def _text_blocks(shingle: int, percent: int):  # noqa: ANN202
     need = least_shared(percent)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        z, sets, out = zstandard.ZstdDecompressor(), {}, []
-        for t, rep, load in ((left, "rep", "load"), (right, "r_rep", "r_load")):
-            for r, raw in zip(t.column(rep).to_pylist(), t.column(load), strict=True):
-                if r not in sets:
-                    data = np.frombuffer(z.decompress(raw.as_py()), np.uint8)
-                    (sets[r],) = shingle_sets(find(data, np.array([0, len(data)]), BLANK, lower=True), shingle)
+        sets: dict[bytes, np.ndarray] = {}
+        out = []
+        a_set, b_set = ([_unpacked(raw.as_py(), sets, shingle) for raw in t.column(load)] for t, load in ((left, "load"), (right, "r_load")))
         a_rep, a_c, b_rep, b_c = (t.column(c).to_numpy() for t, c in ((left, "rep"), (left, "c"), (right, "r_rep"), (right, "r_c")))
         for i, j in _by_major(left, right):
-            x, y = linked([sets[r] for r in a_rep[i].tolist()], [sets[r] for r in b_rep[j].tolist()], a_c[i][:, None] != b_c[j][None], percent, need)
+            x, y = linked([a_set[k] for k in i.tolist()], [b_set[k] for k in j.tolist()], a_c[i][:, None] != b_c[j][None], percent, need)
             if len(x):
                 ids, back = np.unique(np.concatenate([a_rep[i][x], b_rep[j][y]]), return_inverse=True)
                 forest = Forest(len(ids))
@@ -288,11 +305,11 @@ def possible(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def likely(na: np.ndarray, nb: np.ndarray, shared: np.ndarray, percent: int, need: int, keep: int = 0, hidden: int = 0) -> np.ndarray:
+def likely(na: np.ndarray, nb: np.ndarray, shared: np.ndarray, percent: int, need: int, keep: int = 0, hidden: np.ndarray | int = 0) -> np.ndarray:
     """Whether what two sketches of `keep` values share allows similarity of
     their sets; up to `hidden` shared values may not have been seen."""
     a, b, keep = na[:, None].astype(np.int64), nb[None].astype(np.int64), keep or KEEP
-    return np.where(np.maximum(a, b) > keep, shared >= need, 100 * (shared + hidden) >= percent * (a + b - shared - hidden))
+    return np.where(np.maximum(a, b) > keep, shared + hidden >= need, 100 * (shared + hidden) >= percent * (a + b - shared - hidden))
 
 
 def shared_counts(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:

@@ -59,6 +59,52 @@ def test_estimate():
         assert near_dup.estimate(s, t) == (len(np.intersect1d(np.intersect1d(union, s), t)), len(union))
 
 
+def test_estimate_by_places(spark):
+    """The same number from short forms, and never less if some fall together."""
+    rng = np.random.default_rng(2)
+    sets = [(np.unique(rng.integers(0, 900, n)), np.unique(rng.integers(0, 900, m))) for n, m in rng.integers(1, 300, (60, 2))]
+    k = near_dup.SHORT
+
+    def shorts(bits):
+        rows = [(i, [int(x) * 7919 & bits for x in s[:k]], [int(x) * 7919 & bits for x in t[:k]]) for i, (s, t) in enumerate(sets)]
+        return sorted(map(tuple, spark.createDataFrame(rows, "i int, s array<int>, t array<int>").select("i", *near_dup.union_shared("s", "t")).collect()))
+
+    def real(s, t):
+        least = set(sorted({*s.tolist(), *t.tolist()})[:k])
+        return len(set(s[:k].tolist()) & set(t[:k].tolist())), len(least & set(s.tolist()) & set(t.tolist()))
+
+    want = [real(s, t) for s, t in sets]
+    assert [r[1:] for r in shorts(0x7FFFFFFF)] == want
+    for r, (a, b) in zip(shorts(0xFF), want, strict=True):
+        assert r[1] >= a and r[2] >= b
+
+
+def test_near_duplicates_with_colliding_short_values(spark, monkeypatch):
+    """All values of a sketch fall together in their short forms: no link is lost."""
+    real = near_dup.short_sketches
+    monkeypatch.setattr(near_dup, "short_sketches", lambda reps: real(reps).selectExpr("rep", "n", "transform(load, x -> x % 3) load"))
+    rows = H.corpus(8)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(table(spark, rows), 2).collect()}
+    assert got == H.near(rows, 2)
+
+
+def test_ids_with_several_texts(spark):
+    say = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    a, b = say("a"), say("b")
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a + " x", "en", "s", 0), (3, b + " y", "en", "s", 0), (4, say("c"), "en", "s", 0)]
+    for turn in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(table(spark, turn), 2).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    other = [*words[:110_000], *(f"v{i}" for i in range(10_000))]
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(other), "en", "s", 0), (3, "z" * 400_000, "en", "s", 0), (4, " ".join(words[:80_000]), "en", "s", 0)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(table(spark, rows), 5).collect()}
+    assert got == {1: (119_996, 1), 2: (119_996, 1), 3: (1, 3), 4: (79_996, 4)}
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c", "en", "s", 0), (1, "a b c", "en", "s", 0), (1, "a b c", "en", "s", 0), (2, "a b c", "en", "s", 0)]
     got = sorted(map(tuple, near_dup.near_duplicates(table(spark, rows), 2).collect()), key=repr)
