@@ -292,3 +292,45 @@ def test_vector_links(spark, monkeypatch):
     assert all(got[k][0] <= want[k][0] for k in want)
     assert {k: got[k] for k in want if k > 900} == {k: want[k] for k in want if k > 900}
     assert vector_links.linked_vectors(df.limit(0)).collect() == []
+
+
+def test_recall_with_many_more_lists_than_probes(spark, monkeypatch):
+    """Pairs at cosines just over the threshold among spread vectors, 500 lists."""
+    monkeypatch.setattr(vector_links, "LIST_SIZE", 6)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.93, (1500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * side]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = []
+    real = vector_links.train
+    monkeypatch.setattr(vector_links, "train", lambda *a: made.append(real(*a)) or made[-1])
+    got = {r["vec_id"]: r["n_links"] for r in vector_links.linked_vectors(df).collect()}
+    assert len(made[0].coarse) >= 20 * vector_links.PROBES
+    v = np.array([r[1] for r in rows])
+    links = (v @ v.T / np.outer(*[np.linalg.norm(v, axis=1)] * 2) >= 0.9).sum(1) - 1
+    assert links.sum() >= 3000 and all(got[i] <= n for i, n in enumerate(links.tolist()))
+    recall = sum(got.values()) / links.sum()
+    assert recall >= 0.97, recall
+
+
+def test_repeated_vectors_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (None, None), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rows", "2 as v")
+    got = sorted((tuple(r) for r in vector_links.linked_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)], key=repr)
+
+
+def test_packing_of_odd_rows(spark):
+    """Null ids, repeated rows, a long text."""
+    rows = [(None, "a b", "en", "s", 0), (1, "x", "en", "s", 0), (1, "x", "en", "s", 0), (2, "word " * 30_000, "en", "s", 0), (3, None, "en", "s", 0)]
+    got = packing.pack(spark.createDataFrame(rows, H.SCHEMA), TOKENIZER, size=64).collect()
+    want = sum(len(x) + 1 for x in plain_ids([r[1] for r in rows]))
+    assert sum(r["length"] for r in got) == want
+    assert sum(r["doc_id"] == 1 for r in got) == 2 and sum(r["doc_id"] is None for r in got) == 1
+    long = sorted((r["piece"], r["start"], r["length"]) for r in got if r["doc_id"] == 2)
+    assert [s for _, s, _ in long] == np.cumsum([0, *(n for *_, n in long)])[:-1].tolist() and all(n == 64 for k, _, n in long if k)
