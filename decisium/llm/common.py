@@ -45,13 +45,15 @@ def _ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a folder of our
-    own (single-machine use, as in tests), which is then set."""
+    """spark.checkpoint.dir of the session; where it is unset on one machine, as
+    in tests, a folder of our own, which is then set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="decisium-"))
             root = sc.getCheckpointDir()
     return root.rstrip("/")

@@ -7,26 +7,29 @@ has is clean: every shared run of `span` words is found. A hit is then extended:
 each of its windows is compared, word by word, with the benchmark's, and words
 inside an equal window are marked.
 
-The benchmark's index is broadcast while the benchmark's counted bytes stay
-under INDEX_BYTES. A larger one is dealt into blocks under that size by item,
-and the documents pass the blocks one after the other, so nothing unbounded is
-ever broadcast and no pair is lost.
+While the benchmark's counted bytes stay under INDEX_BYTES its index is
+broadcast and documents pass it once. A larger benchmark stays distributed:
+fingerprints of texts and windows are joined, then the windows of texts with a
+common fingerprint with the benchmark's, word by word. Texts are known by their
+sha-256 there. So documents are read a fixed number of times, nothing unbounded
+is broadcast, and skewed fingerprints are split by adaptive execution.
 
 Nulls and edges: null texts have no words; an item of fewer than `span` words,
 but not none, is one window; repeated rows and items are judged each, an item
-id being listed once; a null item_id is listed as 'null'. Empty tables give no
-hits."""
+id being listed once; a null item_id is listed as 'null'; a null doc_id is
+judged like others. Long texts count whole. An input column with the name of an
+added one comes back as <name>_input. Empty tables give no hits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stored, text_buffer
+from .common import prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import ALNUM, Words, find, grams
 
 GRAM, INDEX_BYTES, TEXT_BYTES = 5, 8 << 20, 500_000
@@ -126,27 +129,18 @@ def scan(index: Index, column: pa.Array) -> tuple[np.ndarray, list[tuple[list[in
                 a = i - int(w.first[d])
                 runs[d][a] = max(runs[d].get(a, 0), a + m)
                 seen[d].add(group)  # type: ignore[arg-type]
-    out = []
-    for d in range(n):
-        marks: list[int] = []
-        for a, b in sorted(runs[d].items()):
-            if marks and a <= marks[-1]:
-                marks[-1] = max(marks[-1], b)
-            else:
-                marks += [a, b]
-        names = {index.names[k] for g in seen[d] for k in index.groups[g]}
-        out.append((marks, sorted(names)))
-    return np.diff(w.first), out
+    return np.diff(w.first), [(_runs(runs[d].items()), sorted({index.names[k] for g in seen[d] for k in index.groups[g]})) for d in range(n)]
 
 
-def _joined(a: list[int], b: list[int]) -> list[int]:
-    out: list[int] = []
-    for x, y in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if out and x <= out[-1]:
-            out[-1] = max(out[-1], y)
+def _runs(spans: Iterable[tuple[int, int]]) -> list[int]:
+    """Overlapping and touching spans joined, from and to in turn."""
+    marks: list[int] = []
+    for a, b in sorted(spans):
+        if marks and a <= marks[-1]:
+            marks[-1] = max(marks[-1], b)
         else:
-            out += [x, y]
-    return out
+            marks += [a, b]
+    return marks
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -154,37 +148,116 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col:
     turn) and items (ids of the items with windows in the text)."""
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.coalesce(quoted(item_col).cast("string"), F.lit("null")).alias("item"), quoted(text_col if text_col in benchmark.columns else "text").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + F.lit(64))).collect()[0][0] or 0
-    blocks = max(1, -(-total // (INDEX_BYTES // 2))) if total > INDEX_BYTES else 1
-    mine = [c for c in docs.columns if c not in ("n_words", "marks", "items")]
-    quoted = [f"`{c}`" for c in mine]
-    out = docs.selectExpr(*quoted, "cast(null as int) n_words", "cast(array() as array<int>) marks", "cast(array() as array<string>) items")
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        out = out.mapInArrow(_pass(shared, span, text_col, mine), out.schema)
-        if k + 1 < blocks:
-            out = stored(out, "decontaminated")
-    return out
+    base = wrapped(docs, id_col, text_col)
+    if total <= INDEX_BYTES:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        out = base.select("row", "text").mapInArrow(_pass(shared, span), with_row(base, f"text string, {STATE}"))
+    else:
+        out = _by_join(base, stored(items, "benchmark"), span)
+    return unwrapped(out, docs, text_col, ["n_words", "marks", "items"])
 
 
-def _pass(shared, span: int, text_col: str, mine: list[str]):  # noqa: ANN001, ANN202
+def _pass(shared, span: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, span)
         for batch in batches:
-            for b in slices(batch, text_col, TEXT_BYTES):
-                n_words, found = scan(index, b.column(text_col))
-                marks = [_joined(old, new[0]) if old else new[0] for old, new in zip(b.column("marks").to_pylist(), found, strict=True)]
-                names = [sorted({*old, *new[1]}) if old else new[1] for old, new in zip(b.column("items").to_pylist(), found, strict=True)]
+            for b in slices(batch, "text", TEXT_BYTES):
+                n_words, found = scan(index, b.column("text"))
                 yield pa.record_batch(
-                    [*(b.column(c) for c in mine), pa.array(n_words.astype(np.int32)), pa.array(marks, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                    [*mine, "n_words", "marks", "items"],
+                    [b.column("row"), b.column("text"), pa.array(n_words.astype(np.int32)), pa.array([m for m, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.string()))],
+                    ["row", "text", "n_words", "marks", "items"],
                 )
 
     return run
 
 
+def _prints(w: Words, m: int, span: int) -> np.ndarray:
+    """Fingerprint of each window of m words, over text borders."""
+    return (window_minimum(w.hashes, span, min(GRAM, span)) if m == span else grams(w.hashes, m)).astype(np.int64)
+
+
+def _windows(span: int):  # noqa: ANN202
+    """item, m (words), print and window of each window of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                w = find(data, np.array([0, len(data)]), ALNUM, lower=True)
+                n = len(w.starts)
+                if n:
+                    m = min(span, n)
+                    word = [w.text(i) for i in range(n)]
+                    k = n - m + 1
+                    yield pa.record_batch([pa.array([item] * k, pa.string()), pa.array([m] * k, pa.int32()), pa.array(_prints(w, m, span)), pa.array([b" ".join(word[i : i + m]) for i in range(k)], pa.binary())], ["item", "m", "print", "window"])
+
+    return run
+
+
+def _text_prints(span: int, sizes: list[int]):  # noqa: ANN202
+    """key, m and print of the texts' windows, equal ones of a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", TEXT_BYTES):
+                w = find(*text_buffer(b.column("text")), ALNUM, lower=True)
+                for m in sizes:
+                    h = _prints(w, m, span)
+                    doc = np.searchsorted(w.first, np.arange(len(h)), "right") - 1
+                    ok = np.arange(len(h)) + m <= w.first[doc + 1] if len(h) else np.zeros(0, bool)
+                    ok[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                    at = np.flatnonzero(ok)
+                    yield pa.record_batch([b.column("key").take(pa.array(doc[at])), pa.array(np.full(len(at), m, np.int32)), pa.array(h[at])], ["key", "m", "print"])
+
+    return run
+
+
+def _text_windows(span: int):  # noqa: ANN202
+    """key, m, start and window of a text's windows with one of its common prints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, common in zip(batch.column("key"), batch.column("text").to_pylist(), batch.column("common").to_pylist(), strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                w = find(data, np.array([0, len(data)]), ALNUM, lower=True)
+                for m in sorted({c["m"] for c in common}):
+                    at = np.flatnonzero(np.isin(_prints(w, m, span), np.array([c["print"] for c in common if c["m"] == m], np.int64)))
+                    found = [b" ".join([w.text(j) for j in range(i, i + m)]) for i in at.tolist()]
+                    yield pa.record_batch([pa.array([key.as_py()] * len(at), pa.binary()), pa.array(np.full(len(at), m, np.int32)), pa.array(at.astype(np.int32)), pa.array(found, pa.binary())], ["key", "m", "start", "window"])
+
+    return run
+
+
+def _merged(base: DataFrame):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", TEXT_BYTES):
+                n_words = np.diff(find(*text_buffer(b.column("text")), ALNUM, lower=True).first)
+                marks = [_runs([(s["start"], s["start"] + s["m"]) for s in x or []]) for x in b.column("spans").to_pylist()]
+                yield pa.record_batch([b.column("row"), b.column("text"), pa.array(n_words.astype(np.int32)), pa.array(marks, pa.list_(pa.int32())), b.column("items")], ["row", "text", "n_words", "marks", "items"])
+
+    return run, with_row(base, f"text string, {STATE}")
+
+
+def _by_join(base: DataFrame, items: DataFrame, span: int) -> DataFrame:
+    key = F.unhex(F.sha2("text", 256)).alias("key")
+    windows = stored(items.mapInArrow(_windows(span), "item string, m int, print long, window binary").distinct(), "benchmark-windows")
+    sizes = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most `span` rows
+    texts = base.where("text is not null").select(key, "text")
+    prints = texts.mapInArrow(_text_prints(span, sizes), "key binary, m int, print long").distinct()
+    common = prints.join(windows.select("m", "print").distinct(), ["m", "print"], "left_semi")
+    common = stored(common.groupBy("key").agg(F.collect_list(F.struct("m", "print")).alias("common")), "common-prints")
+    near = texts.join(common, "key").dropDuplicates(["key"]).mapInArrow(_text_windows(span), "key binary, m int, start int, window binary")
+    hits = stored(near.join(windows.select("item", "m", "window"), ["m", "window"]).select("key", "start", "m", "item"), "hits")
+    spans = hits.select("key", "start", "m").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("spans"))
+    names = hits.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = stored(spans.join(names, "key"), "found")
+    joined = base.withColumn("key", key).join(found, "key", "left").select("row", "text", "spans", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return joined.mapInArrow(*_merged(base))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -172,9 +173,9 @@ def test_gram_hashes_tell_strings_apart():
     assert len(set(h.tolist())) == 26 and (h[:26] == h[26:52]).all()
 
 
-@pytest.mark.parametrize("limit", [None, 3000])
+@pytest.mark.parametrize("limit", [None, 0])
 def test_contamination(spark, limit, monkeypatch):
-    if limit:
+    if limit is not None:
         monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
     rows = H.corpus(4)
     rng = random.Random(2)
@@ -188,14 +189,28 @@ def test_contamination(spark, limit, monkeypatch):
     want = H.contaminated(rows, items)
     got = decontaminate.contamination(extra(table(spark, rows)), bench).collect()
     for r in got:
-        n, hit, k, _, _ = want[r["doc_id"]]
+        n, hit, k, names, _ = want[r["doc_id"]]
         m = r["marks"]
         assert (r["n_words"], sum(m[1::2]) - sum(m[::2]), len(r["items"])) == (n, hit, k)
-        assert m == sorted(set(m))
+        assert m == sorted(set(m)) and hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == names
     assert len(got) == len(rows)
     assert decontaminate.contamination(table(spark, []), bench).collect() == []
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_contamination_edges(spark, limit, monkeypatch):
+    """Repeated rows, null ids, a long text, columns with the names of added ones."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
+    item = " ".join(f"k{i}" for i in range(10))
+    rows = [(None, item, 1), (1, f"x {item}. y", 2), (1, f"x {item}. y", 2), (2, " ".join(f"w{i}" for i in range(150_000)) + " " + item, 3), (3, "", 4), (4, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, items int").selectExpr("*", "7 as n_words", "8 as key", "9 as `a.b`")
+    bench = spark.createDataFrame([(5, item, "q"), (None, item, "r"), (6, "w3", "s")], "item_id long, text string, item string")
+    got = sorted((tuple(r[c] for c in ("doc_id", "items_input", "n_words_input", "key", "a.b", "n_words", "marks", "items")) for r in decontaminate.contamination(df, bench).collect()), key=repr)
+    both = ["5", "null"]
+    want = [(None, 1, 7, 8, 9, 10, [0, 10], both), *[(1, 2, 7, 8, 9, 12, [1, 11], both)] * 2, (2, 3, 7, 8, 9, 150_010, [3, 4, 150_000, 150_010], [*both[:1], "6", "null"]), (3, 4, 7, 8, 9, 0, [], []), (4, 5, 7, 8, 9, 0, [], [])]
+    assert got == sorted(want, key=repr)
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0, 3)]
     assert line_dedup.patience([1, 9, 2, 3], [1, 2, 3, 4]) == [(0, 0, 1), (2, 1, 2)]
