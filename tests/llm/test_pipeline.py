@@ -52,6 +52,17 @@ def test_run_equals_brute_force(spark, tmp_path, seed):
     assert sorted(fill.values()) == H.best_fit(counts, 1024)
 
 
+def test_odd_rows(spark, tmp_path):
+    """Without a label all texts with a letter stay; null ids and repeated rows are kept; long texts pass whole."""
+    say = lambda x, n: " ".join(f"{x}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i // 676}" for i in range(n))
+    rows = [(None, say("a", 30), None, "s", 0), (None, say("a", 30), None, "s", 0), (1, say("b", 30), None, "s", 0), (1, say("b", 30), None, "s", 0), (2, "1 2 3", None, "s", 0), (3, say("c", 90_000), None, "s", 0), (4, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, H.SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r["doc_id"], r["piece"]) for r in pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(d or 0 for d, k in got if k == 0) == [0, 0, 1, 1, 3] and sum(d == 3 for d, _ in got) > 90
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame(H.corpus(13), H.SCHEMA).selectExpr("*", "1 as score", "2 as marks", "3 as sig")
