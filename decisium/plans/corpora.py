@@ -59,9 +59,9 @@ def script_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(T.other_script(F.col("text"), ACCENTED)).alias("rejected"))
 
 
-@query("SELECT doc_id, md5(replace(left(text, 50) || '<|ts_q|> x <|ts_', '<|ts_', '<' || chr(8203) || '|ts_')) AS digest, length(replace(left(text, 50) || '<|ts_q|> x <|ts_', '<|ts_', '<' || chr(8203) || '|ts_')) AS n FROM documents")
+@query("SELECT doc_id, md5(replace(text || '<|ts_q|> x <|ts_', '<|ts_', '<' || chr(8203) || '|ts_')) AS digest, length(replace(text || '<|ts_q|> x <|ts_', '<|ts_', '<' || chr(8203) || '|ts_')) AS n FROM documents")
 def sanitize_control_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.sanitize(F.concat(F.substring("text", 1, 50), F.lit("<|ts_q|> x <|ts_")))
+    t = T.sanitize(F.concat("text", F.lit("<|ts_q|> x <|ts_")))
     return docs(spark, sf_dir).select("doc_id", F.md5(t).alias("digest"), F.length(t).alias("n"))
 
 
@@ -91,15 +91,17 @@ def article_seed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("body"))
 
 
-@query(f"SELECT CASE WHEN {uniform_sql('mux', 'page_id')} < 0.4 THEN 'ui' WHEN {uniform_sql('mux', 'page_id')} < 0.7 THEN 'json' WHEN length(html) > 200 AND length(html) < 20000 THEN 'html' ELSE 'ui' END AS kind, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1")
+@query(f"SELECT page_id, kind, CASE WHEN kind = 'html' THEN md5(html) END AS digest FROM (SELECT *, CASE WHEN {uniform_sql('mux', 'page_id')} < 0.4 THEN 'ui' WHEN {uniform_sql('mux', 'page_id')} < 0.7 THEN 'json' WHEN length(html) > 200 AND length(html) < 20000 THEN 'html' ELSE 'ui' END AS kind FROM pages)")
 def html_machine_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 % interface states, 30 % JSON, 30 % HTML of fitting length, else interface."""
+    """40 % interface states, 30 % JSON, 30 % HTML of fitting length (whole, here
+    as its digest), else interface."""
     u, n = uniform("mux", "page_id"), F.length("html")
     kind = F.when(u < 0.4, "ui").when(u < 0.7, "json").when((n > 200) & (n < 20000), "html").otherwise("ui")
-    return table(spark, sf_dir, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(n).alias("chars"))
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), F.when(kind == "html", F.md5("html")).alias("digest"))
 
 
-ROLES = ["button", "link", "textbox", "checkbox", "combobox", "menuitem", "tab", "radio", "switch", "slider"]
+#: Roles of interface elements.
+ROLES = ["button", "link", "textbox", "checkbox", "combobox", "menuitem", "heading", "tab", "radio", "img"]
 
 
 @query(
@@ -121,10 +123,10 @@ def synthetic_json_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(500).select("id", F.to_json(s).alias("state"))
 
 
-@query(f"SELECT doc_id, CASE WHEN {uniform_sql('flip', 'doc_id')} < 0.5 THEN lang || chr(10) || left(text, 80) ELSE left(text, 80) || chr(10) || lang END AS body FROM documents WHERE coalesce(lang, '') <> '' AND coalesce(text, '') <> ''")
+@query(f"SELECT doc_id, CASE WHEN {uniform_sql('flip', 'doc_id')} < 0.5 THEN lang || ': ' || text || chr(10) || 'source: ' || source ELSE 'source: ' || source || chr(10) || lang || ': ' || text END AS body FROM documents WHERE coalesce(lang, '') <> '' AND coalesce(text, '') <> ''")
 def parallel_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides in either order, by hash; both must be there."""
-    a, b = F.col("lang"), F.substring("text", 1, 80)
+    """Both sides, named and whole, in either order, by hash; both must be there."""
+    a, b = F.concat("lang", F.lit(": "), "text"), F.concat(F.lit("source: "), "source")
     d = docs(spark, sf_dir).where((F.coalesce("lang", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
     return d.select("doc_id", F.when(uniform("flip", "doc_id") < 0.5, F.concat_ws("\n", a, b)).otherwise(F.concat_ws("\n", b, a)).alias("body"))
 

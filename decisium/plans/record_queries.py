@@ -127,31 +127,36 @@ def shuffle_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOK = "regexp_extract_all(text, '(<\\|ts_[a-z_0-9]+\\|>|[A-Za-z0-9_]+|[^A-Za-z0-9_\\s])')"
+_IDS = f"list_transform({_TOK}, lambda x: ('0x' || substr(md5(x), 1, 4))::INT)"
+
+
+def _ids() -> Column:
+    """An id for each simple token of the whole text."""
+    toks = F.regexp_extract_all("text", F.lit(r"(<\|ts_[a-z_0-9]+\|>|[A-Za-z0-9_]+|[^A-Za-z0-9_\s])"), F.lit(1))
+    return F.transform(toks, lambda x: F.conv(F.substring(F.md5(x), 1, 4), 16, 10).cast("int"))
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {_TOK} AS s FROM documents), n AS (SELECT doc_id, len(s) AS n, least(100, 60 + (doc_id % 90)::INT) AS b FROM t)
-SELECT doc_id, n > b AS truncated, least(n, b)::INT + 12 AS n_ids, [least(n, b)::INT + 4, least(n, b)::INT + 11] AS answer_positions FROM n"""
+    f"""WITH t AS (SELECT doc_id, {_IDS} AS s FROM documents), n AS (SELECT *, len(s) AS n, least(100, 60 + (doc_id % 90)::INT) AS b FROM t),
+c AS (SELECT *, CASE WHEN n > b THEN list_concat(s[1:1], CASE WHEN b > 1 THEN s[n - b + 2:n] ELSE [] END) ELSE s END AS cut FROM n)
+SELECT doc_id, n > b AS truncated, array_to_string(list_concat(cut, [1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2]), ' ') AS input_ids, [least(n, b)::INT + 4, least(n, b)::INT + 11] AS answer_positions FROM c"""
 )
 def encode_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two questions of 5 and 7 ids after a state cut to its budget."""
-    toks = F.regexp_extract_all("text", F.lit(r"(<\|ts_[a-z_0-9]+\|>|[A-Za-z0-9_]+|[^A-Za-z0-9_\s])"), F.lit(1))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(toks, lambda x: F.hash(x)).alias("state_ids"), F.array(F.array_repeat(F.lit(1), 5), F.array_repeat(F.lit(2), 7)).alias("question_ids"))
-    # the state's budget differs by document
-    cut = d.withColumn("state_ids", F.col("state_ids")).withColumn("b", F.least(F.lit(100), 60 + (F.col("doc_id") % 90).cast("int")))
-    state = R.head_and_tail(F.col("state_ids"), F.col("b"))
-    e = R.encoded(cut.withColumn("_cut", F.size("state_ids") > F.col("b")).withColumn("state_ids", state), most_state=100, most=112)
-    return e.select("doc_id", F.col("_cut").alias("truncated"), F.size("input_ids").alias("n_ids"), F.transform("answer_positions", lambda x: x).alias("answer_positions"))
+    """Two questions of 5 and 7 ids after a state cut to its budget, which
+    differs by document: its first and its last ids."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _ids().alias("state_ids"), F.array(F.array_repeat(F.lit(1), 5), F.array_repeat(F.lit(2), 7)).alias("question_ids"))
+    b = F.least(F.lit(100), 60 + (F.col("doc_id") % 90).cast("int"))
+    cut = d.withColumn("_cut", F.size("state_ids") > b).withColumn("state_ids", R.head_and_tail(F.col("state_ids"), b))
+    e = R.encoded(cut, most_state=100, most=112)
+    return e.select("doc_id", F.col("_cut").alias("truncated"), F.array_join("input_ids", " ").alias("input_ids"), "answer_positions")
 
 
-@query(f"WITH t AS (SELECT doc_id, doc_id // 32 AS batch, len({_TOK})::INT AS n FROM documents) SELECT doc_id, batch, n, (max(n) OVER (PARTITION BY batch)) - n AS pad FROM t")
+@query(f"WITH t AS (SELECT doc_id, doc_id // 32 AS batch, {_IDS} AS s FROM documents), w AS (SELECT *, max(len(s)) OVER (PARTITION BY batch) AS w FROM t) SELECT doc_id, batch, md5(array_to_string(list_concat(s, list_transform(range(0, w - len(s)), lambda i: 0)), ' ')) AS padded, w - len(s) AS pad FROM w")
 def collate_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids padded to the longest of their batch."""
-    toks = F.regexp_extract_all("text", F.lit(r"(<\|ts_[a-z_0-9]+\|>|[A-Za-z0-9_]+|[^A-Za-z0-9_\s])"), F.lit(1))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 32).alias("batch"), F.transform(toks, lambda x: F.hash(x)).alias("ids"))
-    n = F.size("ids")
-    width = F.max(n).over(Window.partitionBy("batch"))
-    return d.withColumn("width", width).select("doc_id", "batch", n.alias("n"), (F.size(R.padded(F.col("ids"), F.col("width"))) - n).alias("pad"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 32).alias("batch"), _ids().alias("ids"))
+    width = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    return d.withColumn("width", width).select("doc_id", "batch", F.md5(F.array_join(R.padded(F.col("ids"), F.col("width")), " ")).alias("padded"), (F.col("width") - F.size("ids")).cast("long").alias("pad"))
 
 
 @query("SELECT 262 AS tokens, count(*) AS options FROM range(0, 256)")
@@ -168,13 +173,13 @@ def _record(id_: Column, source: str, state: Column, qtype: str, instructions: C
 @R.converter("toxic")
 def toxic(labels: DataFrame, documents: DataFrame) -> DataFrame:
     d = labels.join(documents, "doc_id")
-    return d.select(*_record(F.concat(F.lit("toxic-"), F.col("doc_id").cast("string")), "toxic", F.substring("text", 1, 200), "noul", R.template(F.col("lang"), "noul", "toxic", "toxic", "doc_id"), ["no", "yes"], F.col("toxic") == 1))
+    return d.select(*_record(F.concat(F.lit("toxic-"), F.col("doc_id").cast("string")), "toxic", F.col("text"), "noul", R.template(F.col("lang"), "noul", "toxic", "toxic", "doc_id"), ["no", "yes"], F.col("toxic") == 1))
 
 
 @R.converter("quality")
 def quality(labels: DataFrame, documents: DataFrame) -> DataFrame:
     d = labels.join(documents, "doc_id")
-    return d.select(*_record(F.concat(F.lit("quality-"), F.col("doc_id").cast("string")), "quality", F.substring("text", 1, 200), "noul", F.lit("Is this text well written?"), ["no", "yes"], F.col("quality") == 1))
+    return d.select(*_record(F.concat(F.lit("quality-"), F.col("doc_id").cast("string")), "quality", F.col("text"), "noul", F.lit("Is this text well written?"), ["no", "yes"], F.col("quality") == 1))
 
 
 @R.converter("lang")
@@ -182,7 +187,7 @@ def language(documents: DataFrame) -> DataFrame:
     d = documents.where(F.col("lang").isin("en", "fr", "de", "es"))
     names = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
     full = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in names.items()], F.col("lang"))
-    return d.select(*_record(F.concat(F.lit("lang-"), F.col("doc_id").cast("string")), "lang", F.substring("text", 1, 200), "choice", R.template(F.col("lang"), "choice", "language", "lang", "doc_id"), list(names.values()), full))
+    return d.select(*_record(F.concat(F.lit("lang-"), F.col("doc_id").cast("string")), "lang", F.col("text"), "choice", R.template(F.col("lang"), "choice", "language", "lang", "doc_id"), list(names.values()), full))
 
 
 @R.converter("priority")
@@ -196,17 +201,17 @@ def _pick_sql(xs: list[str], what: str, seed: str, key: str) -> str:
     return f"{[x.replace('{what}', what) for x in xs]}[({hash32_sql(seed, key)} % {len(xs)} + 1)::INT]"
 
 
-@query(f"SELECT 'toxic-' || doc_id AS id, 'toxic' AS source, left(text, 200) AS state, 'noul' AS qtype, {_pick_sql(R.NOUL_EN, 'toxic', 'toxic', 'doc_id')} AS instructions, ['no', 'yes'] AS options, (toxic = 1)::VARCHAR AS label FROM labels JOIN documents USING (doc_id)")
+@query(f"SELECT 'toxic-' || doc_id AS id, 'toxic' AS source, text AS state, 'noul' AS qtype, {_pick_sql(R.NOUL_EN, 'toxic', 'toxic', 'doc_id')} AS instructions, ['no', 'yes'] AS options, (toxic = 1)::VARCHAR AS label FROM labels JOIN documents USING (doc_id)")
 def convert_toxic_noul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.CONVERTERS["toxic"](table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
-@query("SELECT 'quality-' || doc_id AS id, 'quality' AS source, left(text, 200) AS state, 'noul' AS qtype, 'Is this text well written?' AS instructions, ['no', 'yes'] AS options, (quality = 1)::VARCHAR AS label FROM labels JOIN documents USING (doc_id)")
+@query("SELECT 'quality-' || doc_id AS id, 'quality' AS source, text AS state, 'noul' AS qtype, 'Is this text well written?' AS instructions, ['no', 'yes'] AS options, (quality = 1)::VARCHAR AS label FROM labels JOIN documents USING (doc_id)")
 def convert_quality_noul(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.CONVERTERS["quality"](table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
-@query(f"SELECT 'lang-' || doc_id AS id, 'lang' AS source, left(text, 200) AS state, 'choice' AS qtype, {_pick_sql(R.CHOICE_EN, 'language', 'lang', 'doc_id')} AS instructions, ['English', 'French', 'German', 'Spanish'] AS options, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' ELSE 'Spanish' END AS label FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
+@query(f"SELECT 'lang-' || doc_id AS id, 'lang' AS source, text AS state, 'choice' AS qtype, {_pick_sql(R.CHOICE_EN, 'language', 'lang', 'doc_id')} AS instructions, ['English', 'French', 'German', 'Spanish'] AS options, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' ELSE 'Spanish' END AS label FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
 def convert_lang_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.CONVERTERS["lang"](table(spark, sf_dir, "documents"))
 
@@ -237,25 +242,28 @@ def convert_multi_question_record(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query(
-    """WITH s AS (SELECT *, list(role || ':' || left(text, 12)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
-SELECT conv_id, turn, coalesce(array_to_string(h, ' > '), '') AS history, left(text, 20) AS action FROM s WHERE role = 'assistant'"""
+    """WITH s AS (SELECT *, list(role || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
+SELECT conv_id, turn, coalesce(array_to_string(h, ' > '), '') AS history, text AS action FROM s WHERE role = 'assistant'"""
 )
 def convert_agent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An agent's steps with the five turns before each."""
-    c = table(spark, sf_dir, "conversations").withColumn("a", F.concat("role", F.lit(":"), F.substring("text", 1, 12)))
+    c = table(spark, sf_dir, "conversations").withColumn("a", F.concat("role", F.lit(":"), "text"))
     h = R.history(c, "conv_id", "turn", "a", 5).where(F.col("role") == "assistant")
-    return h.select("conv_id", "turn", F.array_join("history", " > ").alias("history"), F.substring("text", 1, 20).alias("action"))
+    return h.select("conv_id", "turn", F.array_join("history", " > ").alias("history"), F.col("text").alias("action"))
 
 
 @query(
-    """WITH e AS (SELECT event_id, props::JSON AS p FROM events) SELECT event_id, left('k=' || left(p->>'k', 40), 160) AS element FROM e WHERE p->>'k' IS NOT NULL"""
+    """WITH a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name END AS aria, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS title, p_brand AS id, repeat(p_name, 5) AS val FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'button' ELSE left(concat_ws(' ', 'button', coalesce(aria, title), 'id="' || id || '"', 'value="' || left(val, 40) || '"', CASE WHEN aria IS NOT NULL THEN 'title="' || left(title, 40) || '"' END), 160) END AS element FROM a"""
 )
 def candidate_element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes of a JSON object as short text: at most four, values cut to
-    40 characters and the whole to 160."""
-    attrs = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k.isin("k", "id", "name", "role") & v.isNotNull())
-    e = table(spark, sf_dir, "events").select("event_id", F.slice(F.map_entries(attrs), 1, 4).alias("a")).where(F.size("a") > 0)
-    return e.select("event_id", F.substring(F.array_join(F.transform("a", lambda x: F.concat(x["key"], F.lit("="), F.substring(x["value"], 1, 40))), " "), 1, 160).alias("element"))
+    """Page elements as short text: tag, label, other attributes that count;
+    values cut to 40 characters and the whole to 160. Some aren't JSON."""
+    from ..operators.converters import candidate_text
+
+    k = F.col("p_partkey")
+    attrs = F.struct(F.lit("x").alias("style"), F.col("p_brand").alias("id"), F.when(k % 3 == 0, F.col("p_name")).alias("aria_label"), F.repeat("p_name", 5).alias("value"), F.when(k % 2 == 0, F.col("p_type")).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", candidate_text(F.lit("button"), F.when(k % 7 == 0, "{odd").otherwise(F.to_json(attrs))).alias("element"))
 
 
 @query("SELECT c_custkey, least(4, greatest(0, floor((c_acctbal / 2000) + 0.5) - 1))::INT AS level, c_acctbal >= 5000 AS rich FROM customer")
@@ -444,7 +452,7 @@ def throughput_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- files, streams
-@query("SELECT doc_id::VARCHAR AS id, source, lang, CASE WHEN doc_id % 50 = 0 THEN 'eval' ELSE 'train' END AS split, n_chars::VARCHAR AS n_chars FROM documents")
+@query("SELECT doc_id::VARCHAR AS id, source, lang, CASE WHEN doc_id % 50 = 0 THEN 'eval' ELSE 'train' END AS split, n_chars::VARCHAR AS n_chars, md5(text) AS state_md5 FROM documents")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as JSON lines by source and split and read back; a column
     that isn't a record's folds into meta."""
@@ -452,10 +460,10 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.scratch import scratch
 
     d = table(spark, sf_dir, "documents")
-    rows = d.select(F.col("doc_id").cast("string").alias("id"), "source", "lang", F.when(F.col("doc_id") % 50 == 0, "eval").otherwise("train").alias("split"), F.substring("text", 1, 100).alias("state"), "n_chars")
+    rows = d.select(F.col("doc_id").cast("string").alias("id"), "source", "lang", F.when(F.col("doc_id") % 50 == 0, "eval").otherwise("train").alias("split"), F.col("text").alias("state"), "n_chars")
     path = scratch(spark, "jsonl")
     write_records(rows, path)
-    return read_records(spark, path).select("id", "source", "lang", "split", F.try_element_at("meta", F.lit("n_chars")).alias("n_chars"))
+    return read_records(spark, path).select("id", "source", "lang", "split", F.try_element_at("meta", F.lit("n_chars")).alias("n_chars"), F.md5("state").alias("state_md5"))
 
 
 @query("SELECT shard, count(*) AS tokens, sum(token)::BIGINT AS checksum FROM (SELECT (p_partkey // 100) AS shard, (p_partkey * 7919 % 50000) AS token FROM part) GROUP BY shard")
