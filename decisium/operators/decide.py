@@ -138,3 +138,27 @@ def learning_rate(step: Column, steps: int, peak: float, warmup: float, least: f
     warm = max(1, int(steps * warmup))
     done = F.least(F.lit(1.0), (step - warm) / max(1, steps - warm))
     return F.when(step < warm, peak * step / warm).otherwise(peak * (least + (1 - least) * 0.5 * (1 + F.cos(math.pi * done))))
+
+
+def by_probability(names: Column, pk: Column) -> Column:
+    """Option names from the likeliest on; ties in the caller's order."""
+    keyed = F.transform(F.arrays_zip(names.alias("n"), pk.alias("p")), lambda x, i: F.struct((-x["p"]).alias("k"), i.alias("i"), x["n"].alias("n")))
+    return F.transform(F.array_sort(keyed), lambda x: x["n"])
+
+
+def legend(descs: Column) -> Column:
+    """Level texts by number; a level without one has its number."""
+    return F.transform(descs, lambda d, i: F.when(F.coalesce(d, F.lit("")) != "", d).otherwise(i.cast("string")))
+
+
+def response(answer: Column, model: Column, input_ids: Column, orders: Column | int, default: str = "decisium") -> Column:
+    """The answer with the model asked for (else the default) and usage: the
+    ids of one order, however many orders were averaged."""
+    n = F.lit(orders) if isinstance(orders, int) else orders
+    return F.struct(F.coalesce(model, F.lit(default)).alias("model"), answer.alias("answer"), F.struct(F.size(input_ids).alias("input_tokens"), F.lit(0).alias("output_tokens"), n.cast("int").alias("permutations")).alias("usage"))
+
+
+def scored(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], temperature: Column | float = 1.0) -> DataFrame:
+    """Probabilities of requests by any scorer: it adds logits (by option) and
+    abstain_logit to the requests, as columns, by a join or by a model's UDF."""
+    return with_probabilities(scorer(df), temperature=temperature)

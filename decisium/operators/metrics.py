@@ -5,7 +5,7 @@ aggregations, so what is shuffled is a row per group and task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 10
@@ -51,3 +51,14 @@ def routing_curve(df: DataFrame, thresholds: list[float], conf: str = "conf", co
     cut = df.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     kept = F.col(conf) >= F.col("threshold")
     return cut.groupBy("threshold").agg(F.avg(kept.cast("double")).alias("coverage"), F.avg(F.when(kept, F.col(correct))).alias("accuracy"), F.count_if(~kept).alias("escalated"))
+
+
+def side_by_side(rows: DataFrame, key: str, run: str, runs: list[str], value: Column) -> DataFrame:
+    """One row per key with a column for each run, by one aggregation."""
+    return rows.groupBy(key).agg(*[F.avg(F.when(F.col(run) == r, value)).alias(r) for r in runs])
+
+
+def latency(rows: DataFrame, by: str, order: list[str], value: str, warm_up: int = 1) -> DataFrame:
+    """Mean over a run's repeats after its first ones."""
+    turns = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return turns.where(F.col("_turn") > warm_up).groupBy(by).agg(F.count("*").alias("repeats"), F.avg(value).alias("latency"))

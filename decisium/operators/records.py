@@ -75,6 +75,60 @@ def request_error(qtype: Column, names: Column, orders: Column | None = None, qu
     return out
 
 
+def parsed_question(raw: Column) -> Column:
+    """A question's JSON as a struct (qtype, instructions, options, error), by
+    its type: a choice's criteria are an object of names with descriptions or a
+    list of names, a score's a list of levels, a noul's an object of true and
+    false or absent. error says why it isn't a question; null if it is one."""
+    m = F.from_json(raw, "map<string,string>")
+    at = lambda k: F.try_element_at(m, F.lit(k))
+    qtype, criteria = at("type"), at("criteria")
+    given = F.map_entries(F.from_json(criteria, "map<string,string>"))
+    listed = F.from_json(criteria, "array<string>")
+    none = F.lit(None).cast("string")
+    opt = lambda n, d: F.struct(n.alias("name"), d.alias("desc"))
+    said = lambda k: F.try_element_at(F.from_json(criteria, "map<string,string>"), F.lit(k))
+    is_list = criteria.startswith("[")
+    choice = F.when(is_list, F.transform(listed, lambda n: opt(n, none))).otherwise(F.transform(given, lambda e: opt(e["key"], e["value"])))
+    score = F.transform(listed, lambda x, i: opt(i.cast("string"), x))
+    noul = F.array(opt(F.lit("no"), said("false")), opt(F.lit("yes"), said("true")))
+    empty = F.array().cast("array<struct<name:string,desc:string>>")
+    opts = F.coalesce(F.when(qtype == "choice", choice).when(qtype == "score", F.when(is_list, score)).when(qtype == "noul", noul), empty)
+    names = F.when(qtype == "noul", F.coalesce(F.map_keys(F.from_json(criteria, "map<string,string>")), F.array().cast("array<string>"))).otherwise(F.transform(opts, lambda o: o["name"]))
+    error = F.when(m.isNull(), "not an object").when(at("instructions").isNull(), "no instructions").otherwise(request_error(F.coalesce(qtype, F.lit("")), names))
+    return F.struct(qtype.alias("qtype"), at("instructions").alias("instructions"), opts.alias("options"), error.alias("error"))
+
+
+def parsed_questions(raw: Column) -> Column:
+    """An object of questions by id as an array, in its order; null if it isn't one."""
+    return F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.struct(e["key"].alias("qid"), parsed_question(e["value"]).alias("q")))
+
+
+def record_error(state: Column, questions: Column, labels: Column) -> Column:
+    """Why a record (all parts JSON or text) isn't valid; null if it is."""
+    qs, given = parsed_questions(questions), F.from_json(labels, "map<string,string>")
+    label = lambda x: F.try_element_at(given, x["qid"])
+    slots = lambda x: F.transform(x["q"]["options"], lambda o: o["name"])
+    whole = lambda v: v.try_cast("double").try_cast("long").cast("string")
+    bad = lambda x: F.when(x["q"]["qtype"] == "choice", ~F.array_contains(slots(x), label(x))).when(x["q"]["qtype"] == "score", ~F.coalesce(F.array_contains(slots(x), whole(label(x))), F.lit(False))).otherwise(F.lit(False))
+    keys, asked = F.map_keys(given), F.transform(qs, lambda x: x["qid"])
+    differ = (F.size(F.array_except(keys, asked)) > 0) | (F.size(F.array_except(asked, keys)) > 0)
+    return (
+        F.when(state.isNull(), "no state").when(qs.isNull(), "no questions").when(F.coalesce(F.size(keys), F.lit(0)) < 1, "no labels").when(differ, "keys differ")
+        .when(F.exists(qs, lambda x: x["q"]["error"].isNotNull()), "bad question").when(F.exists(qs, lambda x: label(x).isNull()), "null label").when(F.exists(qs, bad), "label outside")
+    )
+
+
+def instruction_text(*parts: Column) -> Column:
+    """Parts of an instruction record as lines; a missing one is an empty line."""
+    return F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def number(text: Column) -> Column:
+    """A configuration value as a number where it is one."""
+    return strip(text).try_cast("double")
+
+
 def label_slot(names: Column, label: Column) -> Column:
     """Slot of the label; IGNORE without one, null where it isn't an option."""
     at = F.array_position(names, label)

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash32
-from ..operators.mixture import first_per_group
+from ..operators.mixture import first_per_group, running_offset
 
 KNOWN = ["id", "source", "lang", "split", "state", "questions", "labels"]
 
 
-def write_records(rows: DataFrame, path: str) -> None:
+def write_records(rows: DataFrame, path: str) -> int:
     """One JSON object a line, text unescaped, nulls kept; a folder for each
-    source and split."""
+    source and split. Gives the number of records, which the write counts."""
+    seen = Observation()
     line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_line"]), {"ignoreNullFields": "false"})
-    rows.select(F.col("source").alias("_source"), F.col("split").alias("_split"), line.alias("value")).write.partitionBy("_source", "_split").text(path)
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).select(F.col("source").alias("_source"), F.col("split").alias("_split"), line.alias("value")).write.partitionBy("_source", "_split").text(path)
+    return seen.get["n"]
+
+
+def write_manifest(counts: DataFrame, path: str) -> None:
+    """Counts as JSON lines, one file: a row per source."""
+    counts.coalesce(1).write.json(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds lines to a log folder; readers see whole files only."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+
+
+def write_rotating(rows: DataFrame, path: str, each: int, order: str) -> None:
+    """JSON lines in shards of `each` rows by `order`, a unique whole number."""
+    placed = running_offset(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one").withColumn("shard", F.floor(F.col("offset") / each))
+    placed.select("shard", F.to_json(F.struct(*rows.columns)).alias("value")).repartition("shard").write.partitionBy("shard").text(path)
 
 
 def parse_records(lines: DataFrame, *keep: str) -> DataFrame:
