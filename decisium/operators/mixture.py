@@ -14,20 +14,34 @@ from ..functions.rand import hash32, uniform
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+def sum_before(rows: DataFrame, groups: list[str], seed: str, key: str, size: str, into: str) -> DataFrame:
+    """Adds the sum of `size` over a group's rows before each one in hash order:
+    sums of 4096 hash ranges, then sums within a range, so that no window holds
+    a whole group."""
+    h = rows.withColumn("_h", hash32(seed, key)).withColumn("_b", F.shiftright("_h", 20))
+    sums = h.groupBy(*groups, "_b").agg(F.sum(size).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(*BEFORE))
+    bases = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_r"), F.coalesce(upto, F.lit(0)).alias("_base"))
+    inner = F.sum(size).over(Window.partitionBy(*groups, "_b").orderBy("_h", key).rowsBetween(*BEFORE))
+    same = F.col("_b") == F.col("_r")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = h.withColumn("_in", F.coalesce(inner, F.lit(0))).join(bases, same)
+    return out.withColumn(into, F.col("_in") + F.col("_base")).drop("_h", "_b", "_r", "_in", "_base", *[f"_g{i}" for i in range(len(groups))])
+
+
 def token_budget(docs: DataFrame, budget: Column, seed: str, source: str = "source", key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """Rows of each source, in hash order, while those before are under the
     budget; the last may go over it. Adds got (tokens before)."""
-    order = Window.partitionBy(source).orderBy(hash32(seed, key), key).rowsBetween(*BEFORE)
-    return docs.withColumn("got", F.coalesce(F.sum(size).over(order), F.lit(0))).where(F.col("got") < budget)
+    return sum_before(docs, [source], seed, key, size, "got").where(F.col("got") < budget)
 
 
 def holdout(docs: DataFrame, rate: float, cap: int, seed: str, key: str = "doc_id", size: str = "n_tokens", split: str = "source") -> DataFrame:
     """Adds held: drawn by hash, while the drawn before hold under `cap` tokens
     (by `split`)."""
-    drawn = uniform(seed, key) < rate
-    order = Window.partitionBy(split, "_drawn").orderBy(hash32(seed, key), key).rowsBetween(*BEFORE)
-    held = F.col("_drawn") & (F.coalesce(F.sum(size).over(order), F.lit(0)) < cap)
-    return docs.withColumn("_drawn", drawn).withColumn("held", held).drop("_drawn")
+    drawn = docs.withColumn("_drawn", uniform(seed, key) < rate)
+    before = sum_before(drawn, [split, "_drawn"], seed, key, size, "_before")
+    return before.withColumn("held", F.col("_drawn") & (F.col("_before") < cap)).drop("_drawn", "_before")
 
 
 def running_offset(rows: DataFrame, order: str, size: str, width: int = 1 << 12) -> DataFrame:
