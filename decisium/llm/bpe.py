@@ -20,7 +20,7 @@ from .common import text_buffer
 from .words import mix
 
 #: Slots of a worker's cache, and most ids and bytes of a piece in it.
-SLOTS, WIDTH, WIDE = 1 << 22, 8, 22
+SLOTS, WIDTH, WIDE = 1 << 21, 8, 22
 _AT, _COUNT = np.uint64(48), np.uint64(255 << 48)
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -205,5 +205,5 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Frees a reused worker's encoders; for stages after tokenising."""
+    """Frees a reused worker's encoders; for stages that don't tokenise."""
     _ready.clear()

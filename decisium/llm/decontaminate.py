@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import ALNUM, Words, find, grams
 
@@ -161,6 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col:
 
 def _pass(shared, span: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         index = Index(shared.value, span)
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):

@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import mix
 
 BUCKETS, ORDERS, LANGS, SCORE_GRAMS = 1 << 15, (1, 2, 3), 64, 200.0
-TEXT_BYTES = 400_000
+TEXT_BYTES = 200_000
 _SHIFT, _PLANE = np.uint64(64 - 15), 1 << 16
 _tables: list[np.ndarray] = []
 
@@ -102,6 +103,7 @@ def counts(rows: DataFrame) -> DataFrame:
     """lang, bucket, n over all labelled texts: summed by task, then by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):
@@ -174,6 +176,7 @@ def _pass(shared, base: DataFrame):  # noqa: ANN001, ANN202
     far and the sum of all over it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m: Block = shared.value
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):

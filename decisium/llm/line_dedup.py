@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import prepare, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import BLANK, find, mix
 
@@ -76,6 +77,7 @@ def line_rows(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], lis
 
 def lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):
                 h, w, sig = line_rows(b.column("text"))

@@ -47,6 +47,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import prepare, slices, stored, text_buffer
 from .components import Forest, components
 from .words import BLANK, Words, find, grams
@@ -85,6 +86,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n (set size), sig (digest of the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for b in slices(batch, "text", TEXT_BYTES):
                 sets = list(shingle_sets(find(*text_buffer(b.column("text")), BLANK, lower=True), shingle))
