@@ -22,11 +22,11 @@ lost, and n near copies cost about n rows.
 A pair is compared in three steps: set sizes, the estimate from the sketch of
 the union, and, only then, the exact Jaccard similarity of the full sets, which
 are made from the texts again. The estimate is taken from short forms of the
-sketches, the SHORT least values' lower 31 bits in rising order of the values:
+sketches, the SHORT least values' lower 15 bits in rising order of the values:
 a value with places i and j (from 1) in the two, after k - 1 shared ones, has
 place i + j - k in the union, so equality alone tells how many of the SHORT
 least values of the union are shared. Values of one sketch that fall together
-in 31 bits count as shared, so that none is missed.
+in 15 bits count as shared, so that none is missed.
 
 Nulls and edges: a null or wordless text has an empty set, linked with nothing;
 fewer words than a shingle has make one shingle; a null doc_id is linked with
@@ -52,7 +52,7 @@ from .common import prepare, slices, stored, text_buffer
 from .components import Forest, components
 from .words import BLANK, Words, find, grams
 
-KEEP, SHORT, TEXT_BYTES, BROADCAST_IDS = 96, 48, 500_000, 1_000_000
+KEEP, SHORT, TEXT_BYTES, BROADCAST_IDS = 80, 48, 500_000, 1_000_000
 A_BLOCK, B_BLOCK, COLUMNS = 512, 2048, 4096
 
 
@@ -121,8 +121,8 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def short_sketches(reps: DataFrame) -> DataFrame:
-    """rep, n, load: 31 bits of the SHORT least values, in their order."""
-    return reps.select("rep", "n", F.transform(F.slice("sketch", 1, SHORT), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("load"))
+    """rep, n, load: 15 bits of the SHORT least values, in their order."""
+    return reps.select("rep", "n", F.transform(F.slice("sketch", 1, SHORT), lambda x: x.bitwiseAND(F.lit(0x7FFF).cast("long")).cast("short")).alias("load"))
 
 
 def union_shared(s: str, t: str) -> tuple[Column, Column]:
