@@ -197,10 +197,17 @@ def test_held_out_sources(spark):
     assert sorted(map(tuple, R.not_held_out(df).collect())) == [("wisesight", "eval"), ("x", "train")]
 
 
-def test_entry_without_llm(spark, monkeypatch):
+@pytest.mark.parametrize("missing", ["decisium.llm", "decisium.llm.queries"])
+def test_entry_without_llm(spark, monkeypatch, missing):
+    """Without the subpackage, or if a library that it needs is missing, the other queries stay."""
+    import sys
+
     import __spark_entry__ as e
 
-    real = e.importlib.util.find_spec
-    monkeypatch.setattr(e.importlib.util, "find_spec", lambda n, *a: None if "llm" in n or n == "corpus_pipeline" else real(n, *a))
-    assert "decision_choice_answers" in e.queries() and not any(re.match(r"op\d", q) for q in e.queries())
+    monkeypatch.setitem(sys.modules, missing, None)  # an import of it fails
+    if missing == "decisium.llm":
+        monkeypatch.delitem(sys.modules, "decisium.llm.queries", raising=False)
+    with pytest.warns(UserWarning, match="without the training-data operators"):
+        named, sql = e.queries(), e.oracle_sql()
+    assert len(named) == len(sql) > 120 and not any(k.startswith("op") and k[2].isdigit() for k in named) and "pipeline" not in named
     assert e.entry(spark).count() == 500
