@@ -101,8 +101,9 @@ def _send(span: int, bits: int):  # noqa: ANN202
 
 
 #: Per chunk and bucket: bits of windows that later documents of other chunks
-#: hold, of windows that earlier ones do, and where those stand first.
-ANSWERS = "chunk long, bucket long, later binary, earlier binary, owners array<long>, parts array<long>"
+#: hold, of windows that earlier ones do, and where those stand first (doc_ids,
+#: then parts).
+ANSWERS = "chunk long, bucket long, later binary, earlier binary, shared binary"
 #: The distinct hashes of a bucket, with the first holder and the last doc_id.
 FIRSTS = "bucket long, slot long, hashes binary, least binary, most binary, chunks binary, parts binary"
 
@@ -137,7 +138,7 @@ def _tell(rows: pd.DataFrame, sizes: list[int], sent: tuple, known: tuple) -> pd
         if not (earlier[s].any() or later[s].any()):
             continue
         shared = np.unique(np.stack([least[s][earlier[s]], part[s][earlier[s]]]), axis=1)
-        for name, value in zip(out, (number, bucket, C.pack_bits(later[s]), C.pack_bits(earlier[s]), shared[0], shared[1]), strict=True):
+        for name, value in zip(out, (number, bucket, C.pack_bits(later[s]), C.pack_bits(earlier[s]), C.squeeze(shared.ravel()) if shared.size else None), strict=True):
             out[name].append(value)
     return pd.DataFrame(out)
 
@@ -185,17 +186,19 @@ def confirm(sent: DataFrame, n_chunks: int) -> DataFrame:
     return stored(sent.groupBy("bucket", "slot").cogroup(known.groupBy("bucket", "slot")).applyInPandas(_apply, ANSWERS), "answers")
 
 
-PASSAGES = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("home", pa.int64()), ("passages", pa.list_(pa.binary()))])
-PASSAGES_DDL = "owner long, part long, home long, passages array<binary>"
+PASSAGES = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("chunk", pa.int64()), ("passages", pa.list_(pa.binary()))])
+PASSAGES_DDL = "owner long, part long, chunk long, passages array<binary>"
 
 
 def _passages(span: int, bits: int):  # noqa: ANN202
-    """Merged recurring windows of a chunk, a row for each document's part; home
-    is the chunk's number where some of them recur within it."""
+    """Merged recurring windows of a chunk, a row for each document's part; then
+    a row without passages for each part, its own or another chunk's, whose
+    passages the chunk must look for."""
 
     def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in PASSAGES.names}
         got = {c: dict(zip(answers.column("bucket").to_pylist(), answers.column(c).to_pylist(), strict=True)) for c in ("later", "earlier")}
+        shared = [C.unsqueeze(x, np.int64).reshape(2, -1) for x in answers.column("shared").to_pylist() if x is not None]
         for number, payload in zip(chunk.column("chunk").to_pylist(), chunk.column("payload").to_pylist(), strict=True):
             w = Windows(payload, span)
             within = w.again & ~C.answered(w.hashes, bits, got["earlier"])
@@ -208,10 +211,12 @@ def _passages(span: int, bits: int):  # noqa: ANN202
             end = w.words.ends[np.append(start[lead[1:] - 1], start[-1:]) + span - 1]
             texts = [w.words.data[a:b].tobytes() for a, b in zip(w.words.starts[start[lead]].tolist(), end.tolist(), strict=True)]
             for i, j in C.runs(place[lead]):
-                k = lead[i]
-                upto = lead[j] if j < len(lead) else len(pick)
-                home = number if within[pick[k:upto]].any() else None
-                for name, value in zip(PASSAGES.names, (int(w.owner[pick[k]]), int(part[k]), home, texts[i:j]), strict=True):
+                k = pick[lead[i]]
+                for name, value in zip(PASSAGES.names, (int(w.owner[k]), int(w.part[k]), number, texts[i:j]), strict=True):
+                    out[name].append(value)
+            own = np.stack([w.owner[within], w.part[within]])
+            for owner, at in np.unique(np.concatenate([*shared, own], axis=1), axis=1).T.tolist():
+                for name, value in zip(PASSAGES.names, (owner, at, number, None), strict=True):
                     out[name].append(value)
         return pa.Table.from_pydict(out, PASSAGES)
 
@@ -348,12 +353,9 @@ def repeated_phrases(docs: DataFrame, span: int = 13, id_col: str = "doc_id", te
     bits = C.bucket_bits(total // 6, BUCKET_WINDOWS)
     body = chunks.select("chunk", "payload")
     answers = confirm(body.mapInArrow(_send(span, bits), SENT), n)
-    told = answers.select("chunk", "bucket", "later", "earlier")
-    passages = stored(body.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_passages(span, bits), PASSAGES_DDL), "passages")
-    places = F.explode(F.arrays_zip("owners", "parts")).alias("p")
-    needed = answers.select("chunk", places).select("chunk", "p.owners", "p.parts").toDF("chunk", "owner", "part")
-    needed = needed.union(passages.where("home is not null").select("home", "owner", "part")).distinct()
-    shared = needed.join(passages.drop("home"), ["owner", "part"]).select("chunk", "owner", "passages")
+    passages = stored(body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_passages(span, bits), PASSAGES_DDL), "passages")
+    wanted = passages.where("passages is null").drop("passages")
+    shared = wanted.join(passages.where("passages is not null").drop("chunk"), ["owner", "part"]).select("chunk", "owner", "passages")
     return body.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_finish(span), OUT_DDL)
 
 

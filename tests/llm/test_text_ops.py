@@ -123,6 +123,46 @@ def test_phrases(spark, seed, part, monkeypatch):
     assert got == H.phrases(rows)
 
 
+@pytest.mark.parametrize(("seed", "letters", "part"), [(1, 2, 1 << 15), (2, 3, 1 << 15), (3, 2, 3)])
+def test_phrases_of_few_words(spark, seed, letters, part, monkeypatch):
+    """The same pieces stand in many passages; small parts, shards and blocks."""
+    for module, name, value in ((chunks, "CHUNK_BYTES", 1500), (chunks, "PART_CHUNKS", part), (phrase_dedup, "BUCKET_WINDOWS", 500), (phrase_dedup, "PART_WORDS", 20), (phrase_dedup, "MOST_PATTERNS", 7), (phrase_dedup, "COMPARED", 5)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        words = [rng.choice("abc"[:letters]) for _ in range(rng.randrange(60))]
+        if rows and i % 3 == 0:
+            words += (rng.choice(rows)[1]).split()[5:40]
+        rows.append((rng.randrange(100) * 60 + i, " \t".join(words), "en", "s", 0))
+    got = {r[0]: tuple(r)[1:4] for r in phrase_dedup.repeated_phrases(table(spark, rows).repartition(3)).collect()}
+    assert got == H.phrases(rows)
+
+
+@pytest.mark.parametrize("span", [12, 13])
+def test_phrase_patterns_locate_every_window(span):
+    """Against a loop; passages share pieces and windows, one with two owners."""
+    rng = random.Random(span)
+    word = lambda n: rng.choice("abcdefgh"[:n]).encode()
+    passages = [b" ".join(word(n) for _ in range(rng.randrange(span, 50))) for n in (1, 2, 2, 8, 8, 8)]
+    passages += [passages[3], b" ".join(passages[4].split()[3 : 4 + span])]
+    owner = np.array([5, 4, 9, 7, 8, 3, 2, 1])
+    text = b" ".join([passages[5], b"q", passages[0], passages[4], b"x", *passages[3].split()[2:], passages[2]])
+    w = text.split()
+    want: dict = {}
+    for passage, o in zip(passages, owner.tolist(), strict=True):
+        v = passage.split()
+        has = {tuple(v[i : i + span]) for i in range(len(v) - span + 1)}
+        for i in range(len(w) - span + 1):
+            if tuple(w[i : i + span]) in has:
+                want[i] = min(o, want.get(i, o))
+    start, who = phrase_dedup.locate(phrase_dedup.find(np.frombuffer(text, np.uint8), np.array([0, len(text)])), passages, owner, span)
+    got: dict = {}
+    for i, o in zip(start.tolist(), who.tolist(), strict=True):
+        got[i] = min(o, got.get(i, o))
+    assert got == want and len(want) > 60
+
+
 def test_phrases_edges(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text, "en", "s", 0), (1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, text, "en", "s", 0)]
