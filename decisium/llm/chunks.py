@@ -124,17 +124,17 @@ SENT = "bucket long, chunk long, base long, hashes binary, owners binary"
 ANSWERS = "chunk long, bucket long, bits binary"
 
 
-def settle(sent: DataFrame, n_chunks: int, earlier: bool) -> DataFrame:
-    """Per chunk and bucket a bit for each hash sent: does a lesser owner hold
-    it (earlier), or any other? Rows without a set bit are left out."""
+def settle(sent: DataFrame, n_chunks: int) -> DataFrame:
+    """Per chunk and bucket a bit for each hash sent: does any other owner hold
+    it? Rows without a set bit are left out."""
     if n_chunks <= PART_CHUNKS:
-        return stored(sent.groupBy("bucket").applyInPandas(_answer(earlier), ANSWERS), "answers")
+        return stored(sent.groupBy("bucket").applyInPandas(_answer, ANSWERS), "answers")
     parts = -(-n_chunks // PART_CHUNKS)
     sent = stored(sent.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))), "sent")
     least = "bucket long, part long, hashes binary, least binary, most binary"
     reduced = sent.groupBy("bucket", "part").applyInPandas(_reduce, least)
     known = stored(reduced.groupBy("bucket").applyInPandas(_meet, least), "met")
-    return stored(sent.groupBy("bucket", "part").cogroup(known.groupBy("bucket", "part")).applyInPandas(_apply(earlier), ANSWERS), "answers")
+    return stored(sent.groupBy("bucket", "part").cogroup(known.groupBy("bucket", "part")).applyInPandas(_apply, ANSWERS), "answers")
 
 
 def _sent(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -159,13 +159,10 @@ def _bits(rows: pd.DataFrame, hashes: list[np.ndarray], bit: np.ndarray) -> pd.D
     return pd.DataFrame({"chunk": rows["chunk"].to_numpy()[keep], "bucket": rows["bucket"].to_numpy()[keep], "bits": [pack_bits(by_row[i]) for i in keep]})
 
 
-def _answer(earlier: bool):  # noqa: ANN202
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, h, o = _sent(rows)
-        _, least, most, back = _bounds(h, o, o)
-        return _bits(rows, hashes, o > least[back] if earlier else least[back] < most[back])
-
-    return run
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    hashes, h, o = _sent(rows)
+    _, least, most, back = _bounds(h, o, o)
+    return _bits(rows, hashes, least[back] < most[back])
 
 
 def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,11 +179,8 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(least=[squeeze(x) for x in np.split(lo[back], cuts)], most=[squeeze(x) for x in np.split(hi[back], cuts)])
 
 
-def _apply(earlier: bool):  # noqa: ANN202
-    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        hashes, h, o = _sent(rows)
-        at = np.searchsorted(unrising(known["hashes"].iloc[0]), h)
-        least, most = (unsqueeze(known[c].iloc[0], np.int64)[at] for c in ("least", "most"))
-        return _bits(rows, hashes, o > least if earlier else least < most)
-
-    return run
+def _apply(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    hashes, h, _ = _sent(rows)
+    at = np.searchsorted(unrising(known["hashes"].iloc[0]), h)
+    least, most = (unsqueeze(known[c].iloc[0], np.int64)[at] for c in ("least", "most"))
+    return _bits(rows, hashes, least < most)

@@ -313,7 +313,7 @@ def repeated_bytes(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     bits = C.bucket_bits(2 * total // (depth - GRAM + 2), BUCKET_ANCHORS)
     wide = C.bucket_bits(total, BUCKET_BYTES // 4)
     body = chunks.select("chunk", "payload")
-    answers = C.settle(body.mapInArrow(_send(depth, bits), C.SENT), n, earlier=False)
+    answers = C.settle(body.mapInArrow(_send(depth, bits), C.SENT), n)
     context = body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(depth, bits, wide), CONTEXT_DDL)
     spans = stored(context.groupBy("bucket").applyInPandas(_sort(depth), "chunk long, spans binary"), "spans")
     return body.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_cut, OUT_DDL)
