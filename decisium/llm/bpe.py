@@ -36,17 +36,20 @@ _CLASS[0xC3:0xCA] = _CLASS[0x80:0xC0] = LETTER
 # Bytes as byte-level vocabularies write them: plain ones as they are, others from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: b for b in _SHOWN} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_ready: dict[str, "Encoder"] = {}
+_ready: dict[str, object] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """plain: strings of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.size <= 65536 else np.uint32
         # a slot's words: the piece's key, with the number of its ids, and the ids
         self.slots = np.zeros((SLOTS, 3 + WIDTH * np.dtype(self.kind).itemsize // 8), np.uint64)
@@ -197,11 +200,12 @@ def piece_keys(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.nda
     return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ready:
-        _ready[path] = Encoder(path)
-    return _ready[path]
+    key = f"{path} {plain}"
+    if key not in _ready:
+        _ready[key] = Encoder(path, plain)
+    return _ready[key]
 
 
 def forget() -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .decontaminate import op7_decontamination
 from .language_id import op8_language_id
 from .line_dedup import op5_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
         op8_language_id,
         op9_suffix_dedup,
         op10_embedding_near_dup,
+        op11_token_alignment,
     )
 }
 
