@@ -115,3 +115,29 @@ many AS (SELECT x, count(*) AS n FROM (SELECT a AS x FROM pair UNION ALL SELECT
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN many ON x = vec_id LEFT JOIN comp ON node = vec_id
 """
+
+#: A node is the whole sequence of its turns; each conversation's nodes lie above one another.
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+convs AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+    lambda s, b: list_reduce([xor(s, b)] || range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h
+  FROM sizes),
+rebuilt AS (
+  SELECT v.c, t.k AS d, role, text FROM convs v JOIN turns t ON t.c = base AND t.k <= h
+  UNION ALL
+  SELECT v.c, least(h, coalesce(n, 0)) + t.k - h AS d, role, text FROM convs v LEFT JOIN sizes s ON s.c = base JOIN turns t ON t.c = v.c AND t.k > h),
+prefixes AS (SELECT c, d, md5(to_json(list([role, text]) OVER (PARTITION BY c ORDER BY d))::VARCHAR) AS key, octet_length(encode(text)) AS b FROM rebuilt),
+members AS (SELECT c, d, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') AS up, b FROM prefixes UNION ALL SELECT c, 0, '', NULL, 0 FROM convs),
+nodes AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, (count(*) - 1) * any_value(b) AS saved FROM members GROUP BY key, d),
+children AS (SELECT up AS key, count(*) AS n FROM nodes GROUP BY up),
+below AS (SELECT DISTINCT a.key, e.key AS other FROM members a JOIN members e ON a.c = e.c AND a.d <= e.d),
+sums AS (SELECT b.key, sum(saved)::BIGINT AS saved, count(*) FILTER (n IS NULL) AS leaves FROM below b JOIN nodes o ON o.key = other LEFT JOIN children c ON c.key = other GROUP BY b.key),
+ends AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max_by(key, d) AS key FROM members GROUP BY c) GROUP BY key)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, coalesce(n, 0) AS n_children, leaves AS n_leaves, s.saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes o LEFT JOIN nodes p ON p.key = o.up LEFT JOIN children c ON c.key = o.key JOIN sums s ON s.key = o.key LEFT JOIN ends e ON e.key = o.key
+"""

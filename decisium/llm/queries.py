@@ -7,9 +7,10 @@ from .decontaminate import op7_decontamination
 from .language_id import op8_language_id
 from .line_dedup import op5_line_dedup
 from .near_dup import op2_minhash_near_dup
-from .oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP7_SQL, OP9_SQL, OP10_SQL
+from .oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP13_SQL
 from .packing import op6_best_fit_packing
 from .phrase_dedup import op4_phrase_dedup
+from .prefix_trie import op13_prefix_trie
 from .suffix_dedup import op9_suffix_dedup
 from .token_store import op1_token_store
 from .url_filter import OP3_SQL, op3_url_filter
@@ -29,6 +30,7 @@ QUERIES = {
         op9_suffix_dedup,
         op10_embedding_near_dup,
         op11_token_alignment,
+        op13_prefix_trie,
     )
 }
 
@@ -40,4 +42,5 @@ ORACLES = {
     "op7_decontamination": OP7_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op10_embedding_near_dup": OP10_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
