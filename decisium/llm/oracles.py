@@ -141,3 +141,12 @@ ends AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT
 SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, coalesce(n, 0) AS n_children, leaves AS n_leaves, s.saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM nodes o LEFT JOIN nodes p ON p.key = o.up LEFT JOIN children c ON c.key = o.key JOIN sums s ON s.key = o.key LEFT JOIN ends e ON e.key = o.key
 """
+
+#: The pages of these tables hold their main text in one article of headings, paragraphs and breaks, and few character references.
+OP12_SQL = r"""
+WITH bodies AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '<br>|</?p>|</?h[1-6]>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM bodies),
+decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM plain),
+texts AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""

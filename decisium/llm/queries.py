@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .alignment import op11_token_alignment
 from .decontaminate import op7_decontamination
+from .html_extract import op12_html_extraction
 from .language_id import op8_language_id
 from .line_dedup import op5_line_dedup
 from .near_dup import op2_minhash_near_dup
-from .oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP13_SQL
+from .oracles import OP2_SQL, OP4_SQL, OP5_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 from .packing import op6_best_fit_packing
 from .phrase_dedup import op4_phrase_dedup
 from .prefix_trie import op13_prefix_trie
@@ -30,6 +31,7 @@ QUERIES = {
         op9_suffix_dedup,
         op10_embedding_near_dup,
         op11_token_alignment,
+        op12_html_extraction,
         op13_prefix_trie,
     )
 }
@@ -42,5 +44,6 @@ ORACLES = {
     "op7_decontamination": OP7_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op10_embedding_near_dup": OP10_SQL,
+    "op12_html_extraction": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
