@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def loop_state(steps: DataFrame, group: str, order: list[str], action: str, value: str, k: int = 4, mean_of: int = 20) -> DataFrame:
-    """Adds history (the last k actions before), stuck (the action repeats) and
-    moving (mean of the last values): one sort serves all three."""
-    w = Window.partitionBy(group).orderBy(*order)
+def loop_state(steps: DataFrame, group: str | list[str], order: list[str], action: str, value: str, position: list[str], moves: list[str], k: int = 4, mean_of: int = 20) -> DataFrame:
+    """Adds history (the last k actions before), stuck (a step stands where the
+    one before stood, though that one moved) and moving (mean of the last
+    values): one sort serves all three. A step with a null position isn't stuck,
+    nor is the one after it."""
+    w = Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order)
+    stays = reduce(lambda a, b: a & b, [F.lag(p).over(w) == F.col(p) for p in position])
     return (
         steps.withColumn("history", F.collect_list(action).over(w.rowsBetween(-k, -1)))
-        .withColumn("stuck", F.coalesce(F.lag(action).over(w) == F.col(action), F.lit(False)))
+        .withColumn("stuck", F.coalesce(stays & F.lag(action).over(w).isin(moves), F.lit(False)))
         .withColumn("moving", F.avg(value).over(w.rowsBetween(1 - mean_of, 0)))
     )
 

@@ -401,13 +401,14 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sequences
 @query(
     """WITH w AS (SELECT *, lag(event_type) OVER u AS before, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, coalesce(array_to_string(h, ','), '') AS history, coalesce(before = event_type, false) AS stuck, round(m, 6) AS moving FROM w"""
+SELECT event_id, coalesce(array_to_string(h, ','), '') AS history, coalesce(before IN ('view', 'click') AND lag(floor(value / 10)) OVER (PARTITION BY user_id ORDER BY ts, event_id) = floor(value / 10), false) AS stuck, round(m, 6) AS moving FROM w"""
 )
 def loop_history_and_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last four actions, a repeat flag and a moving mean of the last twenty."""
+    """Last four actions, whether a move left its place, and a moving mean of the last twenty."""
     from ..operators.timeseries import loop_state
 
-    s = loop_state(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "value")
+    e = table(spark, sf_dir, "events").withColumn("x", F.floor(F.col("value") / 10))
+    s = loop_state(e, "user_id", ["ts", "event_id"], "event_type", "value", ["x"], ["view", "click"])
     return s.select("event_id", F.array_join("history", ",").alias("history"), "stuck", F.round("moving", 6).alias("moving"))
 
 
