@@ -5,9 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decide as D
+from ..operators.lexical import lexical_logits
 from ..sources.scratch import scratch, ship
 from .registry import query, table
 
+#: Options of a question that documents can be asked: the language, by common words.
+LANGUAGES = [("en", "the of and to in is that with"), ("fr", "le la les de et du que une"), ("de", "der die und nicht sie das für auch"), ("es", "el los que una para con por del")]
+_WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_OPTION_TERMS = f"""options(slot, name, descr) AS (VALUES {_values([(i, *o) for i, o in enumerate(LANGUAGES)])}),
+terms AS (SELECT slot, name, unnest(list_distinct({_WORDS.format("name || ' ' || descr")})) AS term FROM options)"""
+
+
+@query(
+    f"""WITH {_OPTION_TERMS},
+w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+tf AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+parts AS (SELECT doc_id, slot, sum(ln(1 + (size.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / mean))) AS s FROM tf JOIN terms USING (term) JOIN df USING (term), size GROUP BY doc_id, slot),
+scores AS (SELECT doc_id, slot, name, coalesce(s, 0) AS s FROM documents CROSS JOIN options LEFT JOIN parts USING (doc_id, slot)),
+e AS (SELECT *, exp(s) / (1 + sum(exp(s)) OVER (PARTITION BY doc_id)) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, slot) AS rk FROM scores)
+SELECT doc_id, name AS choice, round(s, 5) AS logit, round(p, 5) AS p FROM e WHERE rk = 1"""
+)
+def lexical_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to answers without given logits: BM25 over an inverted index of the options' words."""
+    options = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("desc")) for n, d in LANGUAGES])
+    asked = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("options", options)
+    d = D.scored(asked, lambda r: lexical_logits(r, "doc_id", "text"))
+    best = D.best_slot(F.col("p")) + 1
+    return d.select("doc_id", F.element_at("options", best)["name"].alias("choice"), F.round(F.element_at("logits", best), 5).alias("logit"), F.round(F.element_at("p", best), 5).alias("p"))
+
+
+_REQUESTS = """lines AS (SELECT conv_id, turn, conv_id || '-' || turn AS id, text, (conv_id + turn) % 6 AS kind FROM conversations)"""
+
+
+@query(
+    f"""WITH {_REQUESTS}, {_OPTION_TERMS},
+asked AS (SELECT id, {_WORDS.format("text")} AS w FROM lines WHERE kind IN (0, 1, 5)),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM asked) GROUP BY ALL),
+parts AS (SELECT id, slot, sum(tf * 2.2 / (tf + 1.2)) AS s FROM tf JOIN terms USING (term) GROUP BY id, slot),
+scores AS (SELECT id, slot, name, coalesce(s, 0) AS s FROM asked CROSS JOIN options LEFT JOIN parts USING (id, slot)),
+best AS (SELECT id, arg_min(name, (-s, slot)) AS name FROM scores GROUP BY id)
+SELECT id AS request_id, 'lang' AS qid, name AS answer, NULL AS error FROM best
+UNION ALL
+SELECT id, NULL, NULL, CASE kind WHEN 2 THEN 'no state' WHEN 3 THEN 'lang: unknown type' ELSE 'permutations must be 1 to 32' END FROM lines WHERE kind IN (2, 3, 4)
+UNION ALL
+SELECT md5('{{"id": "' || conv_id || '", "state": '), NULL, NULL, 'not an object' FROM (SELECT DISTINCT conv_id FROM lines)"""
+)
+def requests_free_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of any form in a stream, sent repeatedly and partly broken: one answer or one error each."""
+    from ..streaming.requests import ANSWERS, ERRORS, serve
+
+    t = table(spark, sf_dir, "conversations")
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    question = F.to_json(F.struct(F.when(kind == 3, "rank").otherwise("choice").alias("type"), F.lit("Which language?").alias("instructions"), F.create_map(*[F.lit(x) for o in LANGUAGES for x in o]).alias("criteria")))
+    body = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(kind != 2, F.col("text")).alias("state"), F.from_json(F.concat(F.lit('{"lang":'), question, F.lit("}")), "map<string,struct<type:string,instructions:string,criteria:map<string,string>>>").alias("questions"), F.when(kind == 4, 99).alias("permutations"))
+    lines = t.select(F.to_json(body).alias("value"), kind.alias("kind"))
+    broken = t.select(F.concat(F.lit('{"id": "'), F.col("conv_id").cast("string"), F.lit('", "state": ')).alias("value"))
+    inbox, out, checkpoint = scratch(spark, "inbox"), scratch(spark, "served"), scratch(spark, "served-state")
+    for batch in (lines.select("value").union(lines.where("kind < 3").select("value")), broken.union(lines.where("kind >= 1").select("value"))):
+        batch.write.mode("append").text(inbox)
+        serve(spark, inbox, out, checkpoint, lambda r: lexical_logits(r, "key", flat=True), {"choice": 1.0})
+    answers, errors = spark.read.schema(ANSWERS).parquet(f"{out}/answers"), spark.read.schema(ERRORS).parquet(f"{out}/errors")
+    none = F.lit(None).cast("string")
+    return answers.select("request_id", "qid", "answer", none.alias("error")).union(errors.select("request_id", none, none, "error"))
+
 _BY_USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 _BY_EPISODE = "PARTITION BY user_id, episode ORDER BY ts, event_id"
 
