@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rand import uniform, uniform_sql
 from ..operators import decide as D
 from ..operators import metrics as M
 from ..sources.lists import literal_rows
@@ -296,3 +297,34 @@ def permutation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1000).select(F.col("id").alias("step"), F.round(D.learning_rate(F.col("id"), 1000, 2e-5, 0.03, 0.1), 12).alias("lr"))
+
+
+def _labelled(k: int, first: int, count: int) -> str:
+    """SQL rows of one type: options' and abstain's logits, and a gold slot that mostly is the best one."""
+    l = f"list_transform(embedding[{first}:{first + count - 1}], lambda x: x::DOUBLE * {SCALE})"  # noqa: E741
+    gold = f"CASE WHEN {uniform_sql('gold', 'vec_id', str(k))} < 0.6 THEN list_position({l}, list_max({l})) - 1 ELSE label % {count} END"
+    return f"SELECT '{D.QTYPES[k]}' AS qtype, list_append({l}, embedding[64]::DOUBLE * {SCALE}) AS z, ({gold})::INT AS y FROM embeddings"
+
+
+_TYPES = [(0, 1, 10), (1, 1, 5), (2, 1, 2)]
+
+
+@query(
+    f"""WITH r AS ({" UNION ALL ".join(_labelled(*x) for x in _TYPES)}), g AS (SELECT unnest(range(100, 4000, 2)) / 1000.0::DOUBLE AS t),
+e AS (SELECT qtype, t, y, z, list_transform(z, lambda x: exp((x - list_max(z)) / t)) AS e FROM r, g),
+l AS (SELECT qtype, t, ln(list_sum(e)) + (list_max(z) - z[y + 1]) / t + 0.5 * list_sum(list_transform(e, lambda x, i: (x / list_sum(e) - (i = y + 1)::INT) * (x / list_sum(e) - (i = y + 1)::INT))) AS loss FROM e),
+m AS (SELECT qtype, t, avg(loss) AS loss FROM l GROUP BY qtype, t)
+SELECT qtype, round(arg_min(t, loss), 1) AS temperature, round(min(loss), 4) AS loss, true AS converged FROM m GROUP BY qtype"""
+)
+def temperature_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperatures of all three types by Newton's method; SQL tries a fine grid."""
+    from ..operators.calibration import calibrate
+
+    rows = None
+    for k, first, count in _TYPES:
+        x = logits(spark, sf_dir, first, count)
+        gold = F.when(uniform("gold", "vec_id", F.lit(k)) < 0.6, D.best_slot(F.col("logits"))).otherwise(F.col("label") % count)
+        x = x.select(F.lit(D.QTYPES[k]).alias("qtype"), "logits", "abstain_logit", gold.cast("int").alias("label"))
+        rows = x if rows is None else rows.union(x)
+    fit = calibrate(rows)
+    return spark.createDataFrame([(k, round(v["temperature"], 1), round(v["loss"], 4), v["converged"]) for k, v in fit.items()], "qtype string, temperature double, loss double, converged boolean")

@@ -493,3 +493,32 @@ def requests_stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.requests import answers
 
     return answers(spark, f"{sf_dir}/events.parquet")
+
+
+_BPE_QUESTIONS = [("noul", "is it", ["no", "yes"]), ("choice", "which language", ["en", "fr", "de", "es"])]
+
+
+def _rendered(qtype: str, instructions: str, names: list[str]) -> str:
+    lines = [f"<|ts_opt_{i}|> {n}" for i, n in enumerate(names)]
+    return f"<|ts_q|><|ts_{qtype}|> {instructions}\n" + "\n".join([*lines, "<|ts_answer|>"])
+
+
+@query(f"SELECT doc_id, md5('<|ts_state|>' || replace(text, '<|ts_', '<' || chr(8203) || '|ts_') || '{''.join(_rendered(*q) for q in _BPE_QUESTIONS)}') AS decoded, true AS answers FROM documents WHERE text IS NOT NULL")
+def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records encoded by an injected byte-level BPE with control tokens: the ids
+    decode to the rendered record, and answers stand at their positions."""
+    import public_tokenizers
+
+    from ..operators.tokenizers import byte_bpe, decoded, token_ids
+    from ..sources.scratch import ship
+
+    ship(spark)
+    control = R.special_tokens()
+    bpe = byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), control)
+    asked = F.array(*[token_ids(F.lit(_rendered(*q)), bpe) for q in _BPE_QUESTIONS])
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", token_ids(F.concat(F.lit(R.TOKENS["state"]), T.sanitize(F.col("text"))), bpe).alias("state_ids"), asked.alias("question_ids"))
+    e = R.encoded(d, most_state=1 << 30, most=1 << 30)
+    answer = token_ids(F.lit(R.TOKENS["answer"]), bpe)
+    e = e.withColumn("answer", F.element_at(answer, 1))
+    right = F.forall("answer_positions", lambda p: F.element_at("input_ids", p + 1) == F.col("answer"))
+    return e.select("doc_id", F.md5(decoded("input_ids", bpe)).alias("decoded"), right.alias("answers"))

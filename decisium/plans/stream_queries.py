@@ -105,3 +105,57 @@ def loop_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(OUT).parquet(out)
     return done.select(F.col("step").alias("event_id"), "episode", F.array_join("history", ",").alias("history"), "stuck", F.round("moving", 6).alias("moving"))
+
+
+_IDS = r"list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'), lambda x: ('0x' || substr(md5(x), 1, 4))::INT)"
+_SHARD, _SEQ = 8192, 256
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest(list_append({_IDS}, 1)) AS id, unnest(range(len({_IDS}) + 1)) AS k FROM documents),
+p AS (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS pos FROM t),
+s AS (SELECT pos // {_SHARD} AS shard, pos % {_SHARD} AS o, id FROM p),
+n AS (SELECT shard, (count(*) - 1) // {_SEQ} AS windows FROM s GROUP BY shard),
+w AS (SELECT s.shard, o // {_SEQ} AS win, o, id FROM s UNION ALL SELECT s.shard, o // {_SEQ} - 1, o, id FROM s WHERE o % {_SEQ} = 0 AND o > 0)
+SELECT shard::INT AS shard, win AS "window", count(*)::INT AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY o)) AS ids FROM w JOIN n USING (shard) WHERE win < windows GROUP BY shard, win"""
+)
+def raw_shard_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into raw uint32 files, and windows read from them by byte range."""
+    from ..operators.mixture import running_offset, shards_of
+    from ..sources.raw_shards import read_windows, write_raw
+
+    tokens = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_\s])"), F.lit(1))
+    ids = F.concat(F.transform(tokens, lambda x: F.conv(F.substring(F.md5(x), 1, 4), 16, 10).cast("long")), F.array(F.lit(1).cast("long")))
+    d = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"))
+    parts = shards_of(running_offset(d.drop("ids"), "doc_id", "n_tokens"), _SHARD).join(d.select("doc_id", "ids"), "doc_id")
+    path = scratch(spark, "raw")
+    write_raw(parts.select("shard", F.col("first").alias("place"), F.slice("ids", (F.col("begin") + 1).cast("int"), F.col("length").cast("int")).alias("ids")), path)
+    w = read_windows(spark, path, _SEQ)
+    return w.select("shard", "window", F.size("ids").alias("n"), F.md5(F.array_join("ids", " ")).alias("ids"))
+
+
+_WEIGHTS = {"en": 0.5, "fr": 0.45, "de": 0.05}
+_COUNT = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang, {_COUNT} AS n FROM documents WHERE text IS NOT NULL),
+total AS (SELECT sum(n) * 7 // 10 AS t FROM d),
+w AS (SELECT * FROM (VALUES {_values(list(_WEIGHTS.items()))}) v(lang, weight)),
+s AS (SELECT lang, n, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, floor(t * weight) AS budget FROM d JOIN w USING (lang), total)
+SELECT lang AS source, count(*) AS docs, sum(n)::BIGINT AS tokens, sum(n) < any_value(budget) AS ended FROM s WHERE before < budget GROUP BY lang"""
+)
+def mixture_lazy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by source of a lazy mixture, in which a source ends early."""
+    from ..sources.lazy import budget, draw_mixture
+
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    total = (d.agg(F.sum(n)).first()[0] or 0) * 7 // 10
+    root, out = scratch(spark, "sources"), scratch(spark, "drawn")
+    for k in _WEIGHTS:
+        d.where(F.col("lang") == k).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.parquet(f"{root}/{k}")
+    draw_mixture(spark, root, _WEIGHTS, total, n, out, draw=2000)
+    limit = F.coalesce(*[F.when(F.col("source") == k, budget(total, w)) for k, w in _WEIGHTS.items()])
+    rows = spark.read.parquet(out).where("kept").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
+    return rows.select("source", "docs", "tokens", (F.col("tokens") < limit).alias("ended"))
