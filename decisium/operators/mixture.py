@@ -36,11 +36,12 @@ def token_budget(docs: DataFrame, budget: Column, seed: str, source: str = "sour
     return sum_before(docs, [source], seed, key, size, "got").where(F.col("got") < budget)
 
 
-def holdout(docs: DataFrame, rate: float, cap: int, seed: str, key: str = "doc_id", size: str = "n_tokens", split: str = "source") -> DataFrame:
-    """Adds held: drawn by hash, while the drawn before hold under `cap` tokens
-    (by `split`)."""
+def holdout(docs: DataFrame, rate: float, cap: int, seed: str, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Adds held: drawn by hash, while all that were drawn before, of whatever
+    source, hold under `cap` tokens. docs: the rows of a mixture within their
+    budgets."""
     drawn = docs.withColumn("_drawn", uniform(seed, key) < rate)
-    before = sum_before(drawn, [split, "_drawn"], seed, key, size, "_before")
+    before = sum_before(drawn, ["_drawn"], seed, key, size, "_before")
     return before.withColumn("held", F.col("_drawn") & (F.col("_before") < cap)).drop("_drawn", "_before")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import hash32, uniform
 from ..functions.text import sanitize, strip
-from .decide import ABSTAIN, IGNORE, MOST_OPTIONS
+from .decide import ABSTAIN, IGNORE, MOST_OPTIONS, chance, let
 
 LEAST_LEVELS, MOST_LEVELS = 2, 10
 #: Control tokens, and phrasings of questions.
@@ -150,6 +150,71 @@ def drop_label(opts: Column, label: Column) -> tuple[Column, Column]:
     return F.filter(opts, lambda o: o["name"] != label), F.lit(ABSTAIN)
 
 
+def question_to_spec(raw: Column, label: Column, drop: Column | bool = False, order: Column | None = None, shuffle: Column | bool = False, seed: str = "order", key: Column | None = None) -> Column:
+    """A question's JSON and its label's as a struct (qtype, instructions,
+    options in their order, order (places of the options as given), slot, error).
+
+    Only a choice's options change places: by `order` (places as given; those
+    that it leaves out go), else by hash where `shuffle` holds; drop takes the
+    label's option out, and abstain is the slot then. label: an option's name, a
+    level or true and false, as text; null without one. error says why there is
+    no spec: not a valid question, a label that isn't an option or level, or a
+    drop of the only option."""
+    flag = lambda x: F.lit(x) if isinstance(x, bool) else F.coalesce(x, F.lit(False))
+    drop, shuffle = flag(drop), flag(shuffle)
+    key = F.lit("") if key is None else key
+    none = F.lit(None).cast("array<int>")
+
+    def spec(q: Column) -> Column:
+        names = F.transform(q["options"], lambda o: o["name"])
+        n, choice = F.size(names), q["qtype"] == "choice"
+        level = label.try_cast("double").try_cast("int")
+        truth = F.when(F.lower(label).isin("true", "1", "yes"), 1).when(F.lower(label).isin("false", "0", "no"), 0)
+        at = F.when(choice, F.array_position(names, label).cast("int") - 1).when(q["qtype"] == "score", F.when((level >= 0) & (level < n), level)).otherwise(truth)
+        found = F.coalesce(at >= 0, F.lit(False))
+        gone = choice & drop & found
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        kept = F.filter(places, lambda i: ~(gone & (i == at)))
+        mixed = F.transform(F.array_sort(F.transform(kept, lambda i: F.struct(hash32(seed, key, i).alias("h"), i.alias("i")))), lambda x: x["i"])
+        given = none if order is None else F.filter(order.cast("array<int>"), lambda i: F.array_contains(kept, i))
+        placed = F.when(choice, F.coalesce(given, F.when(shuffle, mixed), kept)).otherwise(kept)
+        slot = F.when(label.isNull(), F.lit(None).cast("int")).when(gone, ABSTAIN).otherwise(F.array_position(placed, at).cast("int") - 1)
+        error = (
+            F.when(q["error"].isNotNull(), q["error"]).when(label.isNotNull() & ~found, F.when(choice, "label isn't an option").when(q["qtype"] == "score", "level out of range").otherwise("label isn't true or false"))
+            .when(gone & (n < 2), "can't drop the only option").when(label.isNotNull() & (slot < 0), "the order leaves the label out")
+        )
+        ok = error.isNull()
+        return F.struct(q["qtype"].alias("qtype"), q["instructions"].alias("instructions"), F.when(ok, permuted(q["options"], placed)).alias("options"), F.when(ok, placed).alias("order"), F.when(ok, slot).alias("slot"), error.alias("error"))
+
+    return let(parsed_question(raw), spec)
+
+
+def gate_status(questions: Column, labels: Column, again: Column, blind: Column | None = None, least_chance: float = 0.34) -> Column:
+    """How a generated record fares, from JSON: its labels (by question), those
+    of a second labelling, and those of one that didn't see the state.
+
+    invalid: no questions or labels, or a question without a label; disagree: a
+    label differs; leak: all blind labels are right, though chance is under
+    `least_chance`; else ok. Labels are compared as their question's type has
+    them: names stripped, levels as whole numbers, truth as true and false."""
+    qs = parsed_questions(questions)
+    of = lambda m, x: same_kind(x["q"]["qtype"], F.try_element_at(F.from_json(m, "map<string,string>"), x["qid"]))
+    agree = lambda other: F.forall(qs, lambda x: of(labels, x).eqNullSafe(of(other, x)))
+    bad = qs.isNull() | (F.size(qs) < 1) | F.exists(qs, lambda x: x["q"]["error"].isNotNull() | of(labels, x).isNull())
+    out = F.when(F.coalesce(bad, F.lit(True)), "invalid").when(~F.coalesce(agree(again), F.lit(False)), "disagree")
+    if blind is not None:
+        low = chance(F.transform(qs, lambda x: F.size(x["q"]["options"]))) < least_chance
+        out = out.when(low & F.coalesce(agree(blind), F.lit(False)), "leak")
+    return out.otherwise("ok")
+
+
+def same_kind(qtype: Column, raw: Column) -> Column:
+    """A label's text as its question's type has it."""
+    level = F.floor(strip(raw).try_cast("double")).cast("string")
+    truth = F.lower(strip(raw)).isin("true", "yes", "1", "ใช่").cast("string")
+    return F.when(qtype == "score", F.when(F.lower(strip(raw)) == "true", "1").when(F.lower(strip(raw)) == "false", "0").otherwise(level)).when(qtype == "noul", truth).otherwise(strip(raw))
+
+
 def render(qtype: Column, instructions: Column, opts: Column) -> Column:
     """A question's text block, ended by the answer token."""
     head = F.concat(F.lit(TOKENS["question"]), F.lit("<|ts_"), qtype, F.lit("|> "), strip(sanitize(instructions)))

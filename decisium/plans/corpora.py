@@ -155,12 +155,13 @@ def mixture_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SIZED}, u AS (SELECT *, {uniform_sql("hold", "doc_id")} < 0.1 AS drawn FROM d),
-h AS (SELECT *, drawn AND coalesce(sum(n_tokens) OVER (PARTITION BY source, drawn ORDER BY {hash32_sql("hold", "doc_id")}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2000 AS held FROM u)
+    f"""WITH {_BUDGET}, u AS (SELECT *, {uniform_sql("hold", "doc_id")} < 0.1 AS drawn FROM b WHERE got < budget),
+h AS (SELECT *, drawn AND coalesce(sum(n_tokens) OVER (PARTITION BY drawn ORDER BY {hash32_sql("hold", "doc_id")}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2000 AS held FROM u)
 SELECT doc_id, source, held FROM h"""
 )
 def mixture_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.holdout(sized(spark, sf_dir), 0.1, 2000, "hold").select("doc_id", "source", "held")
+    """Of the mixture's rows within their budgets, those held out under one cap of tokens."""
+    return X.holdout(mixture_token_budget(spark, sf_dir), 0.1, 2000, "hold").select("doc_id", "source", "held")
 
 
 SHARD, SEQ = 10_000, 512
