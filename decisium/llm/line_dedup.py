@@ -11,14 +11,15 @@ their end or at their begin. They cover every block that can go, as a block of
 common lines is a run of many holders too. A document is aligned with the first
 holder (least doc_id) of each of its runs, so its pairs are at most its runs,
 however many documents share them, and no holder is passed over: what a later
-holder could take, the first one takes as well.
+holder could take, the first one takes as well. A holder meets its later
+documents in blocks of some HELD_TOGETHER, so a popular one isn't copied to each.
 
 Aligning is patience diff over line hashes: common heads and tails, then lines
 that are unique on both sides, in their longest increasing order, then the gaps
 between them. What one alignment can't hold, as blocks crossed others or their
-lines repeat, is aligned by itself: a run of the later document that still
-stands is laid on its place in the earlier one and grown both ways. Blocks with
-min_words words go from the later document.
+lines repeat, is aligned again by itself: stretches of runs that still stand,
+until that finds nothing more, then runs whose lines repeat. Blocks with
+min_words words go from the later document; nothing else does.
 
 Words are parted by blanks; in scripts without blanks two characters of Chinese
 or Japanese or four of Thai, Lao, Tibetan, Burmese or Khmer are a word.
@@ -46,6 +47,8 @@ from .common import prepare, slices, stored, text_buffer, unwrapped, with_row, w
 from .words import BLANK, find, mix
 
 TEXT_BYTES = 500_000
+#: Later documents of one holder that are aligned in one block, about.
+HELD_TOGETHER = 32
 _R = 0x9E3779B97F4A7C15
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
@@ -142,53 +145,83 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_lines(first: list[int], later: list[int], words: list[int], spans: list[tuple[int, int]], min_words: int) -> list[int]:
-    """Places in `later` of the lines that go. spans: its runs, by rising begin."""
+def common_lines(first: list[int], later: list[int], words: list[int], spans: list[tuple[int, int]], min_words: int, places: dict[int, list[int]] | None = None) -> list[int]:
+    """Places in `later` of the lines that go, as patience aligns them. spans:
+    its runs, by rising begin; places: of each line in `first`, if known.
+
+    The first alignment is that of the two whole documents. Runs that it leaves,
+    all of whose lines `first` has, may stand elsewhere there: stretches of them
+    are aligned anew, until that adds nothing. What is left then has lines that
+    repeat, and each such run is aligned with the stretches of its length that
+    begin with its first line."""
     gone = np.zeros(len(later), bool)
-    for _, j, n in patience(first, later):
-        if sum(words[j : j + n]) >= min_words:
-            gone[j : j + n] = True
-    at: dict[int, list[int]] = {}
-    known: dict[tuple[int, ...], int] = {}  # place of a run in `first`, -1 for none
+    weight = np.concatenate([[0], np.cumsum(words)])
+
+    def aligned(s: int, e: int) -> bool:
+        before = int(gone[s:e].sum())
+        for _, j, n in patience(first, later[s:e]):
+            if weight[s + j + n] - weight[s + j] >= min_words:
+                gone[s + j : s + j + n] = True
+        return int(gone[s:e].sum()) > before
+
+    aligned(0, len(later))
+    spans = [x for x in spans if not gone[x[0] : x[1]].all()]
+    if spans and places is None:
+        places = places_of(first)
+    spans = [(s, e) for s, e in spans if all(x in places for x in later[s:e])]
+    more = True
+    while spans and more:
+        more = False
+        for s, e in _stretches(spans):
+            more |= aligned(s, e)
+        spans = [x for x in spans if not gone[x[0] : x[1]].all()]
+    known: dict[tuple[int, ...], bool] = {}
     for s, e in spans:
-        if gone[s:e].all():
-            continue
-        if not at:
-            for k, x in enumerate(first):
-                at.setdefault(x, []).append(k)
-        run = tuple(later[s:e])
-        if run not in known:
-            known[run] = next((i for i in at.get(run[0], []) if tuple(first[i : i + e - s]) == run), -1)
-        if known[run] >= 0:
-            lo, hi = _grown(first, later, known[run], s, e - s)
-            gone[lo:hi] = True
+        run = later[s:e]
+        key = tuple(run)
+        if key not in known:
+            known[key] = any(first[i + e - s - 1 : i + e - s] == run[-1:] and patience(first[i : i + e - s], run) == [(0, 0, e - s)] for i in places[run[0]])
+        if known[key]:
+            gone[s:e] = True
     return np.flatnonzero(gone).tolist()
 
 
-def _grown(a: list[int], b: list[int], i: int, j: int, n: int) -> tuple[int, int]:
-    """Begin and end in b of the block a[i : i + n] = b[j : j + n] grown both ways."""
-    k = 0
-    while i - k > 0 and j - k > 0 and a[i - k - 1] == b[j - k - 1]:
-        k += 1
-    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-        n += 1
-    return j - k, j + n
+def places_of(x: list[int]) -> dict[int, list[int]]:
+    at: dict[int, list[int]] = {}
+    for k, v in enumerate(x):
+        at.setdefault(v, []).append(k)
+    return at
+
+
+def _stretches(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch, as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def _align(min_words: int):  # noqa: ANN202
+    """Of each row, a holder's lines (h_a) and some of its later documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            first, later, words = (b.column(c).to_pylist() for c in ("h_a", "h_b", "w_b"))
-            h, w, at = _lists(b, "h_b", "w_b")
-            _, doc, s, e = runs(h, w, at, min_words)
-            order = np.lexsort((s, doc))
-            doc, s, e = doc[order], s[order] - at[doc[order]], e[order] - at[doc[order]]
-            edge = np.searchsorted(doc, np.arange(b.num_rows + 1)).tolist()
-            spans = list(zip(s.tolist(), e.tolist(), strict=True))
-            gone = [common_lines(x, y, z, spans[edge[i] : edge[i + 1]], min_words) for i, (x, y, z) in enumerate(zip(first, later, words, strict=True))]
-            yield pa.record_batch([b.column("rep"), b.column("tag"), pa.array(gone, pa.list_(pa.int32()))], ["rep", "tag", "gone"])
+            for i, first in enumerate(b.column("h_a")):
+                first, docs = first.as_py(), b.column("docs")[i].values
+                h, w = docs.field("h_b"), docs.field("w_b")
+                at = np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
+                flat, weight = h.flatten().to_numpy(), w.flatten().to_numpy()
+                _, doc, s, e = runs(flat, weight, at, min_words)
+                order = np.lexsort((s, doc))
+                doc, s, e = doc[order], s[order] - at[doc[order]], e[order] - at[doc[order]]
+                edge = np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
+                spans = list(zip(s.tolist(), e.tolist(), strict=True))
+                places = places_of(first)
+                gone = [common_lines(first, flat[at[k] : at[k + 1]].tolist(), weight[at[k] : at[k + 1]].tolist(), spans[edge[k] : edge[k + 1]], min_words, places) for k in range(len(docs))]
+                yield pa.record_batch([docs.field("rep"), docs.field("tag"), pa.array(gone, pa.list_(pa.int32()))], ["rep", "tag", "gone"])
 
     return run
 
@@ -243,8 +276,13 @@ def removals(docs: DataFrame, min_words: int) -> DataFrame:
     held = stored(side.mapInArrow(_keys(min_words), "run long, rep long, tag int"), "runs")
     heads = stored(held.groupBy("run").agg(F.min(F.struct("rep", "tag")).alias("owner"), F.count("*").alias("df")).where("df > 1").drop("df"), "run-heads")
     pairs = stored(held.join(heads, "run").where("owner.rep < rep").select("owner", "rep", "tag").distinct(), "line-pairs")
-    full = pairs.join(side.select(F.struct("rep", "tag").alias("owner"), F.col("h").alias("h_a")), "owner").join(side.select("rep", "tag", F.col("h").alias("h_b"), F.col("w").alias("w_b")), ["rep", "tag"])
-    aligned = full.select("rep", "tag", "h_a", "h_b", "w_b").mapInArrow(_align(min_words), "rep long, tag int, gone array<int>").where(F.size("gone") > 0)
+    # a holder goes to blocks of its later documents, not to each of them
+    blocks = pairs.groupBy("owner").agg(F.ceil(F.count("*") / HELD_TOGETHER).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "owner").select("owner", F.pmod(F.hash("rep", "tag"), "blocks").alias("block"), "rep", "tag")
+    docs_of = dealt.join(side.select("rep", "tag", F.col("h").alias("h_b"), F.col("w").alias("w_b")), ["rep", "tag"]).groupBy("owner", "block").agg(F.collect_list(F.struct("rep", "tag", "h_b", "w_b")).alias("docs"))
+    holders = blocks.select("owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(side.select(F.struct("rep", "tag").alias("owner"), F.col("h").alias("h_a")), "owner")
+    full = docs_of.join(holders, ["owner", "block"])
+    aligned = full.select("h_a", "docs").mapInArrow(_align(min_words), "rep long, tag int, gone array<int>").where(F.size("gone") > 0)
     gone = aligned.groupBy("rep", "tag").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     by_class = stored(classes.select("sig", "rep", "tag", (total >= min_words).alias("long")).join(gone, ["rep", "tag"], "left"), "line-classes")
     mine = every.select("doc_id", "sig").join(by_class, "sig").where(F.expr("(doc_id <> rep and long) or (doc_id = rep and gone is not null)"))

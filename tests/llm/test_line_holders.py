@@ -135,3 +135,36 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, line("p"), 7, 8, 9)], "doc_id long, text string, n_lines int, cut int, `a.b` int")
     (got,) = line_dedup.line_dedup(df).collect()
     assert got.asDict() == {"doc_id": 1, "text": line("p"), "n_lines_input": 7, "cut": 8, "a.b": 9, "n_lines": 1, "n_removed": 0}
+
+
+@pytest.mark.parametrize("letters", [3, 8, 40])
+def test_patience_finds_all_shared_runs(monkeypatch, letters):
+    """Blocks that cross, overlap and repeat all go; without patience nothing does."""
+    import numpy as np
+
+    rng = random.Random(letters)
+    for _ in range(60):
+        first = [rng.randrange(letters) for _ in range(rng.randrange(1, 40))]
+        later: list[int] = []
+        for _ in range(rng.randrange(1, 5)):
+            i = rng.randrange(len(first))
+            later += first[i : i + rng.randrange(1, 12)] + [rng.randrange(letters + 3) for _ in range(rng.randrange(0, 3))]
+        words = [x % 4 + 1 for x in later]
+        w = np.array(words, np.int32)
+        _, _, s, e = line_dedup.runs(np.array(later, np.int64), w, np.array([0, len(later)]), 6)
+        order = np.lexsort((e, s))
+        spans = list(zip(s[order].tolist(), e[order].tolist(), strict=True))
+        has = lambda run: any(first[i : i + len(run)] == run for i in range(len(first)))
+        want = {k for i in range(len(later)) for j in range(i + 1, len(later) + 1) if sum(words[i:j]) >= 6 and has(later[i:j]) for k in range(i, j)}
+        assert set(line_dedup.common_lines(first, later, words, spans, 6)) == want
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "patience", lambda a, b: [])
+            assert line_dedup.common_lines(first, later, words, spans, 6) == []
+
+
+def test_popular_holder_in_blocks(spark, monkeypatch):
+    """A long holder of a run that many documents share goes to blocks of them."""
+    monkeypatch.setattr(line_dedup, "HELD_TOGETHER", 3)
+    long = [line(f"l{i}") for i in range(200)]
+    rows = rows_of(["\n".join(long)] + [f"{line(f'own{i}')}\n{long[7]}\n{line(f'more{i}')}" for i in range(50)])
+    assert removed(spark, rows) == {0: 0} | {i: 1 for i in range(1, 51)}
