@@ -99,6 +99,28 @@ def shifted(options: Column, shift: Column) -> Column:
     return let(options, lambda xs: F.transform(xs, lambda _, j: F.element_at(xs, F.pmod(j + shift, F.size(xs)) + 1)))
 
 
+def averaged_orders(logits: Column, abstain: Column, shifts: Column, bias: float = 0.0) -> Column:
+    """(pk, abstain, orders) over cyclic orders of the options, on the request's
+    own row: each order's probabilities are turned back to the options' own
+    places and added up. bias: what a slot's place adds to its logit."""
+
+    def one(shift: Column) -> Column:
+        turned = F.transform(shifted(logits, shift), lambda x, j: x + bias * j)
+
+        def probs(z: Column) -> Column:
+            return let(F.greatest(F.array_max(z), abstain), lambda m: let(F.transform(z, lambda x: F.exp(x - m)), lambda e: F.struct(normal(e).alias("pk"), (F.exp(abstain - m) / (total(e) + F.exp(abstain - m))).alias("a"))))
+
+        back = lambda r: F.struct(F.transform(r["pk"], lambda _, i: F.element_at(r["pk"], F.pmod(i - shift, F.size(r["pk"])) + 1)).alias("pk"), r["a"].alias("a"))
+        return let(let(turned, probs), back)
+
+    def mean(rows: Column) -> Column:
+        n = F.size(rows)
+        added = F.aggregate(F.slice(rows, F.lit(2), n), F.element_at(rows, 1)["pk"], lambda s, r: F.zip_with(s, r["pk"], lambda x, y: x + y))
+        return F.struct(F.transform(added, lambda x: x / n).alias("pk"), (total(F.transform(rows, lambda r: r["a"])) / n).alias("abstain"), n.cast("long").alias("orders"))
+
+    return let(F.transform(shifts, one), mean)
+
+
 def cross_entropy(p: Column, p_abstain: Column, label: Column, smoothing: float = 0.0) -> Column:
     """Negative log-likelihood with smoothing over valid slots; null if unlabelled."""
     logp = F.transform(p, lambda x: F.log(F.greatest(x, F.lit(1e-300))))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
+from ..functions.rand import seeded
 from .records import CONVERTERS
 
 #: Sources of raw text and generation tasks by name, as converters are in CONVERTERS.
@@ -30,15 +31,17 @@ def task(name: str) -> Callable:
     return add
 
 
-def convert_all(inputs: dict[str, tuple], only: Iterable[str] | None = None, sink: Callable[[str, DataFrame], None] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+def convert_all(inputs: dict[str, tuple], only: Iterable[str] | None = None, sink: Callable[[str, DataFrame], None] | None = None, seed: int | str | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Records by converter and, for those that failed, why. inputs: what each
     converter takes; only: names to run (all, if none); sink: writes a
-    converter's records, so that failures of its jobs are caught too."""
+    converter's records, so that failures of its jobs are caught too; seed: of
+    all draws, so that each converter draws anew with another one."""
     done: dict[str, DataFrame] = {}
     failed: dict[str, str] = {}
     for name in only or list(inputs):
         try:
-            got = CONVERTERS[name](*inputs[name])
+            with seeded("" if seed is None else f"{seed}-{name}-"):
+                got = CONVERTERS[name](*inputs[name])
             if sink is not None:
                 sink(name, got)
             done[name] = got

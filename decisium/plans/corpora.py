@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.rand import hash32, hash32_sql, uniform, uniform_sql
 from ..operators import mixture as X
+from ..operators import sources as O
 from .registry import query, table
 
 #: Latin letters with accents stand for the script here: the tables hold no Thai.
@@ -304,3 +305,29 @@ def prompt_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = uniform("p-style", "doc_id")
     style = F.when(F.length("text") > 4000, "long").when(s < 0.25, "chat").when(s < 0.75, "formal").otherwise("log")
     return docs(spark, sf_dir).select("doc_id", F.when(uniform("p-lang", "doc_id") < 0.7, "th").otherwise("en").alias("ask"), style.alias("style"))
+
+
+_PICK = lambda xs, seed: f"{xs}[({hash32_sql(seed, 'row', 'i')} % {len(xs)} + 1)::INT]"
+_UI = f"""(SELECT string_agg('[' || i || '] ' || {_PICK(O.ROLES, 'ui-role')} || ' "' || CASE WHEN {uniform_sql('ui-th', 'row', 'i')} < 0.7 THEN {_PICK(O.NAMES_TH, 'ui-name')} ELSE {_PICK(O.NAMES_EN, 'ui-name')} END || '"', chr(10) ORDER BY i)
+  FROM range(0, 40) t(i) WHERE i < 8 + {hash32_sql('ui-n', 'row')} % 33)"""
+
+
+@query(
+    f"""WITH q AS ({_QUALITY}), d AS (SELECT doc_id AS row, text, source, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang FROM documents WHERE text IS NOT NULL), p AS (SELECT page_id AS row, url, html, {uniform_sql('machine', 'page_id')} AS u FROM pages),
+a AS (SELECT 'thai_web' AS source, row, text FROM d JOIN q ON doc_id = row WHERE n >= 200 AND ratio >= 0.05 AND uniq >= 0.7 AND links <= n / 200.0 AND bad <= 3
+UNION ALL SELECT 'thai_wiki', row, coalesce(source, '') || chr(10) || chr(10) || text FROM d WHERE length(text) > 300
+UNION ALL SELECT 'thai_edu', row, t FROM (SELECT row, coalesce(source, '') || chr(10) || coalesce(lang, '') || chr(10) || text AS t FROM d) WHERE length(t) > 200
+UNION ALL SELECT 'parallel', row, CASE WHEN {uniform_sql('parallel', 'row')} < 0.5 THEN 'th: ' || text || chr(10) || 'en: ' || source ELSE 'en: ' || source || chr(10) || 'th: ' || text END FROM d WHERE coalesce(source, '') <> '' AND text <> ''
+UNION ALL SELECT 'en_replay', row, text FROM d WHERE length(text) > 300
+UNION ALL SELECT 'machine', row, CASE WHEN u < 0.4 OR (u >= 0.7 AND NOT (length(html) > 200 AND length(html) < 20000)) THEN {_UI} WHEN u < 0.7 THEN to_json(struct_pack(order_id := row, customer := url))::VARCHAR ELSE html END FROM p)
+SELECT source, row::VARCHAR AS row, md5(text) AS digest FROM a"""
+)
+def sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six sources of a mixture, each rendered and filtered its own way, in one table."""
+    d = docs(spark, sf_dir).where("text is not null").withColumnRenamed("doc_id", "row")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("row"), "html", F.struct(F.col("page_id").alias("order_id"), F.col("url").alias("customer")).alias("record"))
+    inputs = {
+        "thai_web": d, "thai_wiki": d.withColumn("title", F.col("source")), "en_replay": d, "machine": p, "parallel": d.select("row", F.col("text").alias("th"), F.col("source").alias("en")),
+        "thai_edu": d.select("row", F.col("source").alias("instruction"), F.when(F.col("row") % 3 > 0, F.col("lang")).alias("input"), F.col("text").alias("output")),
+    }
+    return O.all_sources(inputs, thai_web={"script": "[À-ÿ]", "least_ratio": 0.05, "boilerplate": BAD}).select("source", "row", F.md5("text").alias("digest"))

@@ -72,15 +72,12 @@ def decision_noul_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permuted(spark: SparkSession, sf_dir: str, asked: int, bias: float = 0.3) -> DataFrame:
-    """pk by option name averaged over cyclic orders; a slot's place adds a bias.
-    Orders are exploded and averaged on the request's own key."""
+    """pk by option averaged over cyclic orders; a slot's place adds a bias. All
+    orders are folded on the request's own row, so nothing is shuffled."""
     e = logits(spark, sf_dir)
-    n = F.lit(asked)
-    shifts = D.cyclic_shifts(F.size("logits"), n)
-    each = e.withColumn("shift", F.explode(shifts)).withColumn("logits", F.transform(D.shifted(F.col("logits"), F.col("shift")), lambda x, j: x + bias * j))
-    d = D.with_probabilities(each)
-    flat = d.select("vec_id", "label", "shift", "p_abstain", F.size("pk").alias("k"), F.posexplode("pk").alias("pos", "x"), "pk").withColumn("slot", F.pmod(F.col("pos") + F.col("shift"), F.col("k")))
-    return flat.groupBy("vec_id", "label", "slot").agg(F.avg("x").alias("prob"), F.avg("p_abstain").alias("abstain"), F.count("*").alias("orders"))
+    m = D.averaged_orders(F.col("logits"), F.col("abstain_logit"), D.cyclic_shifts(F.size("logits"), F.lit(asked)), bias)
+    d = e.select("vec_id", "label", m.alias("m"))
+    return d.select("vec_id", "label", F.posexplode("m.pk").alias("slot", "prob"), F.col("m.abstain").alias("abstain"), F.col("m.orders").alias("orders"))
 
 
 def _permuted_sql(asked: int, bias: float = 0.3) -> str:

@@ -207,3 +207,39 @@ def jsonl_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 kept rows in random order: the least of each task, then of all."""
     return table(spark, sf_dir, "documents").where(F.length("text") > 500).orderBy(hash32("stop", "doc_id"), "doc_id").select("doc_id").limit(50)
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, lang FROM documents WHERE text IS NOT NULL)
+SELECT 'ag_news' AS name, 'agnews-' || doc_id AS id, 'ok' AS status FROM d UNION ALL SELECT 'massive_de', 'massive-de-' || doc_id, 'ok' FROM d WHERE lang IN ('en', 'de') UNION ALL SELECT 'wisesight', NULL, 'failed'"""
+)
+def converter_driver_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Converters picked by name, seeded, their records written; one fails while its job runs, and the others go on."""
+    from ..operators.driver import convert_all
+    from .converter_queries import DEFS
+
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    rows = d.select(F.col("doc_id").alias("row"), "text", (F.col("doc_id") % 4).alias("label"), F.lit("train").alias("split"))
+    broken = rows.withColumn("texts", F.raise_error(F.lit("the source ended"))).withColumn("category", F.col("label"))
+    paths: dict[str, str] = {}
+
+    def sink(name: str, got: DataFrame) -> None:
+        paths[name] = scratch(spark, name)
+        got.write.parquet(paths[name])
+
+    done, failed = convert_all({"ag_news": (rows,), "wisesight": (broken,), "massive_de": (d.select(F.col("doc_id").alias("row"), "text", F.col("lang").alias("label_text")), DEFS), "clinc": (rows,)}, only=["ag_news", "wisesight", "massive_de"], sink=sink, seed=3)
+    out = spark.createDataFrame([(x, None, "failed") for x in failed], "name string, id string, status string")
+    for name in done:
+        out = out.union(spark.read.parquet(paths[name]).select(F.lit(name), "id", F.lit("ok")))
+    return out
+
+
+@query("SELECT row_number() OVER (ORDER BY id) - 1 AS place, id FROM (SELECT conv_id || '/' || turn AS id FROM conversations)")
+def records_sorted_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records sorted by id over all files of a folder of JSON lines."""
+    from ..sources.zipped import placed_lines
+
+    path = scratch(spark, "sorted")
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "role", "text")
+    c.repartitionByRange("id").sortWithinPartitions("id").select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return placed_lines(spark, path).select("place", F.get_json_object("value", "$.id").alias("id"))

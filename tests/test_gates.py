@@ -104,3 +104,12 @@ def test_tasks_of_odd_objects(spark):
     got = {r["id"]: r for r in TASKS["safety"](df, DEFS).collect()}
     assert [got[f"1-{i}"]["reason"] for i in range(3)] == [None, "label differs", "unlabelled"]
     assert got["1-0"]["questions"][0]["instructions"] == K.TH["aegis2"][0] and json.loads(got["1-0"]["state"]) == {"user_message": "a"}
+
+
+def test_seeds_change_draws(spark):
+    """The same seed gives the same records, another one other draws; without one nothing changes."""
+    from decisium.operators.driver import convert_all
+
+    rows = spark.createDataFrame([(i, f"t{i}", i % 4) for i in range(40)], "row long, text string, label long")
+    asked = lambda **kw: [r["questions"][0]["instructions"] for r in convert_all({"ag_news": (rows,)}, **kw)[0]["ag_news"].orderBy("id").collect()]
+    assert asked(seed=1) == asked(seed=1) != asked(seed=2) and asked() == asked() != asked(seed=1)
