@@ -83,7 +83,8 @@ _BY_EPISODE = "PARTITION BY user_id, episode ORDER BY ts, event_id"
 
 @query(
     f"""WITH o AS (SELECT *, floor(value / 10) AS x, epoch_us(ts) - epoch_us(lag(ts) {_BY_USER}) AS gap FROM events),
-e AS (SELECT *, count(*) FILTER (gap > 172800000000) {_BY_USER} AS episode FROM o),
+n AS (SELECT *, count(*) FILTER (gap > 172800000000) {_BY_USER} AS k FROM o),
+e AS (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY user_id, k) AS episode FROM n),
 w AS (SELECT *, list(event_type) OVER ({_BY_EPISODE} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h, lag(x) OVER ({_BY_EPISODE}) AS x_before, lag(event_type) OVER ({_BY_EPISODE}) AS before,
   avg(value) OVER ({_BY_EPISODE} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM e)
 SELECT event_id, episode, coalesce(array_to_string(h, ','), '') AS history, coalesce(x = x_before AND before IN ('view', 'click'), false) AS stuck, round(m, 6) AS moving FROM w"""

@@ -4,9 +4,10 @@ operators.timeseries give, kept by key in the state store.
 A key's state is small and bounded: the last k actions, the last values of the
 mean, the last position, and order and time of the last step. It goes on over
 micro-batches and restarts from a checkpoint. A step more than `idle` seconds
-after the one before starts anew, as a new episode; a timer of event time drops
-the state of keys that the watermark has left that far behind, which changes no
-result. Steps before a key's last one come too late: they are given with `late`
+after the one before starts anew, as a new episode, named by the time of its
+first step in microseconds; a timer of event time drops the state of keys that
+the watermark has left that far behind, which changes no result. Steps before a
+key's last one come too late: they are given with `late`
 and change nothing. Null actions count as actions; a null key is a key."""
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Loop(StatefulProcessor):
         steps = pd.concat(list(rows)).sort_values(["micros", "step"], kind="stable")
         old = self.kept.get() if self.kept.exists() else None
         actions, values = deque(old[0] if old else [], self.k), deque(old[1] if old else [], self.mean_of)
-        place, last, episode = (list(old[2]) if old[2] is not None else None, (old[3], old[4]), old[5]) if old else (None, None, 0)
+        place, last, episode = (list(old[2]) if old[2] is not None else None, (old[3], old[4]), old[5]) if old else (None, None, None)
         out = []
         for row in steps[["micros", "step", "action", "value", "x", "y"]].itertuples(index=False):
             micros, step, action = int(row.micros), int(row.step), row.action
@@ -58,10 +59,10 @@ class Loop(StatefulProcessor):
             if last is not None and (micros, step) < last:
                 out.append((key[0], step, episode, list(actions), False, None, True))
                 continue
-            if last is not None and micros - last[0] > self.idle * 1_000_000:
+            if last is None or micros - last[0] > self.idle * 1_000_000:
                 actions.clear()
                 values.clear()
-                place, episode = None, episode + 1
+                place, episode = None, micros
             stuck = place is not None and None not in here and here == place and bool(actions) and actions[-1] in self.moves
             values.append(value)
             seen = [v for v in values if v is not None]

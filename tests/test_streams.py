@@ -12,6 +12,10 @@ from decisium.streaming import loop as L
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
 
+def at(seconds):
+    return int(T0.timestamp() + seconds) * 1_000_000
+
+
 def steps(spark, rows):
     """rows: key, step, seconds, action, value, x, y."""
     return spark.createDataFrame([(k, s, T0 + dt.timedelta(seconds=t), a, v, x, y) for k, s, t, a, v, x, y in rows], "key string, step long, ts timestamp, action string, value double, x double, y double")
@@ -37,7 +41,7 @@ def test_loop_state_goes_on(run):
     assert [got["a", i]["stuck"] for i in range(6)] == [False, False, True, True, False, False]
     assert got["a", 6]["history"] == ["MOVE", "TURN", "TURN", "TURN"] and got["a", 6]["moving"] == 3.0 and not got["a", 6]["late"]
     assert got["a", 9]["late"] and got["a", 9]["moving"] is None
-    assert (got["a", 7]["episode"], got["a", 7]["history"], got["a", 7]["moving"]) == (1, [], 1.0)
+    assert (got["a", 7]["episode"], got["a", 7]["history"], got["a", 7]["moving"]) == (at(5000), [], 1.0)
     assert got["b", 1]["stuck"] and got["b", 0]["moving"] is None and got["b", 1]["moving"] == 4.0
     assert got[None, 0]["history"] == [] and not got[None, 0]["stuck"]
 
@@ -47,7 +51,7 @@ def test_loop_state_expires(run, spark):
     run([("a", 0, 0, "MOVE", 1.0, 0.0, 0.0), ("b", 0, 0, "MOVE", 1.0, 0.0, 0.0)], idle=100)
     run([("b", 1, 90, "MOVE", 1.0, 0.0, 0.0), ("b", 2, 500, "MOVE", 1.0, 0.0, 0.0)], idle=100)
     got = run([("a", 1, 600, "MOVE", 2.0, 0.0, 0.0)], idle=100)
-    assert got["a", 1]["history"] == [] and not got["a", 1]["stuck"] and got["b", 1]["stuck"] and got["b", 2]["episode"] == 1
+    assert got["a", 1]["history"] == [] and not got["a", 1]["stuck"] and got["b", 1]["stuck"] and got["b", 2]["episode"] == at(500) and got["a", 1]["episode"] == at(600)
 
 
 def mixture(spark, root, sizes):
