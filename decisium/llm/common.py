@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -147,3 +148,29 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)
         yield batch.slice(i, min(j, n) - i)
         i = min(j, n)
+
+
+#: Bits of a Bloom filter that is broadcast: 16 a value, at most 16 MB.
+MOST_BITS = 1 << 27
+
+
+def bloom(hashes: DataFrame, most: int = MOST_BITS) -> Broadcast[np.ndarray]:
+    """A Bloom filter, two bits a value, of the one column of `hashes` (64-bit
+    hashes), broadcast as words of 64 bits. Spark sets the bits; only the words
+    that aren't zero come to the driver, at most most / 64 whatever the rows.
+    With more values than it has room for it passes more, and loses none."""
+    h, n = F.col(hashes.columns[0]), hashes.count()
+    size = min(most, max(1 << 10, 1 << (16 * n).bit_length()))
+    places = F.explode(F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 27).bitwiseAND(F.lit(size - 1))))
+    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    words = hashes.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    table = np.zeros(size >> 6, np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def maybe_in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of a Bloom filter's table."""
+    h, mask = h.astype(np.uint64), np.uint64((len(table) << 6) - 1)
+    at = lambda p: (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return at(h & mask) & at((h >> np.uint64(27)) & mask)

@@ -9,9 +9,11 @@ inside an equal window are marked.
 
 While the benchmark's counted bytes stay under INDEX_BYTES its index is
 broadcast and documents pass it once. A larger benchmark stays distributed:
-fingerprints of texts and windows are joined, then the windows of texts with a
-common fingerprint with the benchmark's, word by word. Texts are known by their
-sha-256 there. So documents are read a fixed number of times, nothing unbounded
+fingerprints of texts that pass a Bloom filter of the benchmark's (at most 16
+MB) are joined with them, then the windows of texts with a common fingerprint
+with the benchmark's, word by word. A window stands for its set of items by
+number, and documents with the same numbers share one list of items. Texts are
+known by their sha-256 there. So documents are read a fixed number of times, nothing unbounded
 is broadcast, and skewed fingerprints are split by adaptive execution.
 
 Nulls and edges: null texts have no words; an item of fewer than `span` words,
@@ -26,11 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import forget
-from .common import prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
+from .common import bloom, maybe_in, prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import ALNUM, Words, find, grams
 
 GRAM, INDEX_BYTES, TEXT_BYTES = 5, 8 << 20, 500_000
@@ -198,8 +201,9 @@ def _windows(span: int):  # noqa: ANN202
     return run
 
 
-def _text_prints(span: int, sizes: list[int]):  # noqa: ANN202
-    """key, m and print of the texts' windows, equal ones of a text once."""
+def _text_prints(span: int, sizes: list[int], known: Broadcast[np.ndarray]):  # noqa: ANN202
+    """key, m and print of the texts' windows that pass the Bloom filter of the
+    benchmark's prints, equal neighbours once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,6 +215,7 @@ def _text_prints(span: int, sizes: list[int]):  # noqa: ANN202
                     ok = np.arange(len(h)) + m <= w.first[doc + 1] if len(h) else np.zeros(0, bool)
                     ok[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                     at = np.flatnonzero(ok)
+                    at = at[maybe_in(known.value, h[at])]
                     yield pa.record_batch([b.column("key").take(pa.array(doc[at])), pa.array(np.full(len(at), m, np.int32)), pa.array(h[at])], ["key", "m", "print"])
 
     return run
@@ -244,18 +249,27 @@ def _merged(base: DataFrame):  # noqa: ANN202
 
 
 def _by_join(base: DataFrame, items: DataFrame, span: int) -> DataFrame:
+    """Prints that pass a Bloom filter are joined, then windows. A window goes on
+    with the number of its set of items, and documents with the same numbers
+    share one list, so that a passage common to many documents and items makes a
+    row a document and window, not one for each item."""
     key = F.unhex(F.sha2("text", 256)).alias("key")
-    windows = stored(items.mapInArrow(_windows(span), "item string, m int, print long, window binary").distinct(), "benchmark-windows")
-    sizes = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most `span` rows
+    windows = items.mapInArrow(_windows(span), "item string, m int, print long, window binary").distinct()
+    sets = windows.groupBy("m", "print", "window").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    sets = stored(sets.withColumn("group", F.sha2(F.to_json("items"), 256)), "benchmark-windows")
+    sizes = sorted(r["m"] for r in sets.select("m").distinct().collect())  # at most `span` rows
     texts = base.where("text is not null").select(key, "text")
-    prints = texts.mapInArrow(_text_prints(span, sizes), "key binary, m int, print long").distinct()
-    common = prints.join(windows.select("m", "print").distinct(), ["m", "print"], "left_semi")
+    prints = texts.mapInArrow(_text_prints(span, sizes, bloom(sets.select("print").distinct())), "key binary, m int, print long").distinct()
+    common = prints.join(sets.select("m", "print").distinct(), ["m", "print"], "left_semi")
     common = stored(common.groupBy("key").agg(F.collect_list(F.struct("m", "print")).alias("common")), "common-prints")
     near = texts.join(common, "key").dropDuplicates(["key"]).mapInArrow(_text_windows(span), "key binary, m int, start int, window binary")
-    hits = stored(near.join(windows.select("item", "m", "window"), ["m", "window"]).select("key", "start", "m", "item"), "hits")
-    spans = hits.select("key", "start", "m").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("spans"))
-    names = hits.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = stored(spans.join(names, "key"), "found")
+    hits = stored(near.join(sets.select("m", "window", "group"), ["m", "window"]).select("key", "start", "m", "group"), "hits")
+    mine = hits.groupBy("key").agg(F.collect_set(F.struct("start", "m")).alias("spans"), F.array_sort(F.collect_set("group")).alias("groups"))
+    mine = stored(mine.withColumn("combo", F.sha2(F.concat_ws(",", "groups"), 256)), "found")
+    combos = mine.select("combo", "groups").dropDuplicates(["combo"]).select("combo", F.explode("groups").alias("group"))
+    named = combos.join(sets.select("group", "items").dropDuplicates(["group"]), "group").select("combo", F.explode("items").alias("item"))
+    names = stored(named.distinct().groupBy("combo").agg(F.array_sort(F.collect_list("item")).alias("items")), "names")
+    found = mine.select("key", "spans", "combo").join(names, "combo").drop("combo")
     joined = base.withColumn("key", key).join(found, "key", "left").select("row", "text", "spans", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
     return joined.mapInArrow(*_merged(base))
 

@@ -21,7 +21,8 @@ lost, and n near copies cost about n rows.
 
 A pair is compared in three steps: set sizes, the estimate from the sketch of
 the union, and, only then, the exact Jaccard similarity of the full sets, which
-are made from the texts again. The estimate is taken from short forms of the
+are made from the texts again. More ids than BROADCAST_IDS go to the texts as a
+Bloom filter first. The estimate is taken from short forms of the
 sketches, the SHORT least values' lower 15 bits in rising order of the values:
 a value with places i and j (from 1) in the two, after k - 1 shared ones, has
 place i + j - k in the union, so equality alone tells how many of the SHORT
@@ -48,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import forget
-from .common import prepare, slices, stored, text_buffer
+from .common import bloom, maybe_in, prepare, slices, stored, text_buffer
 from .components import Forest, components
 from .words import BLANK, Words, find, grams
 
@@ -105,9 +106,15 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """rep, z: the texts of the documents in ids (rep). While the counted ids
-    are few they go to the texts by broadcast, else both are shuffled."""
+    are few they go to the texts by broadcast, else a Bloom filter of them does,
+    and both are shuffled: only texts that pass it are packed and moved."""
     ids, rows = stored(ids.distinct(), "ids"), docs.select(F.col("doc_id").alias("rep"), "text")
     few = ids.count() <= BROADCAST_IDS
+    known = None if few else bloom(ids.select(F.xxhash64("rep")))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(known.value, b.column("h").to_numpy()))).drop_columns(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(1)
@@ -116,7 +123,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.record_batch([b.column("rep"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], ["rep", "z"])
 
     packed = lambda df: df.mapInArrow(run, "rep long, z binary")
-    found = packed(rows.join(F.broadcast(ids), "rep", "left_semi")) if few else packed(rows).join(ids, "rep", "left_semi")
+    found = packed(rows.join(F.broadcast(ids), "rep", "left_semi")) if few else packed(rows.withColumn("h", F.xxhash64("rep")).mapInArrow(passed, rows.schema)).join(ids, "rep", "left_semi")
     return stored(found.select("rep", "z").distinct(), "texts")  # several for an id with several texts
 
 

@@ -24,7 +24,8 @@ Phrases are confirmed, and words told apart, by 64-bit hashes.
 
 A null text has no words; a null doc_id is smaller than none and keeps its
 words; rows that repeat a doc_id are neither's smaller; an empty table gives no
-rows."""
+rows. A text longer than a chunk (1 MB) makes a chunk of its own and counts
+whole; other columns of the input aren't read, so their names can't clash."""
 
 from __future__ import annotations
 

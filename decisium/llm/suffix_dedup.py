@@ -21,7 +21,9 @@ number of buckets grows with the input; copies cost one row each.
 
 A null text counts as empty; a null doc_id is earlier than none and keeps its
 bytes; of rows that repeat a doc_id the same start is not earlier. An empty
-table gives no rows."""
+table gives no rows. A text longer than a chunk (1 MB) makes a chunk of its own
+and counts whole; other columns of the input aren't read, so their names can't
+clash."""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("decisium.llm")
-from decisium.llm import chunks, decontaminate, line_dedup, near_dup, phrase_dedup, suffix_dedup  # noqa: E402
+from decisium.llm import chunks, common, decontaminate, line_dedup, near_dup, phrase_dedup, suffix_dedup  # noqa: E402
 
 from . import helpers as H  # noqa: E402
 
@@ -270,3 +270,58 @@ def test_lines(spark, seed):
     got = line_dedup.line_dedup(extra(table(spark, rows)))
     assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in got.collect()} == H.deduped_lines(rows)
     assert line_dedup.line_dedup(table(spark, [])).collect() == []
+
+
+def test_contamination_of_many_items_alike(spark, monkeypatch):
+    """A passage that many documents and items share makes a row a document and window."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 0)
+    made = {}
+
+    def counted(df, name, codec="zstd"):
+        got = common.stored(df, name, codec)
+        made[name] = got.count()
+        return got
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(i, f"d{i} {passage} e{i}", "en", "s", 0) for i in range(500)] + [(500, "clean", "en", "s", 0)]
+    items = [(k, f"{passage} {'x' * (k % 3)}") for k in range(400)] + [(400, "none of these")]
+    got = decontaminate.contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = H.contaminated(rows, items)
+    for r in got:
+        n, _, k, names, hit = want[r["doc_id"]]
+        assert (r["n_words"], len(r["items"]), bool(r["marks"])) == (n, k, hit) and hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == names
+    assert len(got) == 501 and made["hits"] == 2500 and made["common-prints"] == 500 and made["names"] == 1
+
+
+@pytest.mark.parametrize("most", [1 << 10, 1 << 27])
+def test_bloom_loses_nothing(spark, most):
+    """Every value passes, few others do while there is room."""
+    known = common.bloom(spark.range(5000).selectExpr("xxhash64(id) as h"), most).value
+    h = np.array([r["h"] for r in spark.range(20_000).selectExpr("xxhash64(id) as h").collect()], np.int64)
+    passed = common.maybe_in(known, h)
+    assert len(known) * 64 <= most and passed[:5000].all()
+    assert most < 1 << 20 or passed[5000:].mean() < 0.03
+    assert not common.maybe_in(common.bloom(spark.range(0).selectExpr("xxhash64(id) as h")).value, h).any()
+
+
+def long_rows():
+    """Texts of over one chunk (1 MB), whose shared passage stands across its end."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    body = [word() for _ in range(150_000)]
+    passage = body[131_000:131_400]
+    return [(1, " ".join(body), "en", "s", 0), (2, " ".join([word() for _ in range(131_060)] + passage + [word() for _ in range(9000)] + passage), "en", "s", 0), (3, " ".join(passage), "en", "s", 0)]
+
+
+def test_phrases_of_texts_over_a_chunk(spark):
+    rows = long_rows()
+    assert min(len(r[1]) for r in rows[:2]) > chunks.CHUNK_BYTES
+    got = {r[0]: tuple(r)[1:4] for r in phrase_dedup.repeated_phrases(table(spark, rows)).collect()}
+    assert got == H.phrases(rows) and got[2][1] == 800 and got[3][1] == 400
+
+
+def test_substrings_of_texts_over_a_chunk(spark):
+    rows = long_rows()
+    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.repeated_bytes(table(spark, rows)).collect()}
+    assert got == H.substrings(rows) and got[2][1] > 6000 and got[3][1] == len(rows[2][1])
