@@ -174,3 +174,13 @@ def maybe_in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     h, mask = h.astype(np.uint64), np.uint64((len(table) << 6) - 1)
     at = lambda p: (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
     return at(h & mask) & at((h >> np.uint64(27)) & mask)
+
+
+def passing(df: DataFrame, h: Column, known: Broadcast[np.ndarray], inside: bool = True) -> DataFrame:
+    """The rows whose hash may be in a Bloom filter, or else those whose isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(known.value, b.column("_hash").to_numpy()) == inside)).drop_columns(["_hash"])
+
+    return df.withColumn("_hash", h).mapInArrow(run, df.schema)

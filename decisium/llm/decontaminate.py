@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import forget
-from .common import bloom, maybe_in, prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
+from .common import bloom, maybe_in, passing, prepare, quoted, slices, stored, text_buffer, unwrapped, with_row, wrapped
 from .words import ALNUM, Words, find, grams
 
 GRAM, INDEX_BYTES, TEXT_BYTES = 5, 8 << 20, 500_000
@@ -262,7 +262,7 @@ def _by_join(base: DataFrame, items: DataFrame, span: int) -> DataFrame:
     prints = texts.mapInArrow(_text_prints(span, sizes, bloom(sets.select("print").distinct())), "key binary, m int, print long").distinct()
     common = prints.join(sets.select("m", "print").distinct(), ["m", "print"], "left_semi")
     common = stored(common.groupBy("key").agg(F.collect_list(F.struct("m", "print")).alias("common")), "common-prints")
-    near = texts.join(common, "key").dropDuplicates(["key"]).mapInArrow(_text_windows(span), "key binary, m int, start int, window binary")
+    near = passing(texts, F.xxhash64("key"), bloom(common.select(F.xxhash64("key")))).join(common, "key").dropDuplicates(["key"]).mapInArrow(_text_windows(span), "key binary, m int, start int, window binary")
     hits = stored(near.join(sets.select("m", "window", "group"), ["m", "window"]).select("key", "start", "m", "group"), "hits")
     mine = hits.groupBy("key").agg(F.collect_set(F.struct("start", "m")).alias("spans"), F.array_sort(F.collect_set("group")).alias("groups"))
     mine = stored(mine.withColumn("combo", F.sha2(F.concat_ws(",", "groups"), 256)), "found")
@@ -270,8 +270,12 @@ def _by_join(base: DataFrame, items: DataFrame, span: int) -> DataFrame:
     named = combos.join(sets.select("group", "items").dropDuplicates(["group"]), "group").select("combo", F.explode("items").alias("item"))
     names = stored(named.distinct().groupBy("combo").agg(F.array_sort(F.collect_list("item")).alias("items")), "names")
     found = mine.select("key", "spans", "combo").join(names, "combo").drop("combo")
-    joined = base.withColumn("key", key).join(found, "key", "left").select("row", "text", "spans", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
-    return joined.mapInArrow(*_merged(base))
+    # only texts that may be hit are moved
+    keyed, h, known = base.withColumn("key", key), F.coalesce(F.xxhash64("key"), F.lit(0)), bloom(mine.select(F.xxhash64("key")))
+    hit = passing(keyed, h, known).join(found, "key", "left").select("row", "text", "spans", "items")
+    rest = passing(keyed, h, known, inside=False).select("row", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    every = hit.unionByName(rest).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
+    return every.mapInArrow(*_merged(base))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import forget
-from .common import bloom, maybe_in, prepare, slices, stored, text_buffer
+from .common import bloom, passing, prepare, slices, stored, text_buffer
 from .components import Forest, components
 from .words import BLANK, Words, find, grams
 
@@ -110,11 +110,6 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     and both are shuffled: only texts that pass it are packed and moved."""
     ids, rows = stored(ids.distinct(), "ids"), docs.select(F.col("doc_id").alias("rep"), "text")
     few = ids.count() <= BROADCAST_IDS
-    known = None if few else bloom(ids.select(F.xxhash64("rep")))
-
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(maybe_in(known.value, b.column("h").to_numpy()))).drop_columns(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(1)
@@ -123,7 +118,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.record_batch([b.column("rep"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], ["rep", "z"])
 
     packed = lambda df: df.mapInArrow(run, "rep long, z binary")
-    found = packed(rows.join(F.broadcast(ids), "rep", "left_semi")) if few else packed(rows.withColumn("h", F.xxhash64("rep")).mapInArrow(passed, rows.schema)).join(ids, "rep", "left_semi")
+    found = packed(rows.join(F.broadcast(ids), "rep", "left_semi")) if few else packed(passing(rows, F.xxhash64("rep"), bloom(ids.select(F.xxhash64("rep"))))).join(ids, "rep", "left_semi")
     return stored(found.select("rep", "z").distinct(), "texts")  # several for an id with several texts
 
 
