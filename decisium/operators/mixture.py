@@ -14,20 +14,43 @@ from ..functions.rand import hash32, uniform
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def sum_before(rows: DataFrame, groups: list[str], seed: str, key: str, size: str, into: str) -> DataFrame:
+def sum_before(rows: DataFrame, groups: list[str], seed: str, key: str | list[str], size: str, into: str) -> DataFrame:
     """Adds the sum of `size` over a group's rows before each one in hash order:
     sums of 4096 hash ranges, then sums within a range, so that no window holds
     a whole group."""
-    h = rows.withColumn("_h", hash32(seed, key)).withColumn("_b", F.shiftright("_h", 20))
-    sums = h.groupBy(*groups, "_b").agg(F.sum(size).alias("_n"))
+    keys = [key] if isinstance(key, str) else key
+    h = rows.withColumn("_h", hash32(seed, *keys))
+    return _sum_by_range(h.withColumn("_b", F.shiftright("_h", 20)), groups, ["_h", *keys], size, into).drop("_h")
+
+
+def place_in(rows: DataFrame, groups: list[str], order: str, into: str, width: int = 1 << 16) -> DataFrame:
+    """Adds each row's place (from 0) in its group by `order`, a unique whole
+    number: counts by range of the order, then places within a range. There is a
+    range for every `width` rows, so no window holds a whole group."""
+    ranged = rows.withColumn("_b", _range_of(rows, order, width)).withColumn("_one", F.lit(1).cast("long"))
+    return _sum_by_range(ranged, groups, [order], "_one", into).drop("_one")
+
+
+def _range_of(rows: DataFrame, order: str, width: int) -> Column:
+    """Number of a row's range of `order`: equal steps from its least to its
+    greatest value, as many as rows / width. Ids may be dense or 64-bit hashes."""
+    at = F.col(order).cast("double")
+    ends = rows.agg(F.struct(F.min(at).alias("lo"), F.max(at).alias("hi"), F.greatest(F.lit(1), F.ceil(F.count("*") / width)).alias("n"))).scalar()
+    step = (at - ends.getField("lo")) / (ends.getField("hi") - ends.getField("lo") + 1)
+    return F.floor(step * ends.getField("n"))
+
+
+def _sum_by_range(rows: DataFrame, groups: list[str], order: list[str], size: str, into: str) -> DataFrame:
+    """Sums of a group's rows before each one, from sums by its ranges _b, which follow the order."""
+    sums = rows.groupBy(*groups, "_b").agg(F.sum(size).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(*BEFORE))
     bases = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_r"), F.coalesce(upto, F.lit(0)).alias("_base"))
-    inner = F.sum(size).over(Window.partitionBy(*groups, "_b").orderBy("_h", key).rowsBetween(*BEFORE))
+    inner = F.sum(size).over(Window.partitionBy(*groups, "_b").orderBy(*order).rowsBetween(*BEFORE))
     same = F.col("_b") == F.col("_r")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    out = h.withColumn("_in", F.coalesce(inner, F.lit(0))).join(bases, same)
-    return out.withColumn(into, F.col("_in") + F.col("_base")).drop("_h", "_b", "_r", "_in", "_base", *[f"_g{i}" for i in range(len(groups))])
+    out = rows.withColumn("_in", F.coalesce(inner, F.lit(0))).join(bases, same)
+    return out.withColumn(into, F.col("_in") + F.col("_base")).drop("_b", "_r", "_in", "_base", *[f"_g{i}" for i in range(len(groups))])
 
 
 def token_budget(docs: DataFrame, budget: Column, seed: str, source: str = "source", key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
@@ -47,20 +70,22 @@ def holdout(docs: DataFrame, rate: float, cap: int, seed: str, key: str = "doc_i
 
 def running_offset(rows: DataFrame, order: str, size: str, width: int = 1 << 12) -> DataFrame:
     """Adds offset: the sum of `size` over all rows of lower `order` (a unique
-    whole number). Rows are summed by range of `width`, the ranges by range of
-    ranges, until one window holds few rows; no window holds the whole input."""
-    return _offset(rows.withColumn("_o", F.col(order).cast("long")), size, width).drop("_o")
+    whole number). Rows are summed by range, one for every `width` rows, the
+    ranges by range of ranges, until one window holds few rows; no window holds
+    the whole input."""
+    placed = rows.withColumn("_o", F.col(order).cast("long"))
+    return _offset(placed, size, _range_of(placed, "_o", width), width).drop("_o")
 
 
-def _offset(rows: DataFrame, size: str, width: int, depth: int = 3) -> DataFrame:
+def _offset(rows: DataFrame, size: str, block: Column, width: int, depth: int = 3) -> DataFrame:
     if depth == 0:
         w = Window.partitionBy(F.lit(0)).orderBy("_o").rowsBetween(*BEFORE)
         return rows.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    block = F.floor(F.col("_o") / width)
-    sums = rows.groupBy(block.alias("_b")).agg(F.sum(size).alias("_n"))
-    bases = _offset(sums.select(F.col("_b").alias("_o"), F.col("_n").alias(size)), size, width, depth - 1).select(F.col("_o").alias("_b"), F.col("offset").alias("_base"))
+    ranged = rows.withColumn("_b", block)
+    sums = ranged.groupBy("_b").agg(F.sum(size).alias("_n")).select(F.col("_b").alias("_o"), F.col("_n").alias(size))
+    bases = _offset(sums, size, F.floor(F.col("_o") / width), width, depth - 1).select(F.col("_o").alias("_b"), F.col("offset").alias("_base"))
     w = Window.partitionBy("_b").orderBy("_o").rowsBetween(*BEFORE)
-    inner = rows.withColumn("_b", block).withColumn("_in", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    inner = ranged.withColumn("_in", F.coalesce(F.sum(size).over(w), F.lit(0)))
     return inner.join(bases, "_b").withColumn("offset", F.col("_in") + F.col("_base")).drop("_b", "_in", "_base")
 
 
@@ -96,11 +121,10 @@ def weighted_draws(draws: DataFrame, shares: DataFrame, pool: DataFrame, seed: s
     taken in hash order and shuffled anew for each epoch."""
     u = uniform(seed, "draw")
     picked = draws.withColumn("u", u).join(F.broadcast(shares), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    n = F.row_number().over(Window.partitionBy(source).orderBy("draw")) - 1
-    turns = picked.withColumn("_n", n).withColumn("epoch", F.floor(F.col("_n") / F.col("size"))).withColumn("place", F.col("_n") % F.col("size"))
+    turns = place_in(picked, [source], "draw", "_n").withColumn("epoch", F.floor(F.col("_n") / F.col("size"))).withColumn("place", F.col("_n") % F.col("size"))
     epochs = turns.select(source, "epoch").distinct()
-    order = Window.partitionBy(source, "epoch").orderBy(hash32(seed, "epoch", key), key)
-    ranked = pool.select(source, key).join(epochs, source).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    each = pool.select(source, key).join(epochs, source).withColumn("_one", F.lit(1).cast("long"))
+    ranked = sum_before(each, [source, "epoch"], seed, ["epoch", key], "_one", "place").drop("_one")
     return turns.join(ranked, [source, "epoch", "place"]).select("draw", source, "epoch", "place", key)
 
 

@@ -229,10 +229,8 @@ def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) FILTER (rk % 50 = 0) AS eval, count(*) FILTER (rk % 50 <> 0) AS train FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rk FROM documents) GROUP BY source")
 def systematic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs(spark, sf_dir).select("source", (i % 50).alias("k")).groupBy("source").agg(F.count_if(F.col("k") == 0).alias("eval"), F.count_if(F.col("k") != 0).alias("train"))
+    d = X.place_in(docs(spark, sf_dir).select("source", "doc_id"), ["source"], "doc_id", "place").select("source", (F.col("place") % 50).alias("k"))
+    return d.groupBy("source").agg(F.count_if(F.col("k") == 0).alias("eval"), F.count_if(F.col("k") != 0).alias("train"))
 
 
 _FAMILY = f"""m AS (SELECT doc_id, lang, substr(sha256(text), 1, 16) AS family FROM documents WHERE {_N} <= 400),

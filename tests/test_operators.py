@@ -211,3 +211,20 @@ def test_entry_without_llm(spark, monkeypatch, missing):
         named, sql = e.queries(), e.oracle_sql()
     assert len(named) == len(sql) > 120 and not any(k.startswith("op") and k[2].isdigit() for k in named) and "pipeline" not in named
     assert e.entry(spark).count() == 500
+
+
+def test_offsets_and_places_of_hashed_ids(spark):
+    """Ids over the whole range of 64 bits, and a table of one row or none."""
+    from decisium.operators import mixture as X
+
+    df = spark.range(3000).selectExpr("xxhash64(id) as id", "cast(id % 7 as long) as n", "if(id % 5 = 0, null, id % 3) as g")
+    at, seen = 0, {}
+    want = {}
+    for r in sorted(df.collect()):
+        want[r["id"]] = (at, seen.get(r["g"], 0))
+        at, seen[r["g"]] = at + r["n"], seen.get(r["g"], 0) + 1
+    got = X.place_in(X.running_offset(df, "id", "n", width=16), ["g"], "id", "place", width=16).collect()
+    assert {r["id"]: (r["offset"], r["place"]) for r in got} == want
+    assert df.select(X._range_of(df, "id", 16).alias("b")).distinct().count() > 100
+    assert [r["offset"] for r in X.running_offset(df.limit(1), "id", "n").collect()] == [0]
+    assert X.running_offset(df.limit(0), "id", "n").collect() == []
