@@ -125,10 +125,14 @@ def raw_shard_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.mixture import running_offset, shards_of
     from ..sources.raw_shards import read_windows, write_raw
 
-    tokens = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_\s])"), F.lit(1))
+    token = F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_\s])")
+    tokens = F.regexp_extract_all("text", token, F.lit(1))
     ids = F.concat(F.transform(tokens, lambda x: F.conv(F.substring(F.md5(x), 1, 4), 16, 10).cast("long")), F.array(F.lit(1).cast("long")))
-    d = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"))
-    parts = shards_of(running_offset(d.drop("ids"), "doc_id", "n_tokens"), _SHARD).join(d.select("doc_id", "ids"), "doc_id")
+    # sizes are counted once, and hashes of tokens only made for the files
+    d, counted = table(spark, sf_dir, "documents"), scratch(spark, "sizes")
+    d.select("doc_id", (F.regexp_count("text", token) + 1).cast("long").alias("n_tokens")).write.parquet(counted)
+    sizes = spark.read.parquet(counted)
+    parts = shards_of(running_offset(sizes, "doc_id", "n_tokens"), _SHARD).join(d.select("doc_id", ids.alias("ids")), "doc_id")
     path = scratch(spark, "raw")
     write_raw(parts.select("shard", F.col("first").alias("place"), F.slice("ids", (F.col("begin") + 1).cast("int"), F.col("length").cast("int")).alias("ids")), path)
     w = read_windows(spark, path, _SEQ)

@@ -10,6 +10,7 @@ window is left out, as training does, or windows run on over file ends
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -80,50 +81,92 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 @dataclass
-class Windows(InputPartition):
-    """Windows first..last of a file (or of all files' tokens, run together)."""
+class Run:
+    """Tokens begin..end of a file; its windows are numbered from `window` on."""
 
     file: int
-    first: int
-    last: int
+    name: str
+    begin: int
+    end: int
+    window: int
+
+
+@dataclass
+class Windows(InputPartition):
+    runs: list[Run]
+
+
+def _by_number(name: str) -> list[tuple[int, str]]:
+    """Order of names in which shard-99999 comes before shard-100000."""
+    return [(int(x), "") if x.isdecimal() else (-1, x) for x in re.split(r"(\d+)", name)]
 
 
 class ShardReader(DataSourceReader):
     def __init__(self, path: str, seq: int, across: bool):
         self.path, self.seq, self.across = path, seq, across
-        files, folder = fs.FileSystem.from_uri(path)
-        found = sorted((x.path, x.size // 4) for x in files.get_file_info(fs.FileSelector(folder)) if x.base_name.endswith(".bin") and x.base_name[0] != "_")
-        self.names, self.sizes = [x[0] for x in found], [x[1] for x in found]
 
     def partitions(self) -> Sequence[InputPartition]:
+        files, folder = fs.FileSystem.from_uri(self.path)
+        found = sorted(((x.base_name, x.path, x.size // 4) for x in files.get_file_info(fs.FileSelector(folder)) if x.base_name.endswith(".bin") and x.base_name[0] != "_"), key=lambda x: _by_number(x[0]))
         each = max(1, PARTITION_TOKENS // self.seq)
-        sizes = [sum(self.sizes)] if self.across else self.sizes
-        out = [Windows(i, a, min(a + each, n)) for i, size in enumerate(sizes) for n in [max(0, (size - 1) // self.seq)] for a in range(0, n, each)]
-        return out or [Windows(0, 0, 0)]
+        sized = [(name, size) for _, name, size in found]
+        return [Windows(x) for x in (self._run_together(sized, each) if self.across else self._apart(sized, each))] or [Windows([])]
+
+    def _apart(self, files: list[tuple[str, int]], each: int) -> Iterator[list[Run]]:
+        """`each` windows a partition, of as many files as it takes."""
+        runs, left = [], each
+        for i, (name, size) in enumerate(files):
+            at, n = 0, max(0, (size - 1) // self.seq)
+            while at < n:
+                to = min(n, at + left)
+                runs.append(Run(i, name, at * self.seq, to * self.seq + 1, at))
+                left -= to - at
+                at = to
+                if not left:
+                    yield runs
+                    runs, left = [], each
+        if runs:
+            yield runs
+
+    def _run_together(self, files: list[tuple[str, int]], each: int) -> Iterator[list[Run]]:
+        n = max(0, (sum(size for _, size in files) - 1) // self.seq)
+        i, at = 0, 0  # the file that holds the first token, and the tokens before it
+        for first in range(0, n, each):
+            begin, end = first * self.seq, min(first + each, n) * self.seq + 1
+            while at + files[i][1] <= begin:
+                at += files[i][1]
+                i += 1
+            runs, j, to = [], i, at
+            while to < end:
+                name, size = files[j]
+                if size:
+                    runs.append(Run(0, name, max(0, begin - to), min(size, end - to), first))
+                to += size
+                j += 1
+            yield runs
 
     def read(self, partition: Windows) -> Iterator[pa.RecordBatch]:
-        if partition.first == partition.last:
+        if not partition.runs:
             return
-        begin, end = partition.first * self.seq, partition.last * self.seq + 1
-        ids = self._tokens(partition.file, begin, end) if not self.across else self._run_together(begin, end)
-        n = partition.last - partition.first
+        files, _ = fs.FileSystem.from_uri(self.path)
+        if self.across:
+            run = partition.runs[0]
+            yield self._windows(run.file, run.window, np.concatenate([_tokens(files, r) for r in partition.runs]))
+        else:
+            for run in partition.runs:
+                yield self._windows(run.file, run.window, _tokens(files, run))
+
+    def _windows(self, file: int, first: int, ids: np.ndarray) -> pa.RecordBatch:
+        n = (len(ids) - 1) // self.seq
         windows = np.lib.stride_tricks.sliding_window_view(ids, self.seq + 1)[:: self.seq][:n]
         flat = pa.array(windows.astype(np.int64).ravel())
         lists = pa.ListArray.from_arrays(np.arange(0, n * (self.seq + 1) + 1, self.seq + 1, dtype=np.int32), flat)
-        yield pa.record_batch([pa.array(np.full(n, partition.file, np.int32)), pa.array(np.arange(partition.first, partition.last)), lists], ["shard", "window", "ids"])
+        return pa.record_batch([pa.array(np.full(n, file, np.int32)), pa.array(np.arange(first, first + n)), lists], ["shard", "window", "ids"])
 
-    def _tokens(self, file: int, begin: int, end: int) -> np.ndarray:
-        files, _ = fs.FileSystem.from_uri(self.path)
-        with files.open_input_file(self.names[file]) as f:
-            return np.frombuffer(f.read_at(4 * (end - begin), 4 * begin), "<u4")
-
-    def _run_together(self, begin: int, end: int) -> np.ndarray:
-        parts, at = [], 0
-        for i, n in enumerate(self.sizes):
-            if at < end and at + n > begin:
-                parts.append(self._tokens(i, max(0, begin - at), min(n, end - at)))
-            at += n
-        return np.concatenate(parts)
+
+def _tokens(files: fs.FileSystem, run: Run) -> np.ndarray:
+    with files.open_input_file(run.name) as f:
+        return np.frombuffer(f.read_at(4 * (run.end - run.begin), 4 * run.begin), "<u4")
 
 
 class Uint32Shards(DataSource):
