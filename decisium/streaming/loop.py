@@ -1,6 +1,10 @@
 """Control-loop state over a stream: what the batch windows of
 operators.timeseries give, kept by key in the state store.
 
+Keys are many and have few steps each, so a key's steps come and go as rows,
+without a data frame a key, and it asks the state store for little: its value,
+and its timer only when that moves.
+
 A key's state is small and bounded: the last k actions, the last values of the
 mean, the last position, and order and time of the last step. It goes on over
 micro-batches and restarts from a checkpoint. A step more than `idle` seconds
@@ -16,13 +20,14 @@ import contextlib
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 #: Columns of steps: key, step (order of equal times), ts, action, value, x, y.
 OUT = "key string, step long, episode long, history array<string>, stuck boolean, moving double, late boolean"
+_step = Row(*[c.split()[0] for c in OUT.split(", ")])
 STATE = StructType(
     [
         StructField("actions", ArrayType(StringType())),
@@ -46,18 +51,15 @@ class Loop(StatefulProcessor):
         self.kept = handle.getValueState("loop", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        steps = pd.concat(list(rows)).sort_values(["micros", "step"], kind="stable")
-        old = self.kept.get() if self.kept.exists() else None
+        steps = sorted(rows, key=lambda r: (r.micros, r.step))
+        old = self.kept.get()  # none if there is no state
         actions, values = deque(old[0] if old else [], self.k), deque(old[1] if old else [], self.mean_of)
         place, last, episode = (list(old[2]) if old[2] is not None else None, (old[3], old[4]), old[5]) if old else (None, None, None)
-        out = []
-        for row in steps[["micros", "step", "action", "value", "x", "y"]].itertuples(index=False):
-            micros, step, action = int(row.micros), int(row.step), row.action
+        for row in steps:
+            micros, step, action = row.micros, row.step, row.action
             value, here = _number(row.value), [_number(row.x), _number(row.y)]
             if last is not None and (micros, step) < last:
-                out.append((key[0], step, episode, list(actions), False, None, True))
+                yield _step(key[0], step, episode, list(actions), False, None, True)
                 continue
             if last is None or micros - last[0] > self.idle * 1_000_000:
                 actions.clear()
@@ -66,21 +68,23 @@ class Loop(StatefulProcessor):
             stuck = place is not None and None not in here and here == place and bool(actions) and actions[-1] in self.moves
             values.append(value)
             seen = [v for v in values if v is not None]
-            out.append((key[0], step, episode, list(actions), stuck, sum(seen) / len(seen) if seen else None, False))
+            yield _step(key[0], step, episode, list(actions), stuck, sum(seen) / len(seen) if seen else None, False)
             actions.append(action)
             place, last = None if None in here else here, (micros, step)
         if last is not None and (old is None or last != (old[3], old[4])):
             self.kept.update((list(actions), list(values), place, last[0], last[1], episode))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(last[0] // 1000 + self.idle * 1000 + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+            due = self._due(last[0])
+            if old is None or due != self._due(old[3]):
+                if old is not None:  # the key's only timer
+                    self.handle.deleteTimer(self._due(old[3]))
+                self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
+    def _due(self, micros: int) -> int:
+        return micros // 1000 + self.idle * 1000 + 1
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.kept.clear()
-        yield pd.DataFrame([], columns=[c.split()[0] for c in OUT.split(", ")])
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -94,7 +98,7 @@ def loop_stream(steps: DataFrame, moves: list[str], k: int = 4, mean_of: int = 2
     """OUT of a stream of steps (key, step, ts, action, value, x, y)."""
     timed = steps.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     rows = timed.select(F.col("key").cast("string").alias("key"), F.col("step").cast("long").alias("step"), "ts", F.unix_micros("ts").alias("micros"), "action", F.col("value").cast("double").alias("value"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy("key").transformWithStateInPandas(Loop(moves, k, mean_of, idle), OUT, "Append", "EventTime")
+    return rows.groupBy("key").transformWithState(Loop(moves, k, mean_of, idle), OUT, "Append", "EventTime")
 
 
 @contextlib.contextmanager
