@@ -156,10 +156,11 @@ def mixture_lazy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1
     d = table(spark, sf_dir, "documents").where("text is not null")
-    total = (d.agg(F.sum(n)).first()[0] or 0) * 7 // 10
+    tokens, docs = d.agg(F.sum(n), F.count("*")).first()
+    total, files = (tokens or 0) * 7 // 10, max(4, docs // 100_000)
     root, out = scratch(spark, "sources"), scratch(spark, "drawn")
     for k in _WEIGHTS:
-        d.where(F.col("lang") == k).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.parquet(f"{root}/{k}")
+        d.where(F.col("lang") == k).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").select("text").write.option("parquet.block.size", 8 << 20).parquet(f"{root}/{k}")
     draw_mixture(spark, root, _WEIGHTS, total, n, out, draw=2000)
     limit = F.coalesce(*[F.when(F.col("source") == k, budget(total, w)) for k, w in _WEIGHTS.items()])
     rows = spark.read.parquet(out).where("kept").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))

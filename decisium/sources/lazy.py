@@ -5,7 +5,9 @@ A source is a folder of Parquet files, read in the order of their names; only
 the files that the stream has come to are opened. What to read next follows
 from a ledger alone, a file a batch that the sink leaves: rows taken and tokens
 got of each source. So a batch that is planned again after a failure or a
-restart is the same. Each draw splits DRAW rows by weight among the sources that
+restart is the same. Batches double their draws, so their number grows with the
+logarithm of the rows; a partition is rows of one row group, so that no rows
+before them are decoded again and again. Each draw splits DRAW rows by weight among the sources that
 are under budget and not at their end, by a seeded multinomial, but no source
 gets more rows than its mean tokens a row say it needs. A source's budget is its
 weight's share of all tokens; a row goes on as long as the tokens before it are
@@ -22,14 +24,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..operators.mixture import _sum_by_range
 from .scratch import scratch, ship
 
 #: Rows of one draw, and rows that one partition reads.
 DRAW, PARTITION_ROWS = 20_000, 5_000
+#: Most times that batches double, and rows of a range in which tokens are summed in order.
+DOUBLINGS, RANGE_ROWS = 20, 1 << 15
 
 
 def read_ledger(path: str) -> tuple[int, dict[str, dict[str, int]]]:
@@ -54,6 +60,7 @@ def write_ledger(path: str, batch: int, state: dict) -> None:
 class Rows(InputPartition):
     source: str
     file: str
+    group: int  # row group, from which first and last count
     place: int  # of the first row, in its source
     first: int
     last: int
@@ -66,6 +73,7 @@ class MixtureReader(DataSourceStreamReader):
         self.tokens, self.seed, self.draw = int(options["tokens"]), int(options.get("seed", "0")), int(options.get("draw", str(DRAW)))
         self.files: dict[str, list[str]] = {}
         self.counts: dict[str, list[int]] = {}
+        self.groups: dict[str, list[list[int]]] = {}
 
     def initialOffset(self) -> dict:
         return {k: 0 for k in self.weights}
@@ -77,7 +85,7 @@ class MixtureReader(DataSourceStreamReader):
         still = [k for k in sorted(self.weights) if got[k] < budget(self.tokens, self.weights[k]) and self._has(k, at[k])]
         if still:
             w = np.array([self.weights[k] for k in still])
-            for k, n in zip(still, np.random.default_rng([self.seed, batch + 1]).multinomial(self.draw, w / w.sum()).tolist(), strict=True):
+            for k, n in zip(still, np.random.default_rng([self.seed, batch + 1]).multinomial(self.draw << min(batch + 1, DOUBLINGS), w / w.sum()).tolist(), strict=True):
                 mean = got[k] / at[k] if at[k] else 0
                 needs = -(-(budget(self.tokens, self.weights[k]) - got[k]) // mean) if mean else n
                 at[k] = self._up_to(k, at[k] + int(max(1, min(n, needs))))
@@ -91,11 +99,13 @@ class MixtureReader(DataSourceStreamReader):
         if source not in self.files:
             files, folder = fs.FileSystem.from_uri(f"{self.path}/{source}")
             self.files[source] = sorted(x.path for x in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.base_name.endswith(".parquet"))
-            self.counts[source] = []
+            self.counts[source], self.groups[source] = [], []
         files, counts = fs.FileSystem.from_uri(self.path)[0], self.counts[source]
         while sum(counts) < place and len(counts) < len(self.files[source]):
             with files.open_input_file(self.files[source][len(counts)]) as f:
-                counts.append(pq.ParquetFile(f).metadata.num_rows)
+                m = pq.ParquetFile(f).metadata
+                counts.append(m.num_rows)
+                self.groups[source].append([m.row_group(g).num_rows for g in range(m.num_row_groups)])
         return min(place, sum(counts))
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -103,11 +113,12 @@ class MixtureReader(DataSourceStreamReader):
         for k in sorted(self.weights):
             self._up_to(k, end[k])
             at = 0
-            for name, n in zip(self.files[k], self.counts[k], strict=False):
-                lo, hi = max(start[k], at), min(end[k], at + n)
-                out += [Rows(k, name, a, a - at, min(a + PARTITION_ROWS, hi) - at) for a in range(lo, hi, PARTITION_ROWS)]
-                at += n
-        return out or [Rows("", "", 0, 0, 0)]
+            for name, groups in zip(self.files[k], self.groups[k], strict=False):
+                for g, n in enumerate(groups):
+                    lo, hi = max(start[k], at), min(end[k], at + n)
+                    out += [Rows(k, name, g, a, a - at, min(a + PARTITION_ROWS, hi) - at) for a in range(lo, hi, PARTITION_ROWS)]
+                    at += n
+        return out or [Rows("", "", 0, 0, 0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         if partition.first >= partition.last:
@@ -115,7 +126,7 @@ class MixtureReader(DataSourceStreamReader):
         files, _ = fs.FileSystem.from_uri(self.path)
         at = 0
         with files.open_input_file(partition.file) as f:
-            for b in pq.ParquetFile(f).iter_batches(batch_size=1024, columns=["text"]):
+            for b in pq.ParquetFile(f).iter_batches(batch_size=1024, row_groups=[partition.group], columns=["text"]):
                 lo, hi = max(partition.first, at), min(partition.last, at + b.num_rows)
                 if lo < hi:
                     place = partition.place + lo - partition.first
@@ -159,11 +170,14 @@ def draw_mixture(spark: SparkSession, path: str, weights: dict[str, float], toke
         if last >= number:  # it was all written before a failure
             return
         before = F.coalesce(*[F.when(F.col("source") == k, s["tokens"]) for k, s in state.items()], F.lit(0))
-        # a draw is bounded, so a window over a source holds at most that
-        upto = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        sized = batch.withColumn("n_tokens", n_tokens.cast("long")).withColumn("before", before + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)))
-        sized = sized.withColumn("kept", F.col("before") < limits)
-        sized.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # read once, for the sums by range and for the sums within one
+        sized = batch.withColumn("n_tokens", n_tokens.cast("long")).persist(StorageLevel.DISK_ONLY)
+        try:
+            ranged = sized.withColumn("_b", F.floor(F.col("place") / RANGE_ROWS))
+            placed = _sum_by_range(ranged, ["source"], ["place"], "n_tokens", "before").withColumn("before", before + F.col("before"))
+            placed.withColumn("kept", F.col("before") < limits).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            sized.unpersist()
         seen = spark.read.parquet(f"{out}/batch={number}").groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("kept"), F.col("n_tokens"))).alias("tokens"))
         new = {k: dict(v) for k, v in state.items()}
         for r in seen.collect():  # a row a source
