@@ -147,12 +147,12 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rotating_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept rows in shards of 64, by id; places come from running sums in two phases."""
     from ..operators.mixture import running_offset
-    from ..sources.jsonl import write_rotating
+    from ..sources.jsonl import read_rotating, write_rotating
 
     d = table(spark, sf_dir, "documents").select("doc_id")
     path = scratch(spark, "rotating")
     write_rotating(d, path, 64, "doc_id")
-    back = spark.read.schema("value string, shard long").text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "shard")
+    back = read_rotating(spark, path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "shard")
     placed = running_offset(d.withColumn("one", F.lit(1).cast("long")), "doc_id", "one")
     return back.join(placed, "doc_id").select(F.col("offset").cast("long").alias("place"), "shard", "doc_id")
 

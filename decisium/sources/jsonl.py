@@ -9,6 +9,8 @@ from ..functions.rand import hash32
 from ..operators.mixture import first_per_group, running_offset
 
 KNOWN = ["id", "source", "lang", "split", "state", "questions", "labels"]
+#: Shards of rotating lines in one folder.
+SHARDS = 256
 
 
 def write_records(rows: DataFrame, path: str) -> int:
@@ -31,9 +33,19 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_rotating(rows: DataFrame, path: str, each: int, order: str) -> None:
-    """JSON lines in shards of `each` rows by `order`, a unique whole number."""
-    placed = running_offset(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one").withColumn("shard", F.floor(F.col("offset") / each))
-    placed.select("shard", F.to_json(F.struct(*rows.columns)).alias("value")).repartition("shard").write.partitionBy("shard").text(path)
+    """JSON lines in shards of `each` rows by `order`, a unique whole number: a
+    file a shard, a folder for SHARDS of them. The folders of one task are sorted,
+    and the writer goes on to a new file after `each` rows."""
+    placed = running_offset(rows.withColumn("_one", F.lit(1).cast("long")), order, "_one")
+    lines = placed.select(F.floor(F.col("offset") / (each * SHARDS)).alias("block"), "offset", F.to_json(F.struct(*rows.columns)).alias("value"))
+    lines.repartition("block").sortWithinPartitions("block", "offset").select("block", "value").write.option("maxRecordsPerFile", each).partitionBy("block").text(path)
+
+
+def read_rotating(spark: SparkSession, path: str) -> DataFrame:
+    """value and shard of the lines that write_rotating wrote."""
+    lines = spark.read.schema("value string, block long").text(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"\.c(\d+)\.", 1).cast("long")
+    return lines.select("value", (F.col("block") * SHARDS + number).alias("shard"))
 
 
 def parse_records(lines: DataFrame, *keep: str) -> DataFrame:
