@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -520,5 +523,7 @@ def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = R.encoded(d, most_state=1 << 30, most=1 << 30)
     answer = token_ids(F.lit(R.TOKENS["answer"]), bpe)
     e = e.withColumn("answer", F.element_at(answer, 1))
-    right = F.forall("answer_positions", lambda p: F.element_at("input_ids", p + 1) == F.col("answer"))
+    # without a lambda over the positions, which would put all ids together again for each of them
+    at = [F.element_at("input_ids", F.element_at("answer_positions", i + 1) + 1) == F.col("answer") for i in range(len(_BPE_QUESTIONS))]
+    right = reduce(and_, at, F.size("answer_positions") == len(_BPE_QUESTIONS))
     return e.select("doc_id", F.md5(decoded("input_ids", bpe)).alias("decoded"), right.alias("answers"))
