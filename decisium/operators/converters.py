@@ -43,11 +43,16 @@ def _names(names: list[str] | Column) -> Column:
     return F.array(*[F.lit(n) for n in names]) if isinstance(names, list) else names
 
 
-def question(qid: str | Column, qtype: str, instructions: str | Column, names: list[str] | Column, label: Column, descs: dict | Column | None = None) -> Column:
+def question(qid: str | Column, qtype: str, instructions: str | Column, names: list[str] | Column, label: Column, descs: dict | Column | Callable[[Column], Column] | None = None) -> Column:
+    """descs: descriptions by name, or what gives a name's. A map is looked up for
+    each name, so one that takes work to make is better given as a function."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     if isinstance(descs, dict):
         descs = F.create_map(*[F.lit(x) for kv in descs.items() for x in kv])
-    desc = (lambda n: F.lit(None).cast("string")) if descs is None else (lambda n: F.try_element_at(descs, n))
+    if descs is None or isinstance(descs, Column):
+        desc = (lambda n: F.lit(None).cast("string")) if descs is None else (lambda n: F.try_element_at(descs, n))
+    else:
+        desc = descs
     opts = F.transform(_names(names), lambda n: F.struct(n.alias("name"), desc(n).alias("desc")))
     return F.struct(text(qid).alias("qid"), F.lit(qtype).alias("qtype"), text(instructions).alias("instructions"), opts.alias("options"), label.cast("string").alias("label")).cast(QUESTION)
 
@@ -309,7 +314,7 @@ def xlam_tools(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_tools", tools).withColumn("_first", first).withColumn("_names", F.array_distinct(F.transform("_tools", lambda t: t["name"])))
     kept = rows.where((F.size("_tools") >= 2) & F.array_contains("_names", F.col("_first")))
     said = lambda n: F.filter(F.col("_tools"), lambda t: t["name"] == n)
-    descs = F.map_from_arrays("_names", F.transform("_names", lambda n: F.substring(F.coalesce(F.try_element_at(said(n), F.lit(-1))["description"], F.lit("")), 1, 200)))
+    descs = lambda n: F.substring(F.coalesce(F.try_element_at(said(n), F.lit(-1))["description"], F.lit("")), 1, 200)
     split = F.when(F.col("row") % 50 == 0, "eval").otherwise("train")
     return records(kept, "xlam-", "xlam_tools", "en", state_of(user_request="query"), question("tool", "choice", "Which tool should be called first?", F.col("_names"), F.col("_first"), descs), split=split)
 

@@ -221,7 +221,7 @@ def finegrained_intent(rows: DataFrame, defs: dict) -> DataFrame:
     plain = lambda xs: F.transform(F.array_sort(xs), lambda y: y["x"])
     others = plain(F.transform(F.filter(names, lambda x: x != F.col("intent")), lambda x: by("intent-pick", x)))
     chosen = plain(F.transform(F.concat(F.array("intent"), F.slice(others, F.lit(1), F.col("k") - 1)), lambda x: by("intent-order", x)))
-    told = F.map_filter("intents", lambda name, d: d.isNotNull() & (uniform("intent-told", "idx", "pos", "j", name) < 0.6))
+    told = lambda name: F.when(uniform("intent-told", "idx", "pos", "j", name) < 0.6, F.try_element_at("intents", name))
     wording = F.element_at(F.array(*[F.lit(x) for x in INTENT]), (hash32("intent-ask", "idx", "pos", "j") % len(INTENT) + 1).cast("int"))
     return _records(each, "finegrained_intent", F.concat_ws("-", F.col("pos").cast("string"), F.col("j").cast("string")), F.col("text"), C.question("intent", "choice", wording, chosen, F.col("intent"), told))
 
