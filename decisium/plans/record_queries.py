@@ -512,10 +512,11 @@ def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decode to the rendered record, and answers stand at their positions."""
     import public_tokenizers
 
-    from ..operators.tokenizers import byte_bpe, decoded, token_ids
+    from ..operators.tokenizers import byte_bpe, decoded, small_batches, token_ids
     from ..sources.scratch import ship
 
     ship(spark)
+    small_batches(spark)
     control = R.special_tokens()
     bpe = byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), control)
     asked = F.array(*[token_ids(F.lit(_rendered(*q)), bpe) for q in _BPE_QUESTIONS])
